@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, line_dedup, ngram_join, packing, suffix_dedup, token_files, tokens, toxicity
+from . import context_tree, decontaminate, html_text, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files, tokens, toxicity
 from .common import crc32_of_id, table
 
 
@@ -19,6 +19,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -46,6 +55,37 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op5_line_dedup, op6_token_files, op7_context_tree, op8_toxicity, op9_decontamination, op10_ngram_join)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_quality_rules, op4_html_text, op5_line_dedup, op6_token_files, op7_context_tree, op8_toxicity, op9_decontamination, op10_ngram_join)}
+
+#: The rules of op3 with the exact binomial tail summed term by term.
+_OP3_GRID = ", ".join(f"('{m}', {c}::DOUBLE)" for m, cs in quality_rules.GRID.items() for c in cs)
+_OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, sum(least(8, i - before)) AS n FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) AS before FROM s) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+             len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals
+      FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS (SELECT doc_id, lang, base_failed, unnest([('symbols_per_word', n_symbols / greatest(n_words, 1)::DOUBLE), ('dup_line_share', n_dup_lines / greatest(n_lines, 1)::DOUBLE),
+             ('repeat_share', n_repeat_words / greatest(n_words, 1)::DOUBLE), ('chars_per_word', word_chars / greatest(n_words, 1)::DOUBLE),
+             ('capital_share', capitals / greatest(word_chars, 1)::DOUBLE)]) AS x FROM b),
+q AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+grid(rule, cut) AS (VALUES {_OP3_GRID}),
+c AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (WHERE x[2] > cut) AS k
+      FROM v SEMI JOIN q USING (doc_id) JOIN grid ON x[1] = rule WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT *, count(*) OVER () AS tests FROM c),
+a AS (SELECT lang, rule, min(cut) AS cut FROM t
+      WHERE k < n * 0.01 AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) <= 0.05 / tests
+      GROUP BY 1, 2),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN a ON v.lang = a.lang AND x[1] = rule WHERE x[2] > cut)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM b LEFT JOIN bad USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3_SQL}
