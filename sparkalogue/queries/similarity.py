@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sets
+from ..functions import scalars
+from ..operators import catalog, kernels, sets, tiers
 from .registry import Family, read
 
 family = Family()
@@ -28,4 +29,201 @@ def jaccard_shared_tokens_topk(spark, sf_dir):
     return sets.jaccard_topk(tokens.where("id < 20"), tokens, k=10)
 
 
+
+@family.add(
+    "identical_content",
+    """
+    WITH h AS (SELECT doc_id, md5(text) AS h FROM documents)
+    SELECT a.doc_id AS query_id, b.doc_id AS id, 'content' AS tier, 1.0::DOUBLE AS sim FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id WHERE a.doc_id % 10 = 0
+    """,
+)
+def identical_content(spark, sf_dir):
+    hashed = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash"))
+    return tiers.equal_key(hashed.where("id % 10 = 0"), hashed, "content_hash", "content")
+
+
+@family.add(
+    "content_composite_hash",
+    """
+    SELECT l_orderkey, sha256(unhex(string_agg(d, '' ORDER BY d))) AS content_hash
+    FROM (SELECT l_orderkey, sha1(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS d FROM lineitem) GROUP BY l_orderkey
+    """,
+)
+def content_composite_hash(spark, sf_dir):
+    files = read(spark, sf_dir, "lineitem").select("l_orderkey", F.sha1(F.concat_ws("|", "l_partkey", "l_suppkey", "l_linenumber")).alias("d"))
+    return catalog.composite_digest(files, "l_orderkey", "d")
+
+
+#: Seeds of the signature that SQL can compute too: minima of md5 prefixes.
+_SEEDS = 16
+_SQL_SIGNATURE = f"""
+    t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS tok FROM documents),
+    m AS (SELECT id, s, min(('0x' || substr(md5(s || ':' || tok), 1, 15))::BIGINT) AS v FROM t, (SELECT unnest(range(0, {_SEEDS})) AS s) WHERE tok <> '' GROUP BY id, s)
+"""
+
+
+def _signatures(spark, sf_dir):
+    """(id, signature): for each seed the least of 60-bit md5 prefixes over the document's words."""
+    tokens = sets.distinct_tokens(read(spark, sf_dir, "documents"), "doc_id", "text")
+    low = [F.min(F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), "tok")), 1, 15), 16, 10).cast("bigint")).alias(f"v{s}") for s in range(_SEEDS)]
+    return tokens.groupBy("id").agg(*low).select("id", F.array(*[f"v{s}" for s in range(_SEEDS)]).alias("signature"))
+
+
+@family.add("minhash_signature", f"WITH {_SQL_SIGNATURE} SELECT id, CAST(s AS INTEGER) AS slot, v FROM m")
+def minhash_signature(spark, sf_dir):
+    return _signatures(spark, sf_dir).select("id", F.posexplode("signature").alias("slot", "v"))
+
+
+_SQL_BANDS = """
+    b AS (SELECT id, s // 4 AS band, string_agg(v, ',' ORDER BY s) AS h FROM m GROUP BY id, s // 4),
+    c AS (SELECT DISTINCT x.id AS query_id, y.id FROM b x JOIN b y ON x.h = y.h AND x.id <> y.id WHERE x.id % 10 = 0)
+"""
+
+
+def _banded(spark, sf_dir):
+    bands = F.transform(F.sequence(F.lit(0), F.lit(_SEEDS // 4 - 1)), lambda k: F.array_join(F.slice("signature", k * 4 + 1, 4), ","))
+    return _signatures(spark, sf_dir).withColumn("bands", bands)
+
+
+@family.add("lsh_candidates", f"WITH {_SQL_SIGNATURE}, {_SQL_BANDS} SELECT query_id, id FROM c")
+def lsh_candidates(spark, sf_dir):
+    banded = _banded(spark, sf_dir)
+    return sets.lsh_candidates(banded.where("id % 10 = 0"), banded)
+
+
+@family.add(
+    "minhash_agreement",
+    f"""
+    WITH {_SQL_SIGNATURE}, {_SQL_BANDS},
+    s AS (SELECT query_id, c.id, round(sum((x.v = y.v)::INT) / {_SEEDS}.0::DOUBLE, 6) AS agreement FROM c JOIN m x ON x.id = query_id JOIN m y ON y.id = c.id AND y.s = x.s GROUP BY 1, 2)
+    SELECT query_id, id, agreement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY agreement DESC, id) AS rn FROM s) WHERE rn <= 10
+    """,
+)
+def minhash_agreement(spark, sf_dir):
+    banded = _banded(spark, sf_dir)
+    return sets.signature_topk(banded.where("id % 10 = 0"), banded, k=10)
+
+
+def _splitmix_signatures(spark, sf_dir):
+    ids = sets.distinct_tokens(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.collect_set(scalars.hex_to_id63(F.sha1("tok"))).alias("ids"))
+    return ids.select("id", kernels.minhash_udf("ids").alias("signature"))
+
+
+@family.add("minhash_splitmix")
+def minhash_splitmix(spark, sf_dir):
+    """Bit-exact 128-slot signatures with their 16 band hashes (tested against a plain version)."""
+    return _splitmix_signatures(spark, sf_dir).select("id", "signature", kernels.bands_udf("signature").alias("bands"))
+
+
+@family.add("chunk_resemblance")
+def chunk_resemblance(spark, sf_dir):
+    """Neighbours by agreement of 128-slot signatures behind 16 x 8 bands."""
+    signed = minhash_splitmix(spark, sf_dir)
+    return sets.signature_topk(signed.where("id % 10 = 0"), signed, k=10)
+
+
+@family.add("oph_resemblance")
+def oph_resemblance(spark, sf_dir):
+    """Neighbours by one-permutation signatures over the bytes of whole texts."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kernels.one_permutation_udf(F.col("text").cast("binary")).alias("signature"))
+    banded = docs.withColumn("bands", kernels.bands_udf("signature"))
+    return sets.signature_topk(banded.where("id % 10 = 0"), banded, k=10)
+
+
+@family.add("content_defined_chunks")
+def content_defined_chunks(spark, sf_dir):
+    """Shared chunks of whole texts, with how many documents hold each (small chunk sizes suit texts)."""
+    cut = kernels.chunks(read(spark, sf_dir, "documents"), "doc_id", "text", least=256, average=1024, most=4096)
+    return cut.groupBy("chunk_id").agg(F.countDistinct("id").alias("n_docs"), F.max("size").alias("size")).where("n_docs > 1")
+
+
+_SQL_TRACKS = """
+    t AS (SELECT DISTINCT conv_id AS build, turn AS track, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS tok FROM conversations),
+    f AS (SELECT * FROM t WHERE tok <> ''),
+    n AS (SELECT count(DISTINCT build) AS n FROM f),
+    d AS (SELECT tok, count(DISTINCT build) AS df FROM f GROUP BY tok),
+    i AS (SELECT tok, df, ln((n + 1) / (df + 1)::DOUBLE) AS idf FROM d, n WHERE df <= greatest(50, floor(0.05 * n)))
+"""
+
+
+def _tracks(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("build"), F.col("turn").alias("track"), F.explode(sets.words(F.col("text"))).alias("tok")).distinct()
+
+
+@family.add("audio_idf", f"WITH {_SQL_TRACKS} SELECT tok, df, round(idf, 6) AS idf FROM i")
+def audio_idf(spark, sf_dir):
+    return tiers.token_idf(_tracks(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+
+
+_SQL_BEST_TRACKS = f"""
+    WITH {_SQL_TRACKS},
+    q AS (SELECT f.build, track, f.tok, idf FROM f JOIN i USING (tok)),
+    w AS (SELECT build, track, sum(idf) AS w FROM q GROUP BY 1, 2),
+    s AS (SELECT a.build AS q_build, a.track AS q_track, b.build, b.track, sum(a.idf) AS w FROM q a JOIN q b ON a.tok = b.tok AND a.build <> b.build WHERE a.build % 5 = 0 GROUP BY 1, 2, 3, 4),
+    j AS (SELECT q_build, q_track, s.build, s.track, round(s.w / nullif(x.w + y.w - s.w, 0), 6) AS sim
+          FROM s JOIN w x ON x.build = q_build AND x.track = q_track JOIN w y ON y.build = s.build AND y.track = s.track),
+    b AS (SELECT q_build, q_track, build, track, sim FROM (SELECT *, row_number() OVER (PARTITION BY q_build, q_track, build ORDER BY sim DESC, track) AS rn FROM j WHERE sim IS NOT NULL) WHERE rn = 1)
+"""
+
+
+def _best_tracks(spark, sf_dir):
+    tracks = _tracks(spark, sf_dir)
+    return tiers.weighted_tracks(tracks.where("build % 5 = 0"), tracks, tiers.token_idf(tracks).select("tok", "idf"))
+
+
+@family.add("audio_similar_tracks", f"{_SQL_BEST_TRACKS} SELECT * FROM b WHERE sim >= 0.2")
+def audio_similar_tracks(spark, sf_dir):
+    return _best_tracks(spark, sf_dir).where("sim >= 0.2")
+
+
+@family.add(
+    "audio_matched_builds",
+    f"{_SQL_BEST_TRACKS} SELECT q_build, build, count(*) FILTER (WHERE sim >= 0.55) AS matched, max(sim) AS best FROM b GROUP BY 1, 2 HAVING count(*) FILTER (WHERE sim >= 0.55) > 0",
+)
+def audio_matched_builds(spark, sf_dir):
+    return tiers.matched_builds(_best_tracks(spark, sf_dir))
+
+
+@family.add(
+    "embedding_cosine_topk",
+    """
+    WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    s AS (SELECT q.id AS query_id, e.id, round(list_cosine_similarity(q.v, e.v), 6) AS cosine FROM e q JOIN e ON q.id <> e.id WHERE q.id % 50 = 0)
+    SELECT query_id, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rn FROM s) WHERE rn <= 10
+    """,
+)
+def embedding_cosine_topk(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return tiers.cosine_topk(vectors.where("id % 50 = 0"), vectors, k=10)
+
+
+_SQL_FUSED = """
+    WITH h AS (SELECT doc_id AS id, md5(text) AS h FROM documents),
+    t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS tok FROM documents),
+    f AS (SELECT * FROM t WHERE tok <> ''), n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
+    c AS (SELECT q.id AS query_id, x.id, count(*) AS c FROM f q JOIN f x ON q.tok = x.tok AND q.id <> x.id WHERE q.id < 20 GROUP BY 1, 2),
+    files AS (SELECT query_id, c.id, round(c / CAST(a.n + b.n - c AS DOUBLE), 6) AS sim FROM c JOIN n a ON a.id = query_id JOIN n b ON b.id = c.id),
+    content AS (SELECT a.id AS query_id, b.id, 1.0 AS sim FROM h a JOIN h b ON a.h = b.h AND a.id <> b.id WHERE a.id < 20),
+    v AS (SELECT coalesce(f.query_id, c.query_id) AS query_id, coalesce(f.id, c.id) AS id, coalesce(f.sim, 0) AS fs, coalesce(c.sim, 0) AS cs FROM files f FULL JOIN content c ON f.query_id = c.query_id AND f.id = c.id),
+    l AS (SELECT DISTINCT doc_id FROM labels),
+    k AS (SELECT v.*, x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL AS both_labelled FROM v LEFT JOIN l x ON x.doc_id = query_id LEFT JOIN l y ON y.doc_id = v.id)
+    SELECT query_id, id, score FROM (SELECT query_id, id, round(CASE WHEN both_labelled THEN (0.25 * cs + 0.20 * fs) / 0.45 ELSE fs END, 6) AS score FROM k) WHERE score > 0.01
+"""
+
+
+@family.add("fused_similarity", _SQL_FUSED)
+def fused_similarity(spark, sf_dir):
+    """Two tiers fused; every document can have the files tier, labelled ones the content tier too."""
+    docs = read(spark, sf_dir, "documents")
+    tokens = sets.distinct_tokens(docs, "doc_id", "text")
+    files = sets.jaccard_topk(tokens.where("id < 20"), tokens, k=2**30).select("query_id", "id", F.lit("files").alias("tier"), F.col("jaccard").alias("sim"))
+    hashed = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("h"))
+    fused = tiers.fuse(files.union(tiers.equal_key(hashed.where("id < 20"), hashed, "h", "content")))
+    labelled = read(spark, sf_dir, "labels").select("doc_id").distinct()
+    able = docs.select(F.col("doc_id")).join(labelled.withColumn("l", F.lit(True)), "doc_id", "left").select(F.col("doc_id"), F.when(F.col("l"), F.array(F.lit("files"), F.lit("content"))).otherwise(F.array(F.lit("files"))).alias("caps"))
+    joined = fused.join(able.select(F.col("doc_id").alias("query_id"), F.col("caps").alias("qc")), "query_id").join(able.withColumnRenamed("doc_id", "id"), "id")
+    score = F.round(tiers.weighted_score(F.col("scores"), F.col("qc"), F.col("caps")), 6)
+    return joined.select("query_id", "id", score.alias("score")).where("score > 0.01")
+
+
 QUERIES, ORACLE_SQL = family.queries, family.sql
