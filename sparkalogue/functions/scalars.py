@@ -154,7 +154,7 @@ def contains_literal(c: Column, term: str) -> Column:
 
 def cut_bytes(s: Column, most: int) -> Column:
     """Longest prefix of whole characters within so many UTF-8 bytes."""
-    return F.when(F.octet_length(s) <= most, s).otherwise(F.regexp_replace(F.decode(F.substring(s.cast("binary"), 1, most), "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(s.cast("binary"), 1, most).cast("string")), "�+$", ""))
 
 
 def normalize_language(s: Column) -> Column:

@@ -15,11 +15,17 @@ BUNDLE_SCHEMA, BUNDLE_PROFILE, SIDECAR_MARK = 1, "v1", b"CCK1"
 CORRUPT = "_corrupt_record"
 
 
+def parse_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad lines) of a DataFrame of JSON lines (line)."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.select("line", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    good = parsed.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
+    return good, parsed.where(F.col(f"r.{CORRUPT}").isNotNull()).select("line")
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): a line that isn't a record is set aside and the rest go on."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    return parse_lines(spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("line")), schema)
 
 
 def write_records(df: DataFrame, path: str, order: list[str] | None = None) -> None:
@@ -56,10 +62,7 @@ def read_bundle(spark: SparkSession, path: str, schema: T.StructType) -> tuple[D
 
     found = files.mapInPandas(members, "kind string, name string, content binary")
     lines = found.where("kind = 'record'").select(F.col("name").alias("line"))
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = lines.select("line", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    good = parsed.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
-    bad = parsed.where(F.col(f"r.{CORRUPT}").isNotNull()).select("line")
+    good, bad = parse_lines(lines, schema)
     assets = found.where("kind = 'asset'").select(F.col("name").alias("sha256"), "content").dropDuplicates(["sha256"])
     return good, bad, assets
 
