@@ -157,3 +157,34 @@ def resolve_revision(commits: DataFrame, refs: dict[str, str], rev: str) -> str
     return found[0]["oid"] if len(found) == 1 else None
 
 
+
+
+def snapshot(entries: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
+    """(path, type, oid) of everything below a tree; entries (tree, name, type, oid).
+
+    Each round expands the directories found in the last one; equal subtrees are joined once a place.
+    """
+    level = entries.where(F.col("tree") == root).select(F.col("name").alias("path"), "type", "oid")
+    out = level
+    for _ in range(max_depth):
+        dirs = checkpointed(level.where("type = 'tree'").select(F.col("path").alias("parent"), F.col("oid").alias("tree")))
+        if dirs.isEmpty():
+            return out
+        level = dirs.join(entries, "tree").select(F.concat_ws("/", "parent", "name").alias("path"), "type", "oid")
+        out = out.union(level)
+    raise RuntimeError("tree is deeper than max_depth")
+
+
+def log_page(commits: DataFrame, reachable: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
+    """Commits that are reachable, in manifest order, one page."""
+    return commits.join(reachable.select("id").distinct(), commits["oid"] == F.col("id"), "left_semi").orderBy(order).offset(offset).limit(limit)
+
+
+def year_grid(years: DataFrame) -> DataFrame:
+    """(year, day, week, dow) of all days; weeks begin on Sunday and count from the year's first."""
+    first = F.make_date("year", F.lit(1), F.lit(1))
+    days = years.select("year", F.explode(F.sequence(first, F.make_date("year", F.lit(12), F.lit(31)))).alias("day"))
+    dow = F.dayofweek("day") - 1
+    shift = F.dayofweek(F.make_date("year", F.lit(1), F.lit(1))) - 1
+    week = F.floor((F.dayofyear("day") - 1 + shift) / 7)
+    return days.select("year", "day", week.cast("int").alias("week"), dow.cast("int").alias("dow"))

@@ -275,4 +275,31 @@ def record_errors(spark, sf_dir):
     return rows.select("doc_id", markup.record_error(rows.columns).alias("error"))
 
 
+@family.add(
+    "snapshot_listing",
+    """
+    SELECT r_name AS path, 'tree' AS type, 'r' || r_regionkey AS oid FROM region
+    UNION ALL SELECT r_name || '/' || n_name, 'tree', 'n' || n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT r_name || '/' || n_name || '/' || s_name, 'blob', 's' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+    """,
+)
+def snapshot_listing(spark, sf_dir):
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nations, suppliers, regions = (read(spark, sf_dir, t) for t in ("nation", "supplier", "region"))
+    entries = regions.select(F.lit("root").alias("tree"), F.col("r_name").alias("name"), F.lit("tree").alias("type"), tag("r", "r_regionkey").alias("oid"))
+    entries = entries.union(nations.select(tag("r", "n_regionkey"), "n_name", F.lit("tree"), tag("n", "n_nationkey"))).union(suppliers.select(tag("n", "s_nationkey"), "s_name", F.lit("blob"), tag("s", "s_suppkey")))
+    return history.snapshot(entries, "root")
+
+
+@family.add(
+    "year_grid",
+    """
+    WITH y AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS year FROM orders), d AS (SELECT year, unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31), INTERVAL 1 DAY))::DATE AS day FROM y)
+    SELECT year, day, ((dayofyear(day) - 1 + dayofweek(make_date(year, 1, 1))) // 7)::INTEGER AS week, dayofweek(day)::INTEGER AS dow FROM d
+    """,
+)
+def year_grid(spark, sf_dir):
+    return history.year_grid(read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct())
+
+
 QUERIES, ORACLE_SQL = family.queries, family.sql

@@ -226,4 +226,22 @@ def fused_similarity(spark, sf_dir):
     return joined.select("query_id", "id", score.alias("score")).where("score > 0.01")
 
 
+@family.add("signature_minima", f"WITH {_SQL_SIGNATURE} SELECT lang, CAST(s AS INTEGER) AS slot, min(v) AS v FROM m JOIN documents ON doc_id = id GROUP BY 1, 2")
+def signature_minima(spark, sf_dir):
+    """Signatures of languages from those of their documents."""
+    langs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return sets.elementwise_min(_signatures(spark, sf_dir).join(langs, "id"), "lang", "signature").select("lang", F.posexplode("signature").alias("slot", "v"))
+
+
+@family.add(
+    "text_documents",
+    """SELECT o_orderkey, concat_ws(' ', o_orderpriority, p) AS text_doc FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(replace(l_returnflag || '/' || p_name, '/', ' '), ' ' ORDER BY replace(l_returnflag || '/' || p_name, '/', ' ')) AS p
+       FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) ON l_orderkey = o_orderkey""",
+)
+def text_documents(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    paths = read(spark, sf_dir, "lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws("/", "l_returnflag", "p_name").alias("path"))
+    return sets.text_document(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), paths, "o_orderkey", ["o_orderpriority"], "path")
+
+
 QUERIES, ORACLE_SQL = family.queries, family.sql
