@@ -88,4 +88,32 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM b LEFT JOIN bad USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3_SQL}
+#: op5 by the same filters on exact document frequencies.
+_OP5_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS line_no, ls[i] AS line, list_distinct(list_filter(regexp_split_to_array(ls[i], '[ \t-\r]+'), lambda x: x <> '')) AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+t AS (SELECT doc_id, line_no, unnest(w) AS tok FROM l), f AS (SELECT tok, count(*) AS f FROM t GROUP BY tok),
+r AS (SELECT doc_id, line_no, tok, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY f, tok) AS rn, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM t JOIN f USING (tok)),
+x AS (SELECT * FROM r WHERE rn <= n - (n * 800 + 999) // 1000 + 1),
+c AS (SELECT DISTINCT a.doc_id, a.line_no, b.doc_id AS d2, b.line_no AS l2 FROM x a JOIN x b ON a.tok = b.tok
+      WHERE (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no)) AND a.n * 1000 >= b.n * 800 AND b.n * 1000 >= a.n * 800),
+v AS (SELECT DISTINCT c.doc_id, c.line_no FROM c JOIN l p ON p.doc_id = c.doc_id AND p.line_no = c.line_no JOIN l q ON q.doc_id = d2 AND q.line_no = l2
+      WHERE 1000 * len(list_intersect(p.w, q.w)) >= 800 * (len(p.w) + len(q.w) - len(list_intersect(p.w, q.w)))),
+k AS (SELECT l.doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_lines, count(v.line_no) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.line_no) FILTER (WHERE v.line_no IS NULL), '') AS kept
+      FROM l LEFT JOIN v ON v.doc_id = l.doc_id AND v.line_no = l.line_no GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN n_removed > 0 THEN kept ELSE text END AS text FROM d LEFT JOIN k USING (doc_id)
+"""
+
+#: op10 by joining all shingles.
+_OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 1000 * c >= 800 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(root) AS class_id FROM r GROUP BY id), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT id AS doc_id, class_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN k ON k.a = m.id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3_SQL, "op5_line_dedup": _OP5_SQL, "op10_ngram_join": _OP10_SQL}
