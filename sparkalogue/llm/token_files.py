@@ -82,7 +82,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, level: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        press = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
+        if shared:
+            shared.precompute_compress(level=level)  # else every frame would digest the dictionary anew
+        press = zstandard.ZstdCompressor(dict_data=shared) if shared else zstandard.ZstdCompressor(level=level)
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()), ("id_bytes", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("doc_ids", "n_tokens", "ends")], ("frames", pa.binary())])
 
         def row(held: list) -> pa.RecordBatch:
