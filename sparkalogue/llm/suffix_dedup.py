@@ -7,7 +7,7 @@ How equal strings meet. Every string of `least` bytes has an anchor: its smalles
 GRAM bytes. Equal strings have equal anchors, and all strings with one anchor in a document
 form a segment, so a document of n bytes has about 2 n / least segments. Segments that
 occur whole more than once are settled by counting. The others are grouped by anchor: each
-different segment goes once into the bucket of its anchor. In a bucket an enhanced suffix
+different segment (told apart by two 64-bit hashes, of the anchor and of the whole) goes once into the bucket of its anchor. In a bucket an enhanced suffix
 array (prefix doubling; longest common prefixes by the doubling ranks) is scanned with a
 stack for the intervals of common prefixes of `least` bytes or more whose members differ on
 their left (or start a segment): these are the maximal repeats, with all occurrences.
@@ -208,23 +208,23 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = _bytes(text)
                 if len(data) < least:
                     continue
                 for anchor, at, lo, hi in segments(data, least):
-                    name = xxhash.xxh3_128_intdigest(data[lo : hi + least])
-                    for c, x in zip(cols, (anchor, (name >> 64) - (1 << 63), (name & (1 << 64) - 1) - (1 << 63), row, at, lo, hi), strict=True):
+                    name = xxhash.xxh3_64_intdigest(data[lo : hi + least]) - (1 << 63)
+                    for c, x in zip(cols, (anchor, name, row, at, lo, hi), strict=True):
                         c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "a", "b", "row", "at", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "name", "row", "at", "first", "last"])
 
-    schema = "anchor long, a long, b long, row long, at long, first long, last long"
+    schema = "anchor long, name long, row long, at long, first long, last long"
     found = write_table(docs.select("row", "text").mapInArrow(scan, schema), "segments")
-    distinct = found.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("rep"))
+    distinct = found.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("rep"))
     distinct = write_table(distinct, "distinct")
-    whole = found.join(distinct.where("n > 1").select("anchor", "a", "b"), ["anchor", "a", "b"]).select("row", F.col("first").alias("start"), (F.col("last") + least).alias("end"))
+    whole = found.join(distinct.where("n > 1").select("anchor", "name"), ["anchor", "name"]).select("row", F.col("first").alias("start"), (F.col("last") + least).alias("end"))
 
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_ones = distinct.join(shared, "anchor").select("rep.*", "anchor", (F.col("n") == 1).alias("once"), (F.col("kinds") > SPLIT).alias("split"))
