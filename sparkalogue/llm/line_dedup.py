@@ -61,46 +61,53 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def lines(rows: DataFrame) -> DataFrame:
         split = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        return split.withColumn("keys", token_keys(F.col("line"), counts)).drop("line").where(F.size("keys") > 0)
+        return split.withColumn("keys", token_keys(F.col("line"), counts)).drop("line")
 
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 1).cast("int"))
     all_lines = lines(source).select("doc_id", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), F.reverse("keys")).alias("sig2"), n.alias("n"), prefix.alias("prefix"))
-    all_lines = write_table(all_lines, "lines")
+    # lines without a word are left out of the written table: a filter before would compute the keys twice
+    all_lines = write_table(all_lines, "lines").where("n > 0")
     place = F.struct("doc_id", "line_no", "row")
     sets = all_lines.groupBy("sig", "sig2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sets = write_table(sets, "line-sets")
 
-    spread = sets.select("sig", "first", "n", F.posexplode("prefix").alias("pos", "tok"))
-    here = F.struct("first", "sig", "n", "pos")
-    shared = spread.groupBy("tok").agg(F.min(here).alias("low"), F.count("*").alias("held")).where("held > 1").drop("held")
-    met = write_table(spread.join(shared, "tok"), "prefixes")
+    # one narrow row for each prefix token: the set, the place of its first line, its size and the token's position
+    sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    spread = sets.select("sig", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "doc_id", "line_no", "sig", sized.alias("size_pos"))
+    order = F.struct("doc_id", "line_no", "sig")
+    shared = spread.groupBy("tok").agg(F.min(F.struct("doc_id", "line_no", "sig", "size_pos")).alias("low"), F.count("*").alias("held")).where("held > 1")
+    low = shared.select("tok", "held", F.col("low.doc_id").alias("low_doc"), F.col("low.line_no").alias("low_line"), F.col("low.sig").alias("low_sig"), F.col("low.size_pos").alias("low_size_pos"))
+    met = write_table(spread.join(low, "tok"), "prefixes")
 
-    def passes(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    def passes(a: str, b: str) -> Column:
         """Length filter, and what is left after both positions suffices for the overlap."""
-        need = (na + nb) * t  # overlap * (1000 + t) >= this
-        most = F.least(na - pa, nb - pb)
-        return (na * 1000 >= nb * t) & (nb * 1000 >= na * t) & (most * (1000 + t) >= need)
+        n = [F.shiftright(c, 32) for c in (a, b)]
+        pos = [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b)]
+        need = (n[0] + n[1]) * t  # overlap * (1000 + t) >= this
+        return (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t) & (F.least(n[0] - pos[0], n[1] - pos[1]) * (1000 + t) >= need)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """sig of the sets a whose pair reaches the threshold; pairs (sig, first, other) by place of a line."""
+        """sig of the sets whose pair (sig, other) reaches the threshold."""
         pairs = write_table(pairs.distinct(), "line-pairs")
-        wanted = pairs.select("first.*").union(pairs.select("other.*")).distinct()
-        in_rows = source.join(wanted.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-        found = write_table(lines(in_rows).join(wanted.select("row", "line_no"), ["row", "line_no"], "left_semi").select("row", "line_no", "keys"), "line-keys")
-        of = lambda k: found.select(F.col("row").alias(f"{k}_row"), F.col("line_no").alias(f"{k}_line"), F.col("keys").alias(f"{k}_keys"))
-        flat = pairs.select("sig", F.col("first.row").alias("a_row"), F.col("first.line_no").alias("a_line"), F.col("other.row").alias("b_row"), F.col("other.line_no").alias("b_line"))
-        both = flat.join(of("a"), ["a_row", "a_line"]).join(of("b"), ["b_row", "b_line"])
-        common = F.size(F.array_intersect("a_keys", "b_keys"))
-        union = F.size("a_keys") + F.size("b_keys") - common
+        members = pairs.select("sig").union(pairs.select("other")).distinct()
+        wanted = write_table(sets.join(members, "sig").select("sig", "first.row", "first.line_no"), "line-members")
+        in_rows = source.join(wanted.select("row").distinct(), "row", "left_semi")
+        found = lines(in_rows).join(wanted, ["row", "line_no"]).groupBy("sig").agg(F.first("keys").alias("keys"))
+        found = write_table(found, "line-keys")
+        both = pairs.join(found, "sig").join(found.select(F.col("sig").alias("other"), F.col("keys").alias("other_keys")), "other")
+        common = F.size(F.array_intersect("keys", "other_keys"))
+        union = F.size("keys") + F.size("other_keys") - common
         return both.where(common * 1000 >= union * t).select("sig").distinct()
 
-    easy = met.where("first > low.first").where(passes(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos")))
-    gone = write_table(verified(easy.select("sig", "first", F.col("low.first").alias("other"))), "gone")
-    left = met.where("first > low.first").drop("low").join(gone, "sig", "left_anti")
-    earlier = met.select("tok", F.col("first").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"))
-    hard = left.join(earlier, "tok").where("other < first").where(passes(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos")))
-    gone = gone.union(verified(hard.select("sig", "first", "other"))).withColumn("near", F.lit(True))
+    easy = met.where(order > F.struct("low_doc", "low_line", "low_sig")).where(passes("size_pos", "low_size_pos"))
+    gone = write_table(verified(easy.select("sig", F.col("low_sig").alias("other"))), "gone")
+    # a token held by two sets has no other pair than the one just tried
+    open_ones = met.where("held > 2").select("tok", "doc_id", "line_no", "sig", "size_pos", "low_sig")
+    left = open_ones.where("sig != low_sig").join(gone, "sig", "left_anti")
+    earlier = open_ones.where("sig != low_sig").select("tok", F.col("doc_id").alias("o_doc"), F.col("line_no").alias("o_line"), F.col("sig").alias("other"), F.col("size_pos").alias("o_size_pos"))
+    hard = left.join(earlier, "tok").where(order > F.struct("o_doc", "o_line", "other")).where(passes("size_pos", "o_size_pos"))
+    gone = gone.union(verified(hard.select("sig", "other"))).distinct().withColumn("near", F.lit(True))
 
     marked = sets.select("sig", "sig2", "first").join(gone, "sig", "left")
     joined = all_lines.select("row", "doc_id", "line_no", "sig", "sig2").join(marked, ["sig", "sig2"])
