@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, rare shingles, exact check.
 
 Items are sorted into size classes (a geometric ladder). In each class a window of W words,
 four fifths of the class's smallest item, slides over documents by W's share of slack, so
@@ -7,10 +7,16 @@ equals one of the item's own windows of W words. Fingerprints are 64-bit SimHash
 weighted by length. They are cut into radius + 1 blocks: two fingerprints within the
 radius agree on one block at least, so looking up each block finds all of them.
 
-Candidates are verified: the item is laid at the place that the two windows imply, and the
-weighted Jaccard similarity of its shingles (`width` words, weight 1 / number of items that
-hold the shingle) with those of the item-sized stretch of the document must reach the
-threshold. Words are lower-cased runs of other than ASCII white space; an item shorter than
+One changed word can flip more bits than any radius that blocks can serve, so fingerprints
+alone lose near copies. Candidates are therefore completed by rare shingles: an item's
+shingles (`width` words) are taken by falling weight until what is left weighs less than the
+threshold's share of the whole. A stretch that holds none of those taken can't reach the
+threshold, so looking up every shingle of a document among them finds every match.
+
+Candidates are verified: the item is laid at each word of the document where it may match, and
+the weighted Jaccard similarity of its shingles (weight 1 / number of items that hold the
+shingle) with those of the item-sized stretch of the document must reach the threshold; the
+best place counts, the first of equals. Words are lower-cased runs of other than ASCII white space; an item shorter than
 the shingle width is one shingle. Items and texts without a word (null, empty) match
 nothing. Repeated items or rows match each on its own.
 
@@ -54,8 +60,7 @@ def size_class(n: int) -> tuple[int, int]:
 
 def bit_table(words: list[bytes]) -> np.ndarray:
     """A row of 64 signed weights for each word: bits of its hash, weighted by its length in bytes up to 12."""
-    hashes = np.array([zlib.crc32(w) | zlib.crc32(w[::-1], 1) << 32 for w in words], dtype=np.uint64)
-    bits = np.unpackbits(mix64(hashes).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
+    bits = np.unpackbits(word_hashes(words).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
     weight = np.array([min(len(w), 12) for w in words], dtype=np.int8)
     return (2 * bits - 1) * weight[:, None]
 
@@ -71,9 +76,137 @@ def running_sums(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingles(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
+def shingle_list(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     k = min(width, len(words))
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if words else []
+
+
+def shingles(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
+    return set(shingle_list(words, width))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return mix64(np.array([zlib.crc32(w) | zlib.crc32(w[::-1], 1) << 32 for w in words], dtype=np.uint64))
+
+
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each word on; the last k - 1 words begin none."""
+    n = max(len(hashes) - k + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = (out ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def rare_shingles(own: set[tuple[bytes, ...]], weights: Counter, threshold: float) -> list[tuple[bytes, ...]]:
+    """The heaviest shingles, until the others weigh less than the threshold's share of all."""
+    ordered = sorted(own, key=lambda s: (weights[s], s))
+    left = total = sum(1 / weights[s] for s in ordered)
+    for n, s in enumerate(ordered):
+        if left < threshold * total * (1 - 1e-9):
+            return ordered[:n]
+        left -= 1 / weights[s]
+    return ordered
+
+
+@dataclass
+class RareIndex:
+    """Rare shingles of one length: sorted hashes, their items, a bitmap."""
+
+    length: int
+    keys: np.ndarray
+    item: np.ndarray
+    bitmap: np.ndarray
+
+
+def build_rare(own: list[set[tuple[bytes, ...]]], weights: Counter, threshold: float) -> list[RareIndex]:
+    by_length = defaultdict(list)
+    for k, held in enumerate(own):
+        for s in rare_shingles(held, weights, threshold):
+            by_length[len(s)].append((k, s))
+    out = []
+    for length, listed in sorted(by_length.items()):
+        keys = run_hashes(word_hashes([w for _, s in listed for w in s]), length)[::length]
+        order = np.argsort(keys, kind="stable")
+        bitmap = np.zeros(1 << 20, dtype=bool)
+        bitmap[keys >> np.uint64(44)] = True
+        out.append(RareIndex(length, keys[order], np.array([k for k, _ in listed])[order], bitmap))
+    return out
+
+
+def holders(index: RareIndex, hashes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, item) where a rare shingle begins; room: words from each one to its document's end."""
+    keys = run_hashes(hashes, index.length)
+    maybe = np.flatnonzero(index.bitmap[keys >> np.uint64(44)])
+    maybe = maybe[room[maybe] >= index.length]
+    a, b = np.searchsorted(index.keys, keys[maybe], "left"), np.searchsorted(index.keys, keys[maybe], "right")
+    n = b - a
+    at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(maybe, n), index.item[at]
+
+
+def best_place(item: list[bytes], own: set[tuple[bytes, ...]], document: list[bytes], weights: Counter, width: int, threshold: float, there: list[tuple[bytes, ...]] | None = None, places: dict | None = None) -> tuple[float, int] | None:
+    """(similarity, first word) of the stretch most like the item, if it reaches the threshold; the first of equals.
+
+    there, places: the document's shingles, and where each begins, if the caller holds them.
+    """
+    k = min(width, len(item))
+    if len(document) < k:
+        return None
+    if there is None or places is None:
+        there = shingle_list(document, k)
+        places = places_of(there)
+    shared = [s for s in own if s in places]
+    total = sum(1 / weights[s] for s in own)
+    slack = threshold * (1 - 1e-9)
+    if sum(1 / weights[s] for s in shared) < slack * total:
+        return None
+    hits = sorted(p for s in shared for p in places[s])
+    size = len(item) - k + 1  # shingles of a stretch
+    best = None
+    at = 0
+    while at < len(hits):
+        # a run of hits that one stretch after another holds; its stretches are slid over word by word
+        end = at
+        while end + 1 < len(hits) and hits[end + 1] - hits[end] < size:
+            end += 1
+        first, last = max(0, hits[at] - size + 1), hits[end]
+        inside: Counter = Counter()
+        common = extra = 0.0
+        upto = first
+        for start in range(first, last + 1):
+            while upto < min(start + size, len(there)):
+                s = there[upto]
+                inside[s] += 1
+                if inside[s] == 1:
+                    if s in own:
+                        common += 1 / weights[s]
+                    else:
+                        extra += 1 / (weights.get(s) or 1)
+                upto += 1
+            if common >= slack * (total + extra) * (1 - 1e-9):
+                window = set(there[start : start + size])
+                both = sum(1 / weights[s] for s in sorted(window & own))
+                similarity = both / sum(1 / (weights.get(s) or 1) for s in sorted(window | own))
+                if similarity >= threshold and (best is None or similarity > best[0]):
+                    best = similarity, start
+            s = there[start]
+            inside[s] -= 1
+            if not inside[s]:
+                if s in own:
+                    common -= 1 / weights[s]
+                else:
+                    extra -= 1 / (weights.get(s) or 1)
+        at = end + 1
+    return best
+
+
+def places_of(there: list[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], list[int]]:
+    places = defaultdict(list)
+    for p, s in enumerate(there):
+        places[s].append(p)
+    return places
 
 
 @dataclass
@@ -156,13 +289,15 @@ def _searcher(items: list, weights: Counter, width: int, threshold: float, radiu
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = build(items, radius)
         own = [shingles(w, width) for _, w in items]
+        rare = build_rare(own, weights, threshold)
         longest = max([len(w) for _, w in items], default=0)
         # the table of signed bits by word, kept by the worker for words seen before
         numbers: dict[bytes, int] = {}
         table = np.zeros((1 << 14, 64), dtype=np.int8)
+        hash_of = np.zeros(1 << 14, dtype=np.uint64)
 
         def numbered(words: list[bytes]) -> np.ndarray:
-            nonlocal table
+            nonlocal table, hash_of
             if len(numbers) > 400_000:
                 numbers.clear()
             held = list(map(numbers.get, words))
@@ -172,17 +307,12 @@ def _searcher(items: list, weights: Counter, width: int, threshold: float, radiu
                 numbers.update(zip(new, range(base, base + len(new)), strict=True))
                 while len(table) < len(numbers):
                     table = np.concatenate([table, np.zeros_like(table)])
+                    hash_of = np.concatenate([hash_of, np.zeros_like(hash_of)])
+                hash_of[base : base + len(new)] = word_hashes(new)
                 table[base : base + len(new)] = bit_table(new)
                 held = map(numbers.__getitem__, words)
             return np.array(list(held), dtype=np.int64)
 
-        def similarity(k: int, words: list[bytes], start: int) -> float:
-            there = shingles(words[max(0, start) : max(0, start) + len(items[k][1])], width)
-            if not there & own[k]:
-                return 0.0
-            common = sum(1 / weights[s] for s in sorted(there & own[k]))
-            return common / sum(1 / weights.get(s, 1) for s in sorted(there | own[k]))
-
         for batch in filter(len, batches):
             # the batch's words in one row; windows stay on each document's own grid and within it
             docs = [words_of(t) for t in texts_of(batch)]
@@ -193,7 +323,7 @@ def _searcher(items: list, weights: Counter, width: int, threshold: float, radiu
             ids = numbered(every)
             local = np.arange(len(every)) - np.repeat(begins, sizes)
             room = np.repeat(ends, sizes) - np.arange(len(every))
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            near: set[tuple[int, int]] = set()
             for at in range(0, len(every), STRETCH):
                 sums = running_sums(table[ids[at : at + STRETCH + longest]])
                 for x in indexes:
@@ -201,16 +331,24 @@ def _searcher(items: list, weights: Counter, width: int, threshold: float, radiu
                     if not len(starts):
                         continue
                     places, items_at = candidates(x, fingerprints(sums, x.window, starts), radius)
-                    for p, i in zip(places, items_at, strict=True):
-                        place = int(starts[p]) + at
-                        doc, item = int(np.searchsorted(ends, place, "right")), int(x.item[i])
-                        begin = place - int(begins[doc]) - int(x.offset[i])
-                        s = similarity(item, docs[doc], begin)
-                        if s >= threshold:
-                            best[doc, item] = min(best.get((doc, item), (0.0, 0)), (-s, max(0, begin)))
+                    near.update(zip(np.searchsorted(ends, starts[places] + at, "right").tolist(), x.item[items_at].tolist(), strict=True))
+            hashes = hash_of[ids]
+            for r in rare:
+                words_at, items_at = holders(r, hashes, room)
+                near.update(zip(np.searchsorted(ends, words_at, "right").tolist(), items_at.tolist(), strict=True))
+            best: dict[tuple[int, int], tuple[float, int]] = {}
+            held: tuple = (None, None)
+            for doc, item in sorted(near, key=lambda p: (p[0], min(width, len(items[p[1]][1])), p[1])):
+                k = min(width, len(items[item][1]))
+                if held[0] != (doc, k):
+                    there = shingle_list(docs[doc], k) if len(docs[doc]) >= k else []
+                    held = (doc, k), there, places_of(there)
+                found_at = best_place(items[item][1], own[item], docs[doc], weights, width, threshold, *held[1:])
+                if found_at:
+                    best[doc, item] = found_at
             if best:
                 doc_ids = batch.column("doc_id").to_pylist()
-                found = [(doc_ids[d], items[i][0], -s, p) for (d, i), (s, p) in best.items()]
+                found = [(doc_ids[d], items[i][0], s, p) for (d, i), (s, p) in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word"])
 
     return search

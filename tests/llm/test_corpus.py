@@ -296,6 +296,43 @@ def test_decontamination(spark, make_docs, texts):
     assert want <= set(got)
 
 
+def brute_matches(docs, items, width=5, threshold=0.8):
+    """(document, item) and the best similarity over all stretches as long as the item, written directly."""
+    grams = lambda w: {tuple(w[a : a + min(width, len(w))]) for a in range(max(1, len(w) - width + 1))} if w else set()
+    held = Counter(s for x in items.values() for s in grams(decontaminate.words_of(x)))
+    weight = lambda ss: sum(1 / (held.get(s) or 1) for s in ss)
+    out = {}
+    for d, t in docs.items():
+        w = decontaminate.words_of(t)
+        for k, x in items.items():
+            x = decontaminate.words_of(x)
+            own = grams(x)
+            best = max((weight(own & g) / weight(own | g) for g in (grams(w[a : a + len(x)]) for a in range(len(w))) if own & g), default=0)
+            if best >= threshold:
+                out[d, k] = best
+    return out
+
+
+def test_decontamination_finds_all_near_copies(spark, make_docs):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = [words(n) for n in (2, 5, 8, 15, 24, 33, 47, 55, 59, 120)]
+    items += [[*items[8][:30], *words(20)], [*items[8][:30], *words(12)]]
+    docs = []
+    for x in items:
+        for place in {0, 1, len(x) // 2, len(x) - 2, len(x) - 1}:
+            for edit in ("change", "drop", "add"):
+                y = [*x[:place], *([] if edit == "drop" else ["new"]), *x[place + (edit != "add") :]]
+                docs.append(" ".join([*words(rng.randrange(30)), *y, *words(rng.randrange(30))]))
+    docs += [" ".join([*words(9), *items[9][:100], "new", *items[9][101:], *words(4)]), " ".join(items[9][:110]), " ".join(items[8][6:])]
+    want = brute_matches(dict(enumerate(docs)), {k: " ".join(x) for k, x in enumerate(items)})
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.matches(make_docs(docs), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and len(want) > 40
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_ngram_join(make_docs, texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 3)
     base = texts[38].split()[:200]
