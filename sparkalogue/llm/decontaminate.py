@@ -20,8 +20,10 @@ best place counts, the first of equals. Words are lower-cased runs of other than
 the shingle width is one shingle. Items and texts without a word (null, empty) match
 nothing. Repeated items or rows match each on its own.
 
-The items are a stated query set: they are taken in blocks of ITEM_BLOCK (each of bounded
-size, sent to every task), and each block reads all documents.
+The items are a stated query set: they are taken in blocks of about ITEM_BLOCK items or
+ITEM_BYTES bytes, dealt by hash (sent to every task), and each block reads all documents. Holders are
+counted once over all items, and every block gets the counts of the shingles that several items
+hold, by 64-bit hash (16 bytes each), so that no result depends on the blocks.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, texts_of
+from .common import mix64, small_batches, texts_of, write_table
 
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, ITEM_BYTES = 20_000, 1_000_000
 #: Words whose window sums are held at a time, few enough for a processor's cache.
 STRETCH = 12_000
 
@@ -99,7 +102,7 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def rare_shingles(own: set[tuple[bytes, ...]], weights: Counter, threshold: float) -> list[tuple[bytes, ...]]:
+def rare_shingles(own: set[tuple[bytes, ...]], weights: Holders, threshold: float) -> list[tuple[bytes, ...]]:
     """The heaviest shingles, until the others weigh less than the threshold's share of all."""
     ordered = sorted(own, key=lambda s: (weights[s], s))
     left = total = sum(1 / weights[s] for s in ordered)
@@ -120,7 +123,7 @@ class RareIndex:
     bitmap: np.ndarray
 
 
-def build_rare(own: list[set[tuple[bytes, ...]]], weights: Counter, threshold: float) -> list[RareIndex]:
+def build_rare(own: list[set[tuple[bytes, ...]]], weights: Holders, threshold: float) -> list[RareIndex]:
     by_length = defaultdict(list)
     for k, held in enumerate(own):
         for s in rare_shingles(held, weights, threshold):
@@ -146,7 +149,7 @@ def holders(index: RareIndex, hashes: np.ndarray, room: np.ndarray) -> tuple[np.
     return np.repeat(maybe, n), index.item[at]
 
 
-def best_place(item: list[bytes], own: set[tuple[bytes, ...]], document: list[bytes], weights: Counter, width: int, threshold: float, there: list[tuple[bytes, ...]] | None = None, places: dict | None = None) -> tuple[float, int] | None:
+def best_place(item: list[bytes], own: set[tuple[bytes, ...]], document: list[bytes], weights: Holders, width: int, threshold: float, there: list[tuple[bytes, ...]] | None = None, places: dict | None = None) -> tuple[float, int] | None:
     """(similarity, first word) of the stretch most like the item, if it reaches the threshold; the first of equals.
 
     there, places: the document's shingles, and where each begins, if the caller holds them.
@@ -183,12 +186,12 @@ def best_place(item: list[bytes], own: set[tuple[bytes, ...]], document: list[by
                     if s in own:
                         common += 1 / weights[s]
                     else:
-                        extra += 1 / (weights.get(s) or 1)
+                        extra += 1 / weights[s]
                 upto += 1
             if common >= slack * (total + extra) * (1 - 1e-9):
                 window = set(there[start : start + size])
                 both = sum(1 / weights[s] for s in sorted(window & own))
-                similarity = both / sum(1 / (weights.get(s) or 1) for s in sorted(window | own))
+                similarity = both / sum(1 / weights[s] for s in sorted(window | own))
                 if similarity >= threshold and (best is None or similarity > best[0]):
                     best = similarity, start
             s = there[start]
@@ -197,7 +200,7 @@ def best_place(item: list[bytes], own: set[tuple[bytes, ...]], document: list[by
                 if s in own:
                     common -= 1 / weights[s]
                 else:
-                    extra -= 1 / (weights.get(s) or 1)
+                    extra -= 1 / weights[s]
         at = end + 1
     return best
 
@@ -268,26 +271,69 @@ def candidates(index: Index, prints: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(got_w), np.concatenate(got_i)
 
 
+class Holders:
+    """Number of items that hold a shingle: 1 unless it is among the shared ones."""
+
+    def __init__(self, shared: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.counts = shared
+        self.known: dict[tuple[bytes, ...], int] = {}
+
+    def __getitem__(self, s: tuple[bytes, ...]) -> int:
+        n = self.known.get(s)
+        if n is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            n = 1
+            if len(self.keys):
+                key = shingle_key(s)
+                at = min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)
+                n = int(self.counts[at]) if self.keys[at] == key else 1
+            self.known[s] = n
+        return n
+
+
+def shingle_key(s: tuple[bytes, ...]) -> int:
+    """A hash as a signed 64-bit number."""
+    return xxhash.xxh3_64_intdigest(b" ".join(s)) - (1 << 63)
+
+
+def shared_shingles(items: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, number of items) of the shingles that several of all items hold; repeated items count each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            for t in texts_of(batch):
+                keys = [shingle_key(s) for s in shingles(words_of(t), width)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+
+    found = items.select("text").mapInArrow(cut, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    keys, counts = found.column("key").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def matches(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, item_id, similarity, start_word: one row for each document and item that it holds."""
     spark = docs.sparkSession
     small_batches(spark)
     schema = "doc_id long, item_id long, similarity double, start_word long"
-    listed = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    weights = Counter()
+    listed = write_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), "items")
+    shared = shared_shingles(listed, width)
+    size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(1, math.ceil(size[0] / ITEM_BLOCK), math.ceil(size[1] / ITEM_BYTES))
+    # the row number deals out repeated items too; written, so that it is the same for every block
+    dealt = write_table(listed.withColumn("block", F.pmod(F.xxhash64("item_id", F.monotonically_increasing_id()), F.lit(n_blocks))), "blocks")
     out = spark.createDataFrame([], schema)
-    n_blocks = max(1, math.ceil(listed.count() / ITEM_BLOCK))
     for k in range(n_blocks):
-        part = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        part = dealt.where(F.col("block") == k).collect()
         block = [(r["item_id"], words_of(r["text"])) for r in part]
-        weights = Counter(s for _, w in block for s in shingles(w, width))
-        out = out.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_searcher(block, weights, width, threshold, radius), schema))
+        out = out.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_searcher(block, shared, width, threshold, radius), schema))
     return out
 
 
-def _searcher(items: list, weights: Counter, width: int, threshold: float, radius: int):
+def _searcher(items: list, shared: tuple[np.ndarray, np.ndarray], width: int, threshold: float, radius: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = build(items, radius)
+        indexes, weights = build(items, radius), Holders(shared)
         own = [shingles(w, width) for _, w in items]
         rare = build_rare(own, weights, threshold)
         longest = max([len(w) for _, w in items], default=0)

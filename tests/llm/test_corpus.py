@@ -333,6 +333,21 @@ def test_decontamination_finds_all_near_copies(spark, make_docs):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+@pytest.mark.parametrize("bound", ["ITEM_BLOCK", "ITEM_BYTES"])
+def test_decontamination_does_not_depend_on_blocks(spark, make_docs, monkeypatch, bound):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    stock = words(25)
+    items = {k: " ".join([*stock, *words(20)]) for k in range(12)}
+    docs = [" ".join([*words(6), *items[k].split()[: 45 - n], *words(9)]) for k in range(12) for n in (0, 2, 4)]
+    docs += [" ".join([*items[k].split()[n:], *words(9)]) for k in range(12) for n in (10, 25)]
+    want = brute_matches(dict(enumerate(docs)), items)
+    monkeypatch.setattr(decontaminate, bound, 3 if bound == "ITEM_BLOCK" else 700)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(make_docs(docs), bench).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_ngram_join(make_docs, texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 3)
     base = texts[38].split()[:200]
