@@ -12,7 +12,10 @@ array (prefix doubling; longest common prefixes by the doubling ranks) is scanne
 stack for the intervals of common prefixes of `least` bytes or more whose members differ on
 their left (or start a segment): these are the maximal repeats, with all occurrences.
 An anchor with more than SPLIT different segments is split by the core that a few
-neighbouring strings share, so that equal strings still meet.
+neighbouring strings share, so that equal strings still meet. Parts that occur more than once
+under a core are settled by counting, and one of each different part goes on; a core with more
+than SPLIT different parts is cut down to its single strings, which meet by counting alone. So
+no key sends more than SPLIT parts to one task, however often a passage is repeated.
 
 Null or empty text: no bytes, nothing removed. Texts shorter than `least` stay whole. Equal
 rows are copies of each other. Columns other than the id and the text are ignored.
@@ -171,7 +174,7 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode()
 
 
-def _cutter(least: int):
+def _cutter(least: int, split: bool):
     """Bytes of the wanted segments of a text, by the key under which equal strings meet."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def _cutter(least: int):
                 data = _bytes(text)
                 for s in wanted:
                     lo, hi, at = s["first"], s["last"], s["at"]
-                    if not s["split"]:
+                    if not split:
                         rows.append((s["anchor"], row, lo, s["once"], data[lo : hi + least]))
                         continue
                     for c in range((at - hi) // CORE_STEP, (at - lo) // CORE_STEP + 1):
@@ -198,6 +201,37 @@ def _cutter(least: int):
     return cut
 
 
+def _strings(least: int):
+    """The single strings of parts, by the part's key and a hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, row, start, once, part in zip(*[batch.column(c).to_pylist() for c in ("key", "row", "start", "once", "part")], strict=True):
+                rows += [(key, row, start + k, once, xxhash.xxh3_64_intdigest(part[k : k + least]) - (1 << 63)) for k in range(len(part) - least + 1)]
+            if rows:
+                kinds = (*[pa.int64()] * 3, pa.bool_(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "row", "start", "once", "string"])
+
+    return cut
+
+
+def settle_parts(parts: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(spans found by counting, parts left for the suffix arrays, at most `most` a key)."""
+    named = write_table(parts.withColumn("name", F.xxhash64("part")), "parts")
+    kinds = named.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "once", "part")).alias("rep"))
+    kinds = write_table(kinds.select("key", "name", "n", "rep.row", "rep.start", (F.col("rep.once") & (F.col("n") == 1)).alias("once"), "rep.part"), "kinds")
+    again = kinds.where("n > 1").select("key", "name")
+    spans = named.where("once").join(again, ["key", "name"]).select("row", "start", (F.col("start") + F.length("part")).alias("end"))
+    of_key = kinds.groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1")
+    open_ones = kinds.join(of_key, "key")
+    strings = open_ones.where(F.col("of_key") > most).select("key", "row", "start", "once", "part").mapInArrow(_strings(least), "key long, row long, start long, once boolean, string long")
+    strings = write_table(strings, "strings")
+    met = strings.groupBy("key", "string").agg(F.count("*").alias("n")).where("n > 1").select("key", "string")
+    spans = spans.union(strings.where("once").join(met, ["key", "string"]).select("row", "start", (F.col("start") + least).alias("end")))
+    return spans, open_ones.where(F.col("of_key") <= most).select("key", "row", "start", "once", "part")
+
+
 def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     """doc_id, n_bytes long, spans array<struct<start, end>> (removed runs of bytes), kept binary."""
     if least < GRAM + 1:
@@ -231,8 +265,14 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     open_ones = write_table(open_ones, "open")
     size = open_ones.agg(F.sum(F.col("last") - F.col("first") + least)).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
-    wanted = open_ones.groupBy("row").agg(F.collect_list(F.struct("at", "first", "last", "anchor", "once", "split")).alias("wanted"))
-    cut = docs.select("row", "text").join(wanted, "row").mapInArrow(_cutter(least), "key long, row long, start long, once boolean, part binary")
+    def parts(segs: DataFrame, split: bool) -> DataFrame:
+        wanted = segs.groupBy("row").agg(F.collect_list(F.struct("at", "first", "last", "anchor", "once")).alias("wanted"))
+        return docs.select("row", "text").join(wanted, "row").mapInArrow(_cutter(least, split), "key long, row long, start long, once boolean, part binary")
+
+    cut = parts(open_ones.where("not split"), False)
+    if not open_ones.where("split").isEmpty():
+        counted, left = settle_parts(parts(open_ones.where("split"), True), least, SPLIT)
+        whole, cut = whole.union(counted), cut.union(left)
 
     def repeats(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["row", "start", "key"])

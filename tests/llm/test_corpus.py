@@ -86,6 +86,28 @@ def test_suffix_dedup(make_docs, texts, monkeypatch, least, split):
             assert r["spans"] == []
 
 
+def test_suffix_dedup_bounds_the_parts_of_a_hot_passage(make_docs, monkeypatch):
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    long, short = prose(450), prose(396)
+    texts = [prose(rng.randint(420, 500)) + (long if i % 3 else short) + prose(rng.randint(420, 500)) for i in range(90)]
+    texts += [prose(500) + short + texts[0][len(texts[0]) - 300 :], texts[3] + "x", texts[3]]
+    plain = suffix_dedup.covered
+
+    def bounded(parts, least):
+        if len(parts) > 30:
+            raise ValueError(f"{len(parts)} parts in one group")
+        return plain(parts, least)
+
+    monkeypatch.setattr(suffix_dedup, "covered", bounded)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 10)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 400)
+    want = brute_repeats([t.encode() for t in texts], 400)
+    for r in suffix_dedup.remove_repeats(make_docs(texts, odd=False), 400).collect():
+        got = (sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
+        assert got == want[r["doc_id"]]
+
+
 def test_maximal_repeats_list_all_occurrences():
     data = b"xabcdeyabcdezabcdq"
     arr = np.frombuffer(data, np.uint8)
