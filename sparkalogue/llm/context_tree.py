@@ -8,10 +8,11 @@ of its children's, which gives each node the share of its own estimate against d
 
 Training counts all byte strings of DEPTH + 1 bytes of all training texts (START bytes
 before a text, an END symbol after it; neither byte occurs in UTF-8). The subtrees below
-two context bytes are weighted in parallel, the two upper levels from their roots. The
-model that goes to every task is bounded: it holds the MODEL_NODES nodes with the most
-occurrences (whole levels of log2 occurrences), and where a context isn't held the deepest
-one that is predicts alone. Counting and weighting are never cut short by that bound.
+two context bytes are weighted in parallel, the two upper levels from their roots. All nodes
+are written as a table, with no bound on their number. Scoring takes each different string of
+all texts to the nodes below its last two context bytes and gets its log probability there.
+Logs of the most frequent strings (COMMON_STRINGS at most, whole levels of log2 occurrences)
+go to every task, those of all others are joined, so a text's score never depends on that bound.
 
 Texts have A-Z lower-cased. score is the log10 probability of all bytes and the end symbol;
 base_score that of add-one word counts. Null or empty text: the end symbol alone. Repeated
@@ -34,7 +35,10 @@ from .common import crc32_of_id, small_batches, write_table
 
 DEPTH = 4
 START, END = 0xFE, 0xFF
-MODEL_NODES = 3_000_000
+#: Strings whose log probabilities go to every task; those of all others are joined.
+COMMON_STRINGS = 2_000_000
+#: Strings to a group in which nodes are made and looked up, on average.
+GROUP_STRINGS = 400_000
 #: Words whose counts go to every task; the counts of all others are joined.
 COMMON_WORDS = 50_000
 #: Texts are taken together up to so many bytes.
@@ -141,7 +145,7 @@ class Model:
         self.key, self.p1, self.share = key, p1, share
         self.codes, self.logs = np.zeros(0, np.int64), np.zeros(0)
 
-    def _compute(self, codes: np.ndarray) -> np.ndarray:
+    def compute(self, codes: np.ndarray) -> np.ndarray:
         symbol, out = codes & 0xFF, np.zeros(len(codes))
         for j in range(8):
             bits, one = (1 << j) | symbol >> (8 - j), symbol >> (7 - j) & 1
@@ -168,7 +172,7 @@ class Model:
         logs[known] = self.logs[spot[known]]
         if not known.all():
             new = kinds[~known]
-            made = logs[~known] = self._compute(new)
+            made = logs[~known] = self.compute(new)
             if len(self.codes) > 3_000_000:
                 self.codes, self.logs = np.zeros(0, np.int64), np.zeros(0)
             where = np.searchsorted(self.codes, new)
@@ -192,7 +196,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterato
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings with their counts (word null) and words with theirs (code null), summed over a task's texts."""
+    """Strings with their counts (word null) and words with theirs (code null), summed over a run of a task's texts."""
     codes, counts, words = np.zeros(0, np.int64), np.zeros(0), Counter()
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -218,29 +222,52 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame]:
-    """(nodes of the model, words with counts c) of all texts."""
-    counted = write_table(docs.select("text").mapInArrow(_count, "code long, word binary, n long"), "counts")
-    strings = counted.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
-    words = write_table(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    two = F.shiftright("code", 8).bitwiseAND(0xFFFF)
-    buckets = 64
-    grown = strings.withColumn("bucket", F.pmod(F.xxhash64(two), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda rows: subtree(rows["code"].to_numpy(), rows["n"].to_numpy()), NODES)
+def _counts(docs: DataFrame, name: str) -> DataFrame:
+    return write_table(docs.select("text").mapInArrow(_count, "code long, word binary, n long"), name)
+
+
+def train(trained: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log10 probability and count of every string of all texts, words with counts c of those trained on), from both counts."""
+    words = write_table(trained.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    both = trained.where("code is not null").select("code", "n", F.col("n").alias("learnt")).union(held.where("code is not null").select("code", "n", F.lit(0).cast("long").alias("learnt")))
+    strings = write_table(both.groupBy("code").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt")), "strings")
+    buckets = max(64, strings.count() // GROUP_STRINGS)
+    bucket = lambda c: F.pmod(F.xxhash64(F.shiftright(c, 8).bitwiseAND(0xFFFF)), F.lit(buckets))
+    grown = strings.where("learnt > 0").groupBy(bucket("code").alias("bucket")).applyInPandas(lambda rows: subtree(rows["code"].to_numpy(), rows["learnt"].to_numpy()), NODES)
     nodes = write_table(grown, "nodes")
-    level = F.floor(F.log2("seen"))
-    sizes = nodes.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
-    least, held = 0, 0
+    roots = nodes.where("log_p is not null and not isnan(log_p)").toArrow().to_pandas()
+    top = upper_levels(roots) if len(roots) else roots[["key", "p1", "share"]]
+    sent = trained.sparkSession.sparkContext.broadcast(top.sort_values("key"))
+
+    def look_up(below: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(wanted):
+            return pd.DataFrame({"code": [], "n": [], "log": []}).astype({"code": "int64", "n": "int64", "log": "float64"})
+        every = pd.concat([sent.value, below[["key", "p1", "share"]]]).sort_values("key") if len(below) else sent.value
+        model = Model(every["key"].to_numpy(np.int64), every["p1"].to_numpy(np.float64), every["share"].to_numpy(np.float64))
+        codes = wanted["code"].to_numpy()
+        logs = np.concatenate([model.compute(codes[k : k + 200_000]) for k in range(0, len(codes), 200_000)])
+        return pd.DataFrame({"code": codes, "n": wanted["n"].to_numpy(), "log": logs})
+
+    # a node's last two context bytes stand where a string's do
+    of_nodes = nodes.select("key", "p1", "share").groupBy(bucket("key").alias("bucket"))
+    of_strings = strings.select("code", "n").groupBy(bucket("code").alias("bucket"))
+    return write_table(of_nodes.cogroup(of_strings).applyInPandas(look_up, "code long, n long, log double"), "logs"), words
+
+
+def common_strings(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted codes, logs) of the most frequent strings, whole levels of log2 occurrences."""
+    level = F.floor(F.log2("n"))
+    sizes = logs.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    least, taken = 0, 0
     for r in sizes:
-        held += r["n"]
-        if held > MODEL_NODES:
+        taken += r["n"]
+        if taken > COMMON_STRINGS:
             least = r["level"] + 1
             break
-    deep = nodes.where(level >= least).select("key", F.col("p1").cast("float"), F.col("share").cast("float")).toArrow().to_pandas()
-    roots = nodes.where("log_p is not null and not isnan(log_p)").toArrow().to_pandas()
-    top = upper_levels(roots) if len(roots) else roots[["key", "p1", "share"]]
-    every = pd.concat([top, deep]).sort_values("key")
-    model = {"key": every["key"].to_numpy(np.int64), "p1": every["p1"].to_numpy(np.float32), "share": every["share"].to_numpy(np.float32)}
-    return model, words
+    got = logs.where(level >= least).select("code", "log").toArrow()
+    codes, values = got.column("code").to_numpy(), got.column("log").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], values[order]
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -248,19 +275,28 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", crc32_of_id(F.col("doc_id")) % folds == held)
-    arrays, words = train(docs.where("not held_out"))
+    logs, words = train(_counts(docs.where("not held_out"), "counts"), _counts(docs.where("held_out"), "held"))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     scale = math.log10(total[0] + total[1] + 1)
     common = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).collect()}
-    sent = spark.sparkContext.broadcast((arrays, common))
+    sent = spark.sparkContext.broadcast((*common_strings(logs), common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, common = sent.value
-        model, get = Model(**arrays), common.get
+        known, known_logs, common = sent.value
         logs_of = {w: math.log10(c + 1) for w, c in common.items()}
         for rows, texts in _stretches(batches, ["doc_id", "held_out"]):
             codes, sizes = grams(texts)
-            totals = np.add.reduceat(model.log10(codes), np.cumsum(sizes) - sizes)
+            ends = np.cumsum(sizes)
+            kinds, at = np.unique(codes, return_inverse=True)
+            spot = np.minimum(np.searchsorted(known, kinds), max(len(known) - 1, 0))
+            hit = known[spot] == kinds if len(known) else np.zeros(len(kinds), bool)
+            logs_here = np.zeros(len(kinds))
+            logs_here[hit] = known_logs[spot[hit]]
+            totals = np.add.reduceat(logs_here[at], ends - sizes)
+            # each text's strings that are not among the common ones
+            other_at = np.flatnonzero(~hit[at])
+            offsets = np.concatenate(([0], np.searchsorted(other_at, ends)))
+            strings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes[other_at]))
             n_tokens, n_known, base, rare = [], [], [], []
             for t in texts:
                 tokens = t.split()
@@ -271,16 +307,17 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                 base.append(math.fsum([logs_of[w] for w in tokens if w in common]))
                 rare.append(other)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(totals), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
-                names=["doc_id", "held_out", "score", "n_tokens", "n_common", "common_logs", "rare"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(totals), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary())), strings],
+                names=["doc_id", "held_out", "score", "n_tokens", "n_common", "common_logs", "rare", "strings"],
             )
 
-    schema = "doc_id long, held_out boolean, score double, n_tokens long, n_common long, common_logs double, rare array<binary>"
+    schema = "doc_id long, held_out boolean, score double, n_tokens long, n_common long, common_logs double, rare array<binary>, strings array<long>"
     scored = write_table(docs.mapInArrow(run, schema), "scored").withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode("rare").alias("word")).join(words, "word")
     found = rare.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
+    others = scored.select("row", F.explode("strings").alias("code")).join(logs.select("code", "log"), "code").groupBy("row").agg(F.sum("log").alias("other_logs"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.join(found, "row", "left").select(
+    return scored.join(found, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_common") + zero(F.col("n"))).alias("n_known"), F.lit(total[0]).cast("long").alias("train_tokens"),
-        (F.col("common_logs") + zero(F.col("logs")) - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score",
+        (F.col("common_logs") + zero(F.col("logs")) - F.col("n_tokens") * F.lit(scale)).alias("base_score"), (F.col("score") + zero(F.col("other_logs"))).alias("score"),
     )

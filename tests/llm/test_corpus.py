@@ -275,6 +275,24 @@ def test_context_tree_equals_plain_version():
     assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("bound", [0, 50, 10**9])
+def test_context_tree_uses_all_nodes(make_docs, texts, monkeypatch, bound):
+    for name in ("MODEL_NODES", "COMMON_STRINGS"):
+        monkeypatch.setattr(context_tree, name, bound, raising=False)
+    text = {**dict(enumerate(texts[:30])), 9001: "", 9002: "", 9003: " \n\t "}
+    codes, _ = context_tree.grams([context_tree.prepare(t) for d, t in text.items() if zlib.crc32(str(d).encode()) % 7 != 2])
+    deep = context_tree.subtree(*np.unique(codes, return_counts=True))
+    import pandas as pd
+
+    every = pd.concat([context_tree.upper_levels(deep[deep["log_p"].notna()]), deep]).sort_values("key")
+    model = context_tree.Model(every["key"].to_numpy(np.int64), every["p1"].to_numpy(), every["share"].to_numpy())
+    got = {r["doc_id"]: r["score"] for r in context_tree.score(make_docs(texts[:30])).collect()}
+    assert got.keys() == text.keys()
+    for d, t in text.items():
+        want = model.log10(context_tree.grams([context_tree.prepare(t)])[0]).sum()
+        assert abs(got[d] - want) < 1e-6 * (1 + abs(want))
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     vocab = ["".join(rng.choice(["ka", "lo", "mi", "ten", "sur", "ox", "er"]) for _ in range(rng.randint(1, 4))) for _ in range(500)]
