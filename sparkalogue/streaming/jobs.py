@@ -68,5 +68,6 @@ def safe_cursor(changes: DataFrame) -> DataFrame:
 
 def moderate(log: DataFrame) -> DataFrame:
     """Current status of each id from its log (id, seq, action): amended after an amendment, rejected ends it, else auto."""
-    state = F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("seq", "action"))), lambda x: x["action"]), F.lit("auto"), lambda s, a: F.when(s == "rejected", s).when(a == "reject", "rejected").when(a == "amend", "amended").otherwise(s))
+    any_of = lambda a: F.coalesce(F.bool_or(F.col("action") == a), F.lit(False))
+    state = F.when(any_of("reject"), "rejected").when(any_of("amend"), "amended").otherwise("auto")
     return log.groupBy("id").agg(state.alias("status"))

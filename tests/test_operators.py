@@ -165,3 +165,11 @@ def test_stream_windows(spark, tmp_path):
     q = jobs.window_counts(stream, "ts", "event_type", "1 day", late="1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_moderation_gathers_no_log(spark, capsys):
+    log = [("a", 1, "view"), ("a", 2, "amend"), ("b", 1, "reject"), ("b", 2, "amend"), ("c", 1, None), (None, 1, "amend"), ("d", 3, "view"), ("e", 1, "amend"), ("e", 2, "reject")]
+    got = jobs.moderate(spark.createDataFrame(log, "id string, seq long, action string"))
+    assert dict(got.collect()) == {"a": "amended", "b": "rejected", "c": "auto", None: "amended", "d": "auto", "e": "rejected"}
+    got.explain()
+    assert "collect_list" not in capsys.readouterr().out
