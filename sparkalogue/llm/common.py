@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -31,10 +32,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and the master is local (tests)."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_sparkalogue_dir", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="sparkalogue-")
@@ -42,12 +45,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for a while, put back at the end; in names, __ stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    The shuffle files of the write are dropped when it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with session_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._sparkalogue_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of write_table that nothing reads again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._sparkalogue_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -7,122 +7,157 @@ the earlier line counts whether or not it goes itself. Lines without a word stay
 
 Tokens are ordered by rarity: counts of all words of the corpus, summed over RARITY_SLOTS
 hash slots (an array of bounded size), lead each token's key, so a sorted key array has the
-rarest first. Lines with equal token sets are one set, known by its earliest line. Two sets
-at the threshold share a token of their prefixes, n - ceil(t n) + 1 rarest tokens; only
-tokens that several prefixes hold are kept. Each set first meets the earliest set of each
-of its prefix tokens; those still without a match meet all earlier sets there, under the
-length and positional filters. Candidates are verified on their whole token sets.
-
-Null text has no line and stays null; a text all of whose lines go becomes empty. Equal
-rows follow each other in order of a hash of the row. Extra columns stay; text is replaced.
+rarest first; any order gives the same lines, a truer one fewer candidates. Lines with equal
+token sets are one set, numbered by the place of its earliest line. Two sets at the threshold
+share two tokens of their prefixes, n - ceil(t n) + 2 rarest tokens. Sets meet under each
+prefix token, within the length and positional filters, and pairs that meet twice are
+candidates. A token that over HOT prefixes hold is hot: under it sets meet by the token and
+each other token of the prefix; there every set first tries the earliest set alone, and only
+those without a match meet the others. Candidates are verified on their whole token sets.
+
+Null text has no line and stays null; a text all of whose lines go becomes empty. Rows of one
+doc_id follow each other in order of a hash of the text, equal rows in any order: of these all
+but the first lose all lines with a word. A null doc_id comes first. Extra columns stay,
+whatever their names; text is replaced, and so are n_lines and n_removed. An empty table gives
+no rows. Texts and lines of any length are taken whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
+HOT = 200
 _SPACE = "[ \\t-\\r]+"
 _HASH_BITS = 43
+_LOW32 = (1 << 32) - 1
+_BLANK = " \t\n\x0b\x0c\r"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+def _odd_space(text: Column) -> Column:
+    """Whether another white space than single spaces parts the words."""
+    found = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        found = found | F.contains(text, F.lit(c))
+    return found
+
+
+def words(line: Column) -> Column:
+    """Words of a line; the one empty word where it has none."""
+    bare = F.btrim(line, F.lit(_BLANK))
+    return F.when(_odd_space(bare), F.split(bare, _SPACE)).otherwise(F.split(bare, " "))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array column of constant value: occurrences of the words of each hash slot."""
-    slots = docs.select(F.explode(F.split("text", _SPACE)).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
+    """An array column of constant value: occurrences of the words of each hash slot, above the bits of a token's hash."""
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    each = F.when(_odd_space(flat), F.split(flat, _SPACE)).otherwise(F.split(flat, " "))
+    slots = docs.select(F.explode(each).alias("w")).where("w != ''").groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n"))
     counts = [0] * RARITY_SLOTS
     for r in slots.collect():
-        counts[r["slot"]] = min(r["n"], (1 << 20) - 1)
+        counts[r["slot"]] = min(r["n"], (1 << 20) - 1) << _HASH_BITS
     return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
 
 
 def token_keys(line: Column, counts: Column) -> Column:
-    """Sorted different keys of a line's words: rarity above, hash below."""
-    mask = F.lit((1 << _HASH_BITS) - 1)
+    """Sorted different keys of a line's words: rarity above, hash below. Empty where the line has no word."""
+    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
+    keys = F.transform(hashes, lambda h: F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
+    return F.when(F.btrim(line, F.lit(_BLANK)) == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(keys)))
+
+
+def _within(a: str, b: str, t: int) -> Column:
+    """Length filter of two packed sizes and positions, and what is left from both positions on, with one token before, suffices for the overlap."""
+    n = [F.shiftright(c, 32) for c in (a, b)]
+    pos = [F.col(c).bitwiseAND(F.lit(_LOW32)) for c in (a, b)]
+    return (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t) & ((F.least(n[0] - pos[0], n[1] - pos[1]) + 1) * (1000 + t) >= (n[0] + n[1]) * t)
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(counts, F.pmod(h, F.lit(RARITY_SLOTS)).cast("int")), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS).bitwiseAND(mask))
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
+def _keyed(docs: DataFrame) -> list[Column]:
+    """doc and row: what tells different rows apart, never null; a null doc_id comes before all others."""
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(doc_id.isNull(), "text").alias("row")]
 
 
 def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(row, line_no) of the lines that go; row is a hash of a row's id and text."""
+    """(doc, row, line_no) of the lines that go; equal rows count as one."""
     t = round(1000 * threshold)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    if not 500 < t <= 1000:
+        raise ValueError("the threshold must be over 0.5, and 1 at most")
+    source = docs.select(*_keyed(docs), "text")
     counts = rarity(source)
-
-    def lines(rows: DataFrame) -> DataFrame:
-        split = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        return split.withColumn("keys", token_keys(F.col("line"), counts)).drop("line")
+    split = source.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
     n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 1).cast("int"))
-    all_lines = lines(source).select("doc_id", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), F.reverse("keys")).alias("sig2"), n.alias("n"), prefix.alias("prefix"))
+    prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 2).cast("int"))
+    all_lines = split.withColumn("keys", token_keys(F.col("line"), counts)).select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), prefix.alias("prefix"))
     # lines without a word are left out of the written table: a filter before would compute the keys twice
     all_lines = write_table(all_lines, "lines").where("n > 0")
-    place = F.struct("doc_id", "line_no", "row")
-    sets = all_lines.groupBy("sig", "sig2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = write_table(sets, "line-sets")
+    first = all_lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    ordered = first.select("sig", "sig2", "first.*", "n", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
+    sets = write_table(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
 
-    # one narrow row for each prefix token: the set, the place of its first line, its size and the token's position
+    # a narrow row for each prefix token; a set of one token has no other set within the threshold
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    spread = sets.select("sig", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "doc_id", "line_no", "sig", sized.alias("size_pos"))
-    order = F.struct("doc_id", "line_no", "sig")
-    shared = spread.groupBy("tok").agg(F.min(F.struct("doc_id", "line_no", "sig", "size_pos")).alias("low"), F.count("*").alias("held")).where("held > 1")
-    low = shared.select("tok", "held", F.col("low.doc_id").alias("low_doc"), F.col("low.line_no").alias("low_line"), F.col("low.sig").alias("low_sig"), F.col("low.size_pos").alias("low_size_pos"))
-    met = write_table(spread.join(low, "tok"), "prefixes")
-
-    def passes(a: str, b: str) -> Column:
-        """Length filter, and what is left after both positions suffices for the overlap."""
-        n = [F.shiftright(c, 32) for c in (a, b)]
-        pos = [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b)]
-        need = (n[0] + n[1]) * t  # overlap * (1000 + t) >= this
-        return (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t) & (F.least(n[0] - pos[0], n[1] - pos[1]) * (1000 + t) >= need)
+    spread = sets.where("n > 1").select("id", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "id", sized.alias("at"))
+    held = spread.groupBy("tok").agg(F.count("*").alias("held")).where("held > 1")
+    met = write_table(spread.join(held.select("tok", (F.col("held") > HOT).alias("hot")), "tok"), "prefixes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """sig of the sets whose pair (sig, other) reaches the threshold."""
-        pairs = write_table(pairs.distinct(), "line-pairs")
-        members = pairs.select("sig").union(pairs.select("other")).distinct()
-        wanted = write_table(sets.join(members, "sig").select("sig", "first.row", "first.line_no"), "line-members")
-        in_rows = source.join(wanted.select("row").distinct(), "row", "left_semi")
-        found = lines(in_rows).join(wanted, ["row", "line_no"]).groupBy("sig").agg(F.first("keys").alias("keys"))
+        """id of the sets whose pair (id, other) reaches the threshold."""
+        members = pairs.select("id").union(pairs.select("other")).distinct()
+        wanted = sets.join(members, "id").select("id", "doc", "row", "line_no")
+        found = split.join(wanted, ["doc", "row", "line_no"]).select("id", token_keys(F.col("line"), counts).alias("keys")).dropDuplicates(["id"])
         found = write_table(found, "line-keys")
-        both = pairs.join(found, "sig").join(found.select(F.col("sig").alias("other"), F.col("keys").alias("other_keys")), "other")
+        both = pairs.join(found, "id").join(found.select(F.col("id").alias("other"), F.col("keys").alias("other_keys")), "other")
         common = F.size(F.array_intersect("keys", "other_keys"))
-        union = F.size("keys") + F.size("other_keys") - common
-        return both.where(common * 1000 >= union * t).select("sig").distinct()
+        out = write_table(both.where(common * 1000 >= (F.size("keys") + F.size("other_keys") - common) * t).select("id").distinct(), "gone")
+        discard(found)
+        return out
+
+    # under hot tokens: a row for each other token of the prefix
+    hot = met.where("hot").select("tok", "id", "at").join(sets.select("id", "prefix"), "id")
+    hot = hot.select("id", "at", "tok", F.explode("prefix").alias("second")).where("second != tok").select(F.xxhash64("tok", "second").alias("tok"), "id", "at")
+    hot = write_table(hot, "hot-prefixes")
+    low = hot.groupBy("tok").agg(F.min("id").alias("other"), F.min_by("at", "id").alias("o_at"), F.count("*").alias("held")).where("held > 1").drop("held")
+    hubs = write_table(hot.join(low, "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other").distinct(), "line-pairs")
+    gone = verified(hubs)
+
+    def earlier(rows: DataFrame) -> DataFrame:
+        return rows.select("tok", F.col("id").alias("other"), F.col("at").alias("o_at"))
 
-    easy = met.where(order > F.struct("low_doc", "low_line", "low_sig")).where(passes("size_pos", "low_size_pos"))
-    gone = write_table(verified(easy.select("sig", F.col("low_sig").alias("other"))), "gone")
-    # a token held by two sets has no other pair than the one just tried
-    open_ones = met.where("held > 2").select("tok", "doc_id", "line_no", "sig", "size_pos", "low_sig")
-    left = open_ones.where("sig != low_sig").join(gone, "sig", "left_anti")
-    earlier = open_ones.where("sig != low_sig").select("tok", F.col("doc_id").alias("o_doc"), F.col("line_no").alias("o_line"), F.col("sig").alias("other"), F.col("size_pos").alias("o_size_pos"))
-    hard = left.join(earlier, "tok").where(order > F.struct("o_doc", "o_line", "other")).where(passes("size_pos", "o_size_pos"))
-    gone = gone.union(verified(hard.select("sig", "other"))).distinct().withColumn("near", F.lit(True))
+    cold = met.where("not hot")
+    by_two = cold.join(earlier(cold), "tok").where("id > other").where(_within("at", "o_at", t)).groupBy("id", "other").agg(F.count("*").alias("met")).where("met > 1").select("id", "other")
+    by_hot = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other").distinct()
+    pairs = write_table(by_two.join(gone, "id", "left_anti").union(by_hot), "line-pairs")
+    discard(met, hot, hubs)
+    gone = gone.union(verified(pairs)).distinct().withColumn("near", F.lit(True))
 
-    marked = sets.select("sig", "sig2", "first").join(gone, "sig", "left")
-    joined = all_lines.select("row", "doc_id", "line_no", "sig", "sig2").join(marked, ["sig", "sig2"])
-    return joined.where(F.coalesce("near", F.lit(False)) | (F.col("first.row") != F.col("row")) | (F.col("first.line_no") != F.col("line_no"))).select("row", "line_no")
+    marked = sets.select("id", "sig", "sig2", F.struct("doc", "row", "line_no").alias("first")).join(gone, "id", "left").drop("id")
+    joined = all_lines.select("doc", "row", "line_no", "sig", "sig2").join(marked, ["sig", "sig2"])
+    return joined.where(F.coalesce("near", F.lit(False)) | (F.col("first") != F.struct("doc", "row", "line_no"))).select("doc", "row", "line_no")
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with the lines gone from text, and n_lines, n_removed (long): lines with a word, and those that went."""
-    gone = duplicates(docs, threshold).groupBy("row").agg(F.collect_set("line_no").alias("_gone"))
-    keyed = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    n_lines = F.size(F.filter(split, lambda x: x.rlike("[^ \\t-\\r]")))
-    return keyed.join(gone, "row", "left").select(
-        *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")], text.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    gone = duplicates(docs, threshold).groupBy("doc", "row").agg(F.collect_set("line_no").alias("gone"))
+    held = docs.select(F.struct(*docs.columns).alias("d"), *_keyed(docs)).join(gone, ["doc", "row"], "left")
+    # equal rows: the first one is whichever comes first
+    copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy("row"))
+    held = held.select("d", "gone", copy.alias("copy"), F.split("d.text", "\n").alias("lines"))
+
+    def with_word(x: Column) -> Column:
+        return x.rlike("[^ \\t-\\r]")
+
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    n_lines = F.coalesce(F.size(F.filter("lines", with_word)), F.lit(0))
+    text = (
+        F.when((F.col("copy") > 1) & F.exists("lines", with_word), F.array_join(F.filter("lines", lambda x: ~with_word(x)), "\n"))
+        .when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     )
+    n_removed = F.when(F.col("copy") > 1, n_lines).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return held.select(*[F.col(f"d.`{c}`").alias(c) for c in others], text.alias("text"), F.when(F.col("d.text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("d.text").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
