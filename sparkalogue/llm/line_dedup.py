@@ -13,7 +13,7 @@ share two tokens of their prefixes, n - ceil(t n) + 2 rarest tokens. Sets meet u
 prefix token, within the length and positional filters, and pairs that meet twice are
 candidates. A token that over HOT prefixes hold is hot: under it sets meet by the token and
 each other token of the prefix; there every set first tries the earliest set alone, and only
-those without a match meet the others. Candidates are verified on their whole token sets.
+those without a match anywhere meet the others. Candidates are verified on their whole token sets.
 
 Null text has no line and stays null; a text all of whose lines go becomes empty. Rows of one
 doc_id follow each other in order of a hash of the text, equal rows in any order: of these all
@@ -103,8 +103,7 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # a narrow row for each prefix token; a set of one token has no other set within the threshold
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     spread = sets.where("n > 1").select("id", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "id", sized.alias("at"))
-    held = spread.groupBy("tok").agg(F.count("*").alias("held")).where("held > 1")
-    met = write_table(spread.join(held.select("tok", (F.col("held") > HOT).alias("hot")), "tok"), "prefixes")
+    hot_tokens = write_table(spread.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """id of the sets whose pair (id, other) reaches the threshold."""
@@ -118,23 +117,26 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         discard(found)
         return out
 
-    # under hot tokens: a row for each other token of the prefix
-    hot = met.where("hot").select("tok", "id", "at").join(sets.select("id", "prefix"), "id")
-    hot = hot.select("id", "at", "tok", F.explode("prefix").alias("second")).where("second != tok").select(F.xxhash64("tok", "second").alias("tok"), "id", "at")
-    hot = write_table(hot, "hot-prefixes")
-    low = hot.groupBy("tok").agg(F.min("id").alias("other"), F.min_by("at", "id").alias("o_at"), F.count("*").alias("held")).where("held > 1").drop("held")
-    hubs = write_table(hot.join(low, "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other").distinct(), "line-pairs")
-    gone = verified(hubs)
-
     def earlier(rows: DataFrame) -> DataFrame:
         return rows.select("tok", F.col("id").alias("other"), F.col("at").alias("o_at"))
 
-    cold = met.where("not hot")
+    # both sides of this join are one shuffle; under a token at most HOT sets meet
+    cold = spread.join(hot_tokens, "tok", "left_anti")
     by_two = cold.join(earlier(cold), "tok").where("id > other").where(_within("at", "o_at", t)).groupBy("id", "other").agg(F.count("*").alias("met")).where("met > 1").select("id", "other")
+    by_two = write_table(by_two, "line-pairs")
+
+    # under hot tokens: a row for each other token of the prefix
+    hot = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
+    hot = hot.select("id", "at", "tok", F.explode("prefix").alias("second")).where("second != tok").select(F.xxhash64("tok", "second").alias("tok"), "id", "at")
+    hot = write_table(hot, "hot-prefixes")
+    low = hot.groupBy("tok").agg(F.min("id").alias("other"), F.min_by("at", "id").alias("o_at"), F.count("*").alias("held")).where("held > 1").drop("held")
+    hubs = hot.join(low, "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other")
+    first_pairs = write_table(by_two.union(hubs).distinct(), "line-pairs")
+    gone = verified(first_pairs)
     by_hot = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other").distinct()
-    pairs = write_table(by_two.join(gone, "id", "left_anti").union(by_hot), "line-pairs")
-    discard(met, hot, hubs)
+    pairs = write_table(by_hot.join(first_pairs, ["id", "other"], "left_anti"), "line-pairs")
     gone = gone.union(verified(pairs)).distinct().withColumn("near", F.lit(True))
+    discard(by_two, hot, first_pairs, pairs)
 
     marked = sets.select("id", "sig", "sig2", F.struct("doc", "row", "line_no").alias("first")).join(gone, "id", "left").drop("id")
     joined = all_lines.select("doc", "row", "line_no", "sig", "sig2").join(marked, ["sig", "sig2"])
