@@ -8,12 +8,14 @@ the earlier line counts whether or not it goes itself. Lines without a word stay
 Tokens are ordered by rarity: counts of all words of the corpus, summed over RARITY_SLOTS
 hash slots (an array of bounded size), lead each token's key, so a sorted key array has the
 rarest first; any order gives the same lines, a truer one fewer candidates. Lines with equal
-token sets are one set, numbered by the place of its earliest line. Two sets at the threshold
-share two tokens of their prefixes, n - ceil(t n) + 2 rarest tokens. Sets meet under each
-prefix token, within the length and positional filters, and pairs that meet twice are
-candidates. A token that over HOT prefixes hold is hot: under it sets meet by the token and
-each other token of the prefix; there every set first tries the earliest set alone, and only
-those without a match anywhere meet the others. Candidates are verified on their whole token sets.
+token sets are one set, numbered by the place of its earliest line. The first common token of
+two sets at the threshold lies in both prefixes, the n - ceil(t n) + 1 rarest tokens of each.
+Sets meet under each prefix token, within the length and positional filters, and where the
+parity bitmaps of their tokens (128 bits) differ in no more bits than their sets may in tokens.
+A token that over HOT prefixes hold is hot: under it sets meet by the token and each later one
+of the prefix, one token longer, that may be their second in common; there every set first
+tries the earliest set alone, and only those without a match anywhere meet the others.
+Candidates are verified on their whole token sets.
 
 Null text has no line and stays null; a text all of whose lines go becomes empty. Rows of one
 doc_id follow each other in order of a hash of the text, equal rows in any order: of these all
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
-HOT = 200
+HOT = 500
 _SPACE = "[ \\t-\\r]+"
 _HASH_BITS = 43
 _LOW32 = (1 << 32) - 1
@@ -69,11 +71,27 @@ def token_keys(line: Column, counts: Column) -> Column:
     return F.when(F.btrim(line, F.lit(_BLANK)) == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(keys)))
 
 
-def _within(a: str, b: str, t: int) -> Column:
-    """Length filter of two packed sizes and positions, and what is left from both positions on, with one token before, suffices for the overlap."""
-    n = [F.shiftright(c, 32) for c in (a, b)]
-    pos = [F.col(c).bitwiseAND(F.lit(_LOW32)) for c in (a, b)]
-    return (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t) & ((F.least(n[0] - pos[0], n[1] - pos[1]) + 1) * (1000 + t) >= (n[0] + n[1]) * t)
+def parity(keys: Column, half: int) -> Column:
+    """One half of 128 bits, each the parity of the number of keys that fall on it."""
+
+    def flip(bits: Column, k: Column) -> Column:
+        own = F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1))  # which half the key falls on
+        return bits.bitwiseXOR(F.call_function("shiftleft", own if half else own.bitwiseXOR(F.lit(1)), k.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate(keys, F.lit(0).cast("long"), flip)
+
+
+def _within(t: int) -> Column:
+    """Length, positional and bitmap filter of (at, bits, bits2) and (o_at, o_bits, o_bits2); at packs size and position.
+
+    An overlap of o needs o (1000 + t) >= t (n + m), so at most (1000 - t) / (1000 + t) of n + m tokens differ.
+    """
+    n = [F.shiftright(c, 32) for c in ("at", "o_at")]
+    pos = [F.col(c).bitwiseAND(F.lit(_LOW32)) for c in ("at", "o_at")]
+    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))
+    length = (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t)
+    positional = F.least(n[0] - pos[0], n[1] - pos[1]) * (1000 + t) >= (n[0] + n[1]) * t
+    return length & ((differ("bits") + differ("bits2")) * (1000 + t) <= (n[0] + n[1]) * (1000 - t)) & positional
 
 
 def _keyed(docs: DataFrame) -> list[Column]:
@@ -93,16 +111,18 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 2).cast("int"))
-    all_lines = split.withColumn("keys", token_keys(F.col("line"), counts)).select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), prefix.alias("prefix"))
+    all_lines = split.withColumn("keys", token_keys(F.col("line"), counts)).select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), parity(F.col("keys"), 0).alias("bits"), parity(F.col("keys"), 1).alias("bits2"), prefix.alias("prefix"))
     # lines without a word are left out of the written table: a filter before would compute the keys twice
     all_lines = write_table(all_lines, "lines").where("n > 0")
-    first = all_lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    ordered = first.select("sig", "sig2", "first.*", "n", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
+    first = all_lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("prefix").alias("prefix"))
+    ordered = first.select("sig", "sig2", "first.*", "n", "bits", "bits2", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
     sets = write_table(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
 
-    # a narrow row for each prefix token; a set of one token has no other set within the threshold
+    # a narrow row for each prefix token; a set of one token has no other set within the threshold.
+    # the last token of the written prefix serves hot tokens only
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    spread = sets.where("n > 1").select("id", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "id", sized.alias("at"))
+    short = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
+    spread = sets.where("n > 1").select("id", "n", "bits", "bits2", F.posexplode(short).alias("pos", "tok")).select("tok", "id", sized.alias("at"), "bits", "bits2")
     hot_tokens = write_table(spread.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -118,25 +138,25 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return out
 
     def earlier(rows: DataFrame) -> DataFrame:
-        return rows.select("tok", F.col("id").alias("other"), F.col("at").alias("o_at"))
+        return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "bits2")])
 
     # both sides of this join are one shuffle; under a token at most HOT sets meet
     cold = spread.join(hot_tokens, "tok", "left_anti")
-    by_two = cold.join(earlier(cold), "tok").where("id > other").where(_within("at", "o_at", t)).groupBy("id", "other").agg(F.count("*").alias("met")).where("met > 1").select("id", "other")
-    by_two = write_table(by_two, "line-pairs")
+    plain = write_table(cold.join(earlier(cold), "tok").where("id > other").where(_within(t)).select("id", "other"), "line-pairs")
 
-    # under hot tokens: a row for each other token of the prefix
     hot = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
-    hot = hot.select("id", "at", "tok", F.explode("prefix").alias("second")).where("second != tok").select(F.xxhash64("tok", "second").alias("tok"), "id", "at")
-    hot = write_table(hot, "hot-prefixes")
-    low = hot.groupBy("tok").agg(F.min("id").alias("other"), F.min_by("at", "id").alias("o_at"), F.count("*").alias("held")).where("held > 1").drop("held")
-    hubs = hot.join(low, "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other")
-    first_pairs = write_table(by_two.union(hubs).distinct(), "line-pairs")
+    later = F.slice("prefix", (F.col("at").bitwiseAND(F.lit(_LOW32)) + 2).cast("int"), F.size("prefix"))
+    hot = write_table(hot.select("id", "at", "bits", "bits2", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "bits2"), "hot-prefixes")
+    low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "bits2")], F.count("*").alias("held")).where("held > 1").drop("held")
+    hubs = hot.join(low, "tok").where("id > other").where(_within(t)).select("id", "other")
+    first_pairs = write_table(plain.union(hubs).distinct(), "line-pairs")
     gone = verified(first_pairs)
-    by_hot = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within("at", "o_at", t)).select("id", "other").distinct()
+    by_hot = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct()
     pairs = write_table(by_hot.join(first_pairs, ["id", "other"], "left_anti"), "line-pairs")
-    gone = gone.union(verified(pairs)).distinct().withColumn("near", F.lit(True))
-    discard(by_two, hot, first_pairs, pairs)
+    discard(plain, hot)
+    if not pairs.isEmpty():
+        gone = gone.union(verified(pairs)).distinct()
+    gone = gone.withColumn("near", F.lit(True))
 
     marked = sets.select("id", "sig", "sig2", F.struct("doc", "row", "line_no").alias("first")).join(gone, "id", "left").drop("id")
     joined = all_lines.select("doc", "row", "line_no", "sig", "sig2").join(marked, ["sig", "sig2"])
