@@ -26,6 +26,8 @@ no rows. Texts and lines of any length are taken whole.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +35,22 @@ from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
 HOT = 500
+#: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
+SHARES = 2
 _SPACE = "[ \\t-\\r]+"
 _HASH_BITS = 43
 _LOW32 = (1 << 32) - 1
-_BLANK = " \t\n\x0b\x0c\r"
-
-
-def _odd_space(text: Column) -> Column:
-    """Whether another white space than single spaces parts the words."""
-    found = F.contains(text, F.lit("  "))
-    for c in "\t\x0b\x0c\r":
-        found = found | F.contains(text, F.lit(c))
-    return found
 
 
 def words(line: Column) -> Column:
-    """Words of a line; the one empty word where it has none."""
-    bare = F.btrim(line, F.lit(_BLANK))
-    return F.when(_odd_space(bare), F.split(bare, _SPACE)).otherwise(F.split(bare, " "))
+    """Words of a text without newlines, with empty ones between them where white space is doubled."""
+    return F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.split(line, _SPACE)).otherwise(F.split(line, " "))
 
 
 def rarity(docs: DataFrame) -> Column:
     """An array column of constant value: occurrences of the words of each hash slot, above the bits of a token's hash."""
-    flat = F.replace("text", F.lit("\n"), F.lit(" "))
-    each = F.when(_odd_space(flat), F.split(flat, _SPACE)).otherwise(F.split(flat, " "))
-    slots = docs.select(F.explode(each).alias("w")).where("w != ''").groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n"))
+    each = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
+    slots = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n"))
     counts = [0] * RARITY_SLOTS
     for r in slots.collect():
         counts[r["slot"]] = min(r["n"], (1 << 20) - 1) << _HASH_BITS
@@ -66,9 +59,8 @@ def rarity(docs: DataFrame) -> Column:
 
 def token_keys(line: Column, counts: Column) -> Column:
     """Sorted different keys of a line's words: rarity above, hash below. Empty where the line has no word."""
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    keys = F.transform(hashes, lambda h: F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
-    return F.when(F.btrim(line, F.lit(_BLANK)) == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(keys)))
+    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
 def parity(keys: Column, half: int) -> Column:
@@ -100,8 +92,8 @@ def _keyed(docs: DataFrame) -> list[Column]:
     return [F.coalesce(doc_id, F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(doc_id.isNull(), "text").alias("row")]
 
 
-def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc, row, line_no) of the lines that go; equal rows count as one."""
+def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc, row, line_no, goes) of all lines with a word; equal rows count as one, each of their lines as often as they are."""
     t = round(1000 * threshold)
     if not 500 < t <= 1000:
         raise ValueError("the threshold must be over 0.5, and 1 at most")
@@ -110,16 +102,22 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     split = source.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
     n = F.size("keys")
+    # one token more than the filter needs; it serves hot tokens only
     prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 2).cast("int"))
-    all_lines = split.withColumn("keys", token_keys(F.col("line"), counts)).select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), parity(F.col("keys"), 0).alias("bits"), parity(F.col("keys"), 1).alias("bits2"), prefix.alias("prefix"))
+    keyed = split.withColumn("keys", token_keys(F.col("line"), counts))
+    bits = [parity(F.col("keys"), half).alias(c) for half, c in enumerate(("bits", "bits2"))]
     # lines without a word are left out of the written table: a filter before would compute the keys twice
-    all_lines = write_table(all_lines, "lines").where("n > 0")
-    first = all_lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("prefix").alias("prefix"))
+    wide = write_table(keyed.select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), *bits, prefix.alias("prefix")), "lines")
+    lines = wide.where("n > 0")
+    place = F.struct("doc", "row", "line_no")
+    first = lines.groupBy("sig", "sig2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "bits2", "prefix")])
     ordered = first.select("sig", "sig2", "first.*", "n", "bits", "bits2", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
     sets = write_table(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
+    of_set = sets.select("id", "sig", "sig2", place.alias("first"))
+    lines = write_table(lines.select("doc", "row", "line_no", "sig", "sig2").join(of_set, ["sig", "sig2"]).select("doc", "row", "line_no", "id", (F.col("first") != place).alias("repeats")), "line-ids")
+    discard(wide)
 
-    # a narrow row for each prefix token; a set of one token has no other set within the threshold.
-    # the last token of the written prefix serves hot tokens only
+    # a narrow row for each prefix token; a set of one token has no other set within the threshold
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     short = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
     spread = sets.where("n > 1").select("id", "n", "bits", "bits2", F.posexplode(short).alias("pos", "tok")).select("tok", "id", sized.alias("at"), "bits", "bits2")
@@ -141,45 +139,51 @@ def duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "bits2")])
 
     # both sides of this join are one shuffle; under a token at most HOT sets meet
-    cold = spread.join(hot_tokens, "tok", "left_anti")
-    plain = write_table(cold.join(earlier(cold), "tok").where("id > other").where(_within(t)).select("id", "other"), "line-pairs")
+    plain = []
+    for share in range(SHARES):
+        cold = spread.where(F.pmod("tok", F.lit(SHARES)) == share).join(hot_tokens, "tok", "left_anti")
+        plain.append(write_table(cold.join(earlier(cold), "tok").where("id > other").where(_within(t)).select("id", "other"), "line-pairs"))
 
     hot = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
     later = F.slice("prefix", (F.col("at").bitwiseAND(F.lit(_LOW32)) + 2).cast("int"), F.size("prefix"))
     hot = write_table(hot.select("id", "at", "bits", "bits2", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "bits2"), "hot-prefixes")
     low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "bits2")], F.count("*").alias("held")).where("held > 1").drop("held")
     hubs = hot.join(low, "tok").where("id > other").where(_within(t)).select("id", "other")
-    first_pairs = write_table(plain.union(hubs).distinct(), "line-pairs")
+    first_pairs = write_table(functools.reduce(DataFrame.union, [*plain, hubs]).distinct(), "line-pairs")
     gone = verified(first_pairs)
     by_hot = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct()
     pairs = write_table(by_hot.join(first_pairs, ["id", "other"], "left_anti"), "line-pairs")
-    discard(plain, hot)
+    discard(*plain, hot)
     if not pairs.isEmpty():
         gone = gone.union(verified(pairs)).distinct()
-    gone = gone.withColumn("near", F.lit(True))
-
-    marked = sets.select("id", "sig", "sig2", F.struct("doc", "row", "line_no").alias("first")).join(gone, "id", "left").drop("id")
-    joined = all_lines.select("doc", "row", "line_no", "sig", "sig2").join(marked, ["sig", "sig2"])
-    return joined.where(F.coalesce("near", F.lit(False)) | (F.col("first") != F.struct("doc", "row", "line_no"))).select("doc", "row", "line_no")
+    return lines.join(gone.withColumn("near", F.lit(True)), "id", "left").select("doc", "row", "line_no", (F.col("repeats") | F.coalesce("near", F.lit(False))).alias("goes"))
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with the lines gone from text, and n_lines, n_removed (long): lines with a word, and those that went."""
-    gone = duplicates(docs, threshold).groupBy("doc", "row").agg(F.collect_set("line_no").alias("gone"))
-    held = docs.select(F.struct(*docs.columns).alias("d"), *_keyed(docs)).join(gone, ["doc", "row"], "left")
-    # equal rows: the first one is whichever comes first
-    copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy("row"))
-    held = held.select("d", "gone", copy.alias("copy"), F.split("d.text", "\n").alias("lines"))
+    by_row = marked_lines(docs, threshold).groupBy("doc", "row").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(F.col("goes"), F.col("line_no"))).alias("gone"))
+    again = write_table(docs.select(*_keyed(docs)).groupBy("doc", "row").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated-rows")
+    held = docs.select(F.struct(*docs.columns).alias("d"), *_keyed(docs)).join(by_row, ["doc", "row"], "left")
+    n_lines, copy = F.coalesce("n_lines", F.lit(0)), F.lit(1)
+    if not again.isEmpty():
+        # equal rows: the first one is whichever comes first, and each counted all their lines
+        held = held.join(again, ["doc", "row"], "left").withColumn("copy", F.row_number().over(Window.partitionBy("doc", "row").orderBy("row")))
+        n_lines, copy = (n_lines / F.coalesce("copies", F.lit(1))).cast("long"), F.col("copy")
+    held = held.select("d", F.when(F.size("gone") > 0, F.col("gone")).alias("gone"), n_lines.alias("n_lines"), copy.alias("copy"))
 
     def with_word(x: Column) -> Column:
         return x.rlike("[^ \\t-\\r]")
 
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    n_lines = F.coalesce(F.size(F.filter("lines", with_word)), F.lit(0))
+    split = F.split("d.text", "\n")
     text = (
-        F.when((F.col("copy") > 1) & F.exists("lines", with_word), F.array_join(F.filter("lines", lambda x: ~with_word(x)), "\n"))
-        .when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+        F.when((F.col("copy") > 1) & (F.col("n_lines") > 0), F.array_join(F.filter(split, lambda x: ~with_word(x)), "\n"))
+        .when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(_without(split, F.col("gone")), "\n"))
     )
-    n_removed = F.when(F.col("copy") > 1, n_lines).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
+    n_removed = F.when(F.col("copy") > 1, F.col("n_lines")).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return held.select(*[F.col(f"d.`{c}`").alias(c) for c in others], text.alias("text"), F.when(F.col("d.text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("d.text").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
+    return held.select(*[F.col(f"d.`{c}`").alias(c) for c in others], text.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+
+
+def _without(items: Column, places: Column) -> Column:
+    """The items that don't stand at the places, in time linear in both."""
+    return F.get(F.transform(F.array(items), lambda all_items: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_items) - 1), places), lambda i: F.get(all_items, i))), F.lit(0))
