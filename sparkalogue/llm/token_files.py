@@ -17,7 +17,9 @@ and decompress that frame alone. The dictionary is a file of one row beside the
 The dictionary is trained on serialized ids of a bounded sample of documents (SAMPLE_DOCS
 rows by hash of the id, SAMPLE_BYTES of each); every document is encoded whole.
 
-Null or empty text: the end id alone. A null doc_id sorts first. Equal ids keep all rows.
+Null or empty text: the end id alone. A null doc_id sorts first. Equal ids keep all rows. An
+empty table makes files without a block, and no rows. Long texts are one frame each. Columns
+other than the id and the text are ignored, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shared_dir, small_batches, texts_of
+from .common import discard, session_conf, shared_dir, small_batches, texts_of, write_table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1500, 16_384, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
@@ -66,7 +68,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_bytes: int) -> bytes:
             made = b""
         yield pd.DataFrame({"dict": [made]})
 
-    rows = sample.mapInArrow(serialize, "ids binary").coalesce(1).mapInPandas(train, "dict binary").collect()
+    # written first: else the one task that trains would read all documents
+    held = write_table(sample.mapInArrow(serialize, "ids binary"), "sample")
+    rows = held.coalesce(1).mapInPandas(train, "dict binary").collect()
+    discard(held)
     return bytes(rows[0]["dict"]) if rows else b""
 
 
@@ -108,6 +113,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, level: in
     ranged.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """Ids of the documents of this id (one array each): only blocks that hold the id are read, and only its own frames decompressed."""
+    held = spark.read.parquet(f"{path}/dictionary").first()
+    dictionary = zstandard.ZstdCompressionDict(bytes(held["dict"])) if held["dict_hash"] else None
+    unpress, out = zstandard.ZstdDecompressor(dict_data=dictionary), []
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    # the frame by its place: position, end of the one before, and its bytes
+    spot = F.posexplode("doc_ids").alias("at", "id")
+    places = blocks.select("shard", "block", "dict_hash", "id_bytes", "ends", "frames", spot).where(F.col("id") == doc_id)
+    begin = F.when(F.col("at") > 0, F.get("ends", F.col("at") - 1)).otherwise(F.lit(0))
+    frame = F.substring("frames", (begin + 1).cast("int"), (F.get("ends", "at") - begin).cast("int"))
+    for r in places.select("shard", "block", "at", "dict_hash", "id_bytes", frame.alias("frame")).orderBy("shard", "block", "at").toLocalIterator():
+        if r["dict_hash"] != held["dict_hash"]:
+            raise ValueError("a block was written with another dictionary")
+        out.append(np.frombuffer(unpress.decompress(bytes(r["frame"])), f"<u{r['id_bytes']}").astype("<u4"))
+    return out
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dict"])
@@ -134,8 +157,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a whole block
-    found = blocks.mapInArrow(decode, "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="16"):  # a row is a whole block
+        found = write_table(blocks.mapInArrow(decode, "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long"), "decoded")
     # a shard is a write task, so one window over shards is as small as the list of tasks
     sums = blocks.select("shard", "block", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from operator import attrgetter
 
 import numpy as np
 
@@ -11,6 +14,7 @@ _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces and chunks remembered by a worker before it starts over.
 REMEMBER = 600_000
+_id, _SWAP = attrgetter("id"), sys.byteorder == "big"
 #: Letters that every version of Unicode agrees on, and marks that make a pre-token of their own after letters.
 _LETTERS, _MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+"), frozenset(".,;:!?")
 
@@ -47,12 +51,18 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.pattern = self.tokenizer.model, regex.compile(public_tokenizers.PATTERN)
         self.letters = _byte_letters()
+        self.space = self.letters[0x20]
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        return self._spelled(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _spelled(self, letters: str) -> bytes:
+        ids = array("I", map(_id, self.model.tokenize(letters)))
+        if _SWAP:
+            ids.byteswap()
+        return ids.tobytes()
 
     def _pieces(self, chunk: str) -> bytes:
         known, out = self.pieces, []
@@ -65,7 +75,8 @@ class Encoder:
     def _chunk(self, word: str) -> bytes:
         """Ids of a space and the word after it."""
         if _LETTERS.fullmatch(word):
-            ids = self._ids(" " + word)
+            # ASCII letters stand for themselves
+            ids = self._spelled(self.space + word) if word.isascii() else self._ids(" " + word)
         elif word[-1:] in _MARKS and _LETTERS.fullmatch(word, 0, len(word) - 1):
             ids = (self.chunks.get(word[:-1]) or self._chunk(word[:-1])) + self._pieces(word[-1])
         else:
