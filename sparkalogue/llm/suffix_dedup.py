@@ -8,7 +8,7 @@ GRAM bytes. Equal strings have equal anchors, and all strings with one anchor in
 form a segment, so a document of n bytes has about 2 n / least segments. Segments that
 occur whole more than once are settled by counting. The others are grouped by anchor: each
 different segment (told apart by two 64-bit hashes, of the anchor and of the whole) goes once into the bucket of its anchor. In a bucket an enhanced suffix
-array (prefix doubling; longest common prefixes by the doubling ranks) is scanned with a
+array (ranks of ever longer prefixes; longest common prefixes by those ranks) is scanned with a
 stack for the intervals of common prefixes of `least` bytes or more whose members differ on
 their left (or start a segment): these are the maximal repeats, with all occurrences.
 An anchor with more than SPLIT different segments is split by the core that a few
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, write_table
+from .common import discard, mix64, small_batches, write_table
 
 GRAM = 24
 SPLIT, CORE_STEP = 1000, 16
@@ -67,6 +67,14 @@ def segments(data: bytes, least: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _sides(data: bytes, at: int, lo: int, end: int, half: int) -> int:
+    """Hashes of the anchor with `half` bytes to its left (upper 32 bits) and to its right (lower 32); 0 where the segment has fewer."""
+    left = xxhash.xxh32_intdigest(data[at - half : at + GRAM]) | 1 if at - half >= lo else 0
+    right = xxhash.xxh32_intdigest(data[at : at + GRAM + half]) | 1 if at + GRAM + half <= end else 0
+    both = left << 32 | right
+    return both - (1 << 64) if both >> 63 else both
+
+
 def suffix_array(data: np.ndarray, remain: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes with `least` bytes or more left of their segment, in order, and each one's common prefix with the one before.
 
@@ -74,7 +82,7 @@ def suffix_array(data: np.ndarray, remain: np.ndarray, least: int) -> tuple[np.n
     other bytes as 1 more than their value, and common prefixes end with the shorter segment.
     """
     n, longest = len(data), int(remain.max(initial=0))
-    width = 6
+    width = 7
     symbol = np.concatenate([data.astype(np.int64) + 1, np.zeros(width, np.int64)])
     key = np.zeros(n, dtype=np.int64)
     for k in range(width):
@@ -85,11 +93,15 @@ def suffix_array(data: np.ndarray, remain: np.ndarray, least: int) -> tuple[np.n
         levels.append((width, rank))
         if width >= longest:
             break
-        after = np.zeros(n, dtype=np.int64)
-        if width < n:
-            after[: n - width] = rank[width:]
-        key = rank << 32 | np.where(remain > width, after, 0)
-        width *= 2
+        # ranks of up to 21 bits: three stretches make a key, else two
+        times, bits = (3, 21) if n < (1 << 21) - 1 else (2, 31)
+        key = rank
+        for k in range(1, times):
+            after = np.zeros(n, dtype=np.int64)
+            if k * width < n:
+                after[: n - k * width] = rank[k * width :]
+            key = key << bits | np.where(remain > k * width, after, 0)
+        width *= times
     wanted = np.flatnonzero(remain >= least)
     order = wanted[np.argsort(levels[-1][1][wanted], kind="stable")]
     lcp = np.zeros(len(order), dtype=np.int64)
@@ -97,9 +109,10 @@ def suffix_array(data: np.ndarray, remain: np.ndarray, least: int) -> tuple[np.n
         a, b, got = order[:-1], order[1:], np.zeros(len(order) - 1, dtype=np.int64)
         most = np.minimum(remain[a], remain[b])
         for width, rank in levels[::-1]:
-            x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            got += np.where((got < most) & (rank[x] == rank[y]), width, 0)
-        for _ in range(5):
+            for _ in range(2):  # a level up to three times as wide was tried before
+                x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
+                got += np.where((got < most) & (rank[x] == rank[y]), width, 0)
+        for _ in range(6):
             x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
             got += (got < most) & (data[x] == data[y])
         lcp[1:] = np.minimum(got, most)
@@ -242,27 +255,36 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = _bytes(text)
                 if len(data) < least:
                     continue
                 for anchor, at, lo, hi in segments(data, least):
                     name = xxhash.xxh3_64_intdigest(data[lo : hi + least]) - (1 << 63)
-                    for c, x in zip(cols, (anchor, name, row, at, lo, hi), strict=True):
+                    for c, x in zip(cols, (anchor, name, row, at, lo, hi, _sides(data, at, lo, hi + least, half)), strict=True):
                         c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "name", "row", "at", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "name", "row", "at", "first", "last", "sides"])
 
-    schema = "anchor long, name long, row long, at long, first long, last long"
+    half = (least - GRAM + 1) // 2
+    schema = "anchor long, name long, row long, at long, first long, last long, sides long"
     found = write_table(docs.select("row", "text").mapInArrow(scan, schema), "segments")
-    distinct = found.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("rep"))
+    distinct = found.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last", "sides")).alias("rep"))
     distinct = write_table(distinct, "distinct")
     whole = found.join(distinct.where("n > 1").select("anchor", "name"), ["anchor", "name"]).select("row", F.col("first").alias("start"), (F.col("last") + least).alias("end"))
 
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ones = distinct.join(shared, "anchor").select("rep.*", "anchor", (F.col("n") == 1).alias("once"), (F.col("kinds") > SPLIT).alias("split"))
-    open_ones = write_table(open_ones, "open")
+    met = write_table(distinct.join(shared.select("anchor"), "anchor").select("rep.*", "anchor", (F.col("n") == 1).alias("once")), "met")
+    # equal strings lie alike around their anchor, and share what is left or right of it up to half their length
+    low = F.lit((1 << 32) - 1)
+    sides = {"left": F.shiftrightunsigned("sides", 32), "right": F.col("sides").bitwiseAND(low)}
+    for side, value in sides.items():
+        again = met.where(value != 0).groupBy("anchor", value.alias(side)).agg(F.count("*").alias(f"n_{side}")).where(f"n_{side} > 1")
+        met = met.withColumn(side, value).join(again, ["anchor", side], "left")
+    met = write_table(met.where("n_left > 1 or n_right > 1").drop("sides", "left", "right", "n_left", "n_right"), "kin")
+    kinds = met.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    open_ones = write_table(met.join(kinds, "anchor").withColumn("split", F.col("kinds") > SPLIT), "open")
     size = open_ones.agg(F.sum(F.col("last") - F.col("first") + least)).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
     def parts(segs: DataFrame, split: bool) -> DataFrame:
