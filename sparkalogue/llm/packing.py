@@ -5,15 +5,18 @@ piece takes the remainder and the others are full. Full pieces are sequences of
 The rest are dealt at random into groups of about `group_rows`, and each group is packed
 by the sum-of-squares rule: a piece goes where the sum, over residual gaps, of the squared
 number of open bins becomes smallest. Bins that a group leaves with a gap are opened again
-and their pieces packed once more in groups a sixteenth as many, until one group remains
-or little is left, so that the loss doesn't grow with the number of groups.
+and their pieces packed once more, in new groups of the same size, until one group remains
+or a round fills less than FREED of what it was given; so no task ever holds more than a
+group, and the loss doesn't grow with the number of groups.
 
 Null or empty text: a document of its end id alone. Repeated rows are documents of their
-own. An empty table gives no rows. Columns other than the id and the text are ignored.
+own. An empty table gives no rows. Long texts are cut, never shortened. Pieces of equal length
+are placed in order of a hash. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +31,8 @@ from .common import small_batches, texts_of, write_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 GROUP_ROWS = 6000
+#: Share of the pieces in filled bins below which packing the others again isn't worth a round.
+FREED = 0.1
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -36,11 +41,11 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [head] * bool(head) + [capacity] * (n // capacity)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, weigh_new: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of each piece and each bin's gap at the end; pieces are placed longest first.
 
     A new bin is opened only when the piece fits into none; measured on document lengths that
-    takes 1.3 % fewer bins than weighing new bins by the same sum. Putting a piece of s into a bin of gap g changes the sum by 2 (n[g-s] - n[g] + 1), where
+    takes 1.3 % fewer bins than weighing new bins by the same sum, as weigh_new does. Putting a piece of s into a bin of gap g changes the sum by 2 (n[g-s] - n[g] + 1), where
     n counts open bins by gap and full bins count as none; ties go to the smaller gap.
     """
     order = np.argsort(-lengths, kind="stable")
@@ -55,7 +60,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         before = counts[s:].copy()
         change = np.where(before > 0, 2 * (after - before + 1), worst)
         change[0] -= 1 if before[0] else 0  # a full bin no longer counts
-        change[-1] = worst - 1  # a new bin only where no open one has room
+        # a new bin has no gap before; else it comes only where no open one has room
+        change[-1] = (2 * after[-1] + 1 if s < capacity else -1) if weigh_new else worst - 1
         g = int(np.argmin(change)) + s
         if g < capacity:
             b = open_bins[g].pop()
@@ -105,14 +111,19 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     # negative numbers by row of the written table: no two alike, none that a group uses
     full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = cut.where(F.col("length") < capacity).withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()))
-    out, groups, level = full, max(1, round(rest.count() / group_rows)), 0
+    out, n, level = full, rest.count(), 0
     schema = f"{PIECES}, deal long, sequence_id long, offset long, gap long"
 
     while True:
-        placed = rest.withColumn("grp", F.pmod("deal", F.lit(groups))).groupBy("grp").applyInPandas(_placer(level << 56, capacity), schema)
+        groups = max(1, math.ceil(n / group_rows))
+        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("deal", F.lit(level)), F.lit(groups)))
+        placed = dealt.groupBy("grp").applyInPandas(_placer(level << 56, capacity), schema)
         if groups == 1:
             return out.unionByName(placed.select(*columns, "sequence_id", "offset"))
         placed = write_table(placed, "placed")
-        out = out.unionByName(placed.where("gap = 0").select(*columns, "sequence_id", "offset"))
         rest = placed.where("gap > 0").select(*columns, "deal")
-        groups, level = max(1, min(groups // 16, round(rest.count() / group_rows))), level + 1
+        left = rest.count()
+        if left > (1 - FREED) * n:
+            return out.unionByName(placed.select(*columns, "sequence_id", "offset"))
+        out = out.unionByName(placed.where("gap = 0").select(*columns, "sequence_id", "offset"))
+        n, level = left, level + 1
