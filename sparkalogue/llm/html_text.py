@@ -6,12 +6,17 @@ the main text (a word in plain text, in a link; an opening or closing tag by nam
 whose tag, class, id or role names page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments ...) are kinds too; where labelled pages hold such blocks
 outside the main text only, their words count as tags do, and they aren't part of the text.
+A name counts as a whole or as a part of a compound, unless another part denies it ("no-ads",
+"with-sidebar"); a block that holds an article or main element is no furniture.
 One linear scan finds the contiguous region with the largest sum; its words are the text.
 
 Markup, scripts, styles and the page's head are never text. Character references are
 decoded, white space inside a block becomes one space, blocks follow each other in page
 order, joined by newlines. Null or empty html, and pages of nothing but furniture: empty text.
-Malformed markup is read as far as it goes: unclosed tags end with the page.
+Malformed markup is read as far as it goes: unclosed tags end with the page, a tag without
+an end is text, and pages of any length are read in time linear in it. Rows with equal ids are
+pages each; columns other than page_id, url and html are ignored. An empty table gives no rows.
+Of regions with equal sums the earliest counts.
 """
 
 from __future__ import annotations
@@ -30,14 +35,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .labelled_pages import PAGES
 
-_TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|head|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*))")
+_STOP = re.compile("[>\"']")
+#: Elements whose content is never text.
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "head", "object", "canvas", "math"}
+#: Those that a slash may end at once.
+FOREIGN = {"svg", "math"}
 _HINTED = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Names of page furniture in class, id or role; kinds of block, whose weight the labelled pages give.
@@ -52,6 +55,10 @@ FURNITURE = {
     "comment": {"comment", "comments", "disqus", "reply", "replies", "respond", "discussion"},
     "share": {"share", "sharing", "social", "follow"},
 }
+#: Parts of a class name that say what a block lacks, or has beside its own content.
+NEGATED = {"no", "not", "non", "without", "free", "with", "has", "is", "hide", "hidden", "show", "enabled", "disabled"}
+#: Parts of a class name under which a header is an article's own.
+CONTENT = {"entry", "post", "article", "story", "content"}
 #: Elements that are furniture by name.
 BY_NAME = {"nav": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "dialog": "notice", "menu": "menu"}
 #: Elements that hold an article whole whatever they are called.
@@ -76,35 +83,130 @@ class Token:
 
 
 def furniture_of(name: str, attrs: str) -> str | None:
-    """Kind of page furniture that an element is by its name, class, id or role."""
+    """Kind of page furniture that an element is by its name, or by a name in its class, id or role."""
     if name in WHOLE:
         return None
     if name in BY_NAME:
         return BY_NAME[name]
-    parts = {p for m in _HINTED.finditer(attrs) for p in _PART.findall(m[1].lower())}
-    return next((k for k, names in FURNITURE.items() if parts & names), None)
+    for m in _HINTED.finditer(attrs):
+        for token in m[1].lower().strip("\"'").split():
+            parts = set(_PART.findall(token))
+            kind = None if parts & NEGATED else next((k for k, names in FURNITURE.items() if parts & names), None)
+            if kind and not (kind == "header" and parts & CONTENT):
+                return kind
+    return None
+
+
+@dataclass
+class Mark:
+    """A run of text, a comment or a tag."""
+
+    kind: str  # "text", "comment" or "tag"
+    text: str = ""
+    name: str = ""
+    attrs: str = ""
+    closing: bool = False
+    single: bool = False
+
+
+def marks_of(page: str) -> Iterator[Mark]:
+    """The page from left to right; every character is looked at a bounded number of times."""
+    at, tags_end, quoted = 0, True, True
+    while at < len(page):
+        start = page.find("<", at)
+        if start != at:
+            yield Mark("text", page[at:] if start < 0 else page[at:start])
+            if start < 0:
+                return
+        m = _MARK.match(page, start)
+        if m is None:
+            end = -1
+        elif m["comment"]:
+            end = page.find("-->", m.end())
+            yield Mark("comment", page[m.end() :] if end < 0 else page[m.end() : end])
+            at = len(page) if end < 0 else end + 3
+            continue
+        elif m["other"]:
+            end = page.find(">", m.end())
+            at = len(page) if end < 0 else end + 1
+            continue
+        else:
+            end = _tag_end(page, m.end(), quoted) if tags_end else -1
+            if end < 0 and tags_end:
+                # no end outside quotes: quotes count as plain characters from here on
+                quoted, end = False, page.find(">", m.end())
+                tags_end = end >= 0
+        if end < 0:
+            yield Mark("text", "<")
+            at = start + 1
+            continue
+        name, attrs, closing = m["name"].lower(), page[m.end() : end], bool(m["close"])
+        slash = attrs.rstrip().endswith("/")
+        at = end + 1
+        if name in RAW and not closing:
+            if not (slash and name in FOREIGN):
+                over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = over.end() if over else len(page)
+        elif name not in RAW:
+            yield Mark("tag", "", name, attrs, closing, name in VOID or slash)
+
+
+def _tag_end(page: str, at: int, quoted: bool) -> int:
+    """Where the tag's > stands, outside quotes; -1 if nowhere."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if quoted:
+            close = page.find(m[0], at)
+            if close < 0:
+                return -1
+            at = close + 1
+    return -1
+
+
+def _ends(marks: list[Mark]) -> list[int]:
+    """Index of each opening tag's closing one, by the depth of its own name; the number of marks where it has none."""
+    out, open_tags = [len(marks)] * len(marks), {}
+    for i, m in enumerate(marks):
+        if m.kind != "tag" or m.single:
+            continue
+        held = open_tags.setdefault(m.name, [])
+        if not m.closing:
+            held.append(i)
+        elif held:
+            out[held.pop()] = i
+    return out
 
 
 def tokens_of(page: str) -> list[Token]:
     out: list[Token] = []
+    marks = list(marks_of(page))
+    ends = _ends(marks)
+    # index of the next opening tag of an article or main element
+    following, upcoming = len(marks), [0] * len(marks)
+    for i in range(len(marks) - 1, -1, -1):
+        upcoming[i] = following
+        if marks[i].name in ("article", "main") and not marks[i].closing:
+            following = i
     kind, depth, name_open, links, inside = None, 0, "", 0, False
     article = whole = 0  # an article's own header holds its title; furniture inside a whole breaks no region
-    for m in _TOKEN.finditer(page):
-        if m["comment"] is not None:
-            inside = True if m["comment"] == "[" else False if m["comment"] == "]" else inside
-        elif m["text"] is not None:
-            run = html.unescape(m["text"])
+    for i, m in enumerate(marks):
+        if m.kind == "comment":
+            inside = True if m.text == "[" else False if m.text == "]" else inside
+        elif m.kind == "text":
+            run = html.unescape(m.text)
             out.append(Token(PASSED if kind and whole else f"word in {kind}" if kind else "word in link" if links else "word", run, False, kind is not None, inside))
-        elif m["name"]:
-            name, closing = m["name"].lower(), bool(m["close"])
-            attrs = m["attrs"]
-            single = name in VOID or attrs.rstrip().endswith("/")
+        else:
+            name, closing = m.name, m.closing
             found = None
-            if kind is None and not closing and not single:
-                found = None if name == "header" and article else furniture_of(name, attrs)
+            if kind is None and not closing and not m.single:
+                found = None if name == "header" and article else furniture_of(name, m.attrs)
+                if found and upcoming[i] < ends[i]:
+                    found = None  # it holds the article
             if found:
                 kind, depth, name_open = found, 0, name
-            if kind and name == name_open and not single:
+            if kind and name == name_open and not m.single:
                 depth += -1 if closing else 1
             if name == "a":
                 links = 0 if closing else 1
