@@ -9,9 +9,11 @@ all strata, rules and cutoffs tested. So with probability 1 - delta no stratum l
 than `risk` of its good documents. The smallest admitted cutoff of each rule applies; a
 stratum with too few labels admits none and its rule rejects nothing.
 
-Words are runs of other than ASCII white space. Null or empty texts have no word and fail
-the base rules. A null language is a stratum without labels. Repeated labels count once
-(the smallest quality); repeated rows are judged each. Extra columns are ignored.
+Words are runs of other than ASCII white space. Repeated windows are found by 64-bit hash and
+compared word by word. Of more than TAIL_TERMS rejections the tail's last terms are bounded, not
+summed, which can only withhold a cutoff. Null or empty texts have no word and fail the base rules. A null language is a stratum without labels. Repeated labels count once
+(the smallest quality); repeated rows are judged each. Extra columns are ignored. Empty tables
+give no rows; without labels no rule rejects. Texts of any length are measured whole.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ GRID = {
 }
 #: Terms of the binomial tail that are summed one by one; a geometric bound covers the rest.
 TAIL_TERMS = 4000
-_POSITION_BITS = 26
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,16 +56,16 @@ def repeat_words(tokens: Column) -> Column:
     def window(at: Column) -> Column:
         return F.slice(tokens, (at + 1).cast("int"), WINDOW)
 
-    def place(packed: Column) -> Column:
-        return packed.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-
-    # the hash above, the place below: sorting brings equal windows together, in order of place
-    packed = F.transform(F.sequence(F.lit(0), F.size(tokens) - WINDOW), lambda i: F.shiftleft(F.xxhash64(window(i)), _POSITION_BITS).bitwiseOR(i.cast("long")))
+    # sorting brings equal windows together, in order of place
+    hashed = F.transform(F.sequence(F.lit(0), F.size(tokens) - WINDOW), lambda i: F.struct(F.xxhash64(window(i)).alias("h"), i.cast("long").alias("at")))
 
     def starts(order: Column) -> Column:
-        near = F.filter(F.sequence(F.lit(0), F.size(order) - 2), lambda j: F.shiftrightunsigned(F.get(order, j).bitwiseXOR(F.get(order, j + 1)), _POSITION_BITS) == 0)
-        same = F.filter(near, lambda j: window(place(F.get(order, j))) == window(place(F.get(order, j + 1))))
-        return F.sort_array(F.array_distinct(F.flatten(F.transform(same, lambda j: F.array(place(F.get(order, j)), place(F.get(order, j + 1)))))))
+        def same(j: Column) -> Column:
+            a, b = F.get(order, j), F.get(order, j + 1)
+            return (a["h"] == b["h"]) & (window(a["at"]) == window(b["at"]))
+
+        near = F.filter(F.sequence(F.lit(0), F.size(order) - 2), same)
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(near, lambda j: F.array(F.get(order, j)["at"], F.get(order, j + 1)["at"])))))
 
     def step(acc: Column, start: Column) -> Column:
         return F.struct((acc["n"] + F.least(F.lit(WINDOW).cast("long"), start - acc["last"])).alias("n"), start.alias("last"))
@@ -74,7 +75,7 @@ def repeat_words(tokens: Column) -> Column:
         # each start adds the words since the one before, and the last one's window is added by moving all by one window
         return F.aggregate(at, zero, step)["n"]
 
-    return F.when(F.size(tokens) > WINDOW, let(F.sort_array(packed), lambda order: total(starts(order)))).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(tokens) > WINDOW, let(F.sort_array(hashed), lambda order: total(starts(order)))).otherwise(F.lit(0).cast("long"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
