@@ -11,7 +11,7 @@ rarest first; any order gives the same lines, a truer one fewer candidates. Line
 token sets are one set, numbered by the place of its earliest line. The first common token of
 two sets at the threshold lies in both prefixes, the n - ceil(t n) + 1 rarest tokens of each.
 Sets meet under each prefix token, within the length and positional filters, and where the
-parity bitmaps of their tokens (128 bits) differ in no more bits than their sets may in tokens.
+parity bitmaps of their tokens (64 bits, 128 of wide sets) differ in no more bits than their sets may in tokens.
 A token that over HOT prefixes hold is hot: under it sets meet by the token and each later one
 of the prefix, one token longer, that may be their second in common; there every set first
 tries the earliest set alone, and only those without a match anywhere meet the others.
@@ -35,6 +35,8 @@ from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
 HOT = 500
+#: Tokens from which a set has a second bitmap, of half its tokens.
+WIDE = 64
 #: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
 SHARES = 2
 _SPACE = "[ \\t-\\r]+"
@@ -63,27 +65,29 @@ def token_keys(line: Column, counts: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
-def parity(keys: Column, half: int) -> Column:
-    """One half of 128 bits, each the parity of the number of keys that fall on it."""
+def parity(keys: Column, half: bool = False) -> Column:
+    """64 bits, each the parity of the number of keys that fall on it: of all keys, or of the half with the bit above set."""
 
     def flip(bits: Column, k: Column) -> Column:
-        own = F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1))  # which half the key falls on
-        return bits.bitwiseXOR(F.call_function("shiftleft", own if half else own.bitwiseXOR(F.lit(1)), k.bitwiseAND(F.lit(63)).cast("int")))
+        one = F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)) if half else F.lit(1).cast("long")
+        return bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
 
 def _within(t: int) -> Column:
-    """Length, positional and bitmap filter of (at, bits, bits2) and (o_at, o_bits, o_bits2); at packs size and position.
+    """Length, positional and bitmap filter of (at, bits, half) and (o_at, o_bits, o_half); at packs size and position.
 
     An overlap of o needs o (1000 + t) >= t (n + m), so at most (1000 - t) / (1000 + t) of n + m tokens differ.
+    Two wide sets differ in the bits of either half, those of the other half being what half leaves of all bits.
     """
     n = [F.shiftright(c, 32) for c in ("at", "o_at")]
     pos = [F.col(c).bitwiseAND(F.lit(_LOW32)) for c in ("at", "o_at")]
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}")))
+    every, half = (F.col(c).bitwiseXOR(F.col(f"o_{c}")) for c in ("bits", "half"))
     length = (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t)
+    differ = F.when(F.least(n[0], n[1]) < WIDE, F.bit_count(every)).otherwise(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)))
     positional = F.least(n[0] - pos[0], n[1] - pos[1]) * (1000 + t) >= (n[0] + n[1]) * t
-    return length & ((differ("bits") + differ("bits2")) * (1000 + t) <= (n[0] + n[1]) * (1000 - t)) & positional
+    return length & positional & (differ * (1000 + t) <= (n[0] + n[1]) * (1000 - t))
 
 
 def _keyed(docs: DataFrame) -> list[Column]:
@@ -105,13 +109,13 @@ def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # one token more than the filter needs; it serves hot tokens only
     prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 2).cast("int"))
     keyed = split.withColumn("keys", token_keys(F.col("line"), counts))
-    bits = [parity(F.col("keys"), half).alias(c) for half, c in enumerate(("bits", "bits2"))]
+    bits = [parity(F.col("keys")).alias("bits"), F.when(n >= WIDE, parity(F.col("keys"), half=True)).otherwise(F.lit(0).cast("long")).alias("half")]
     # lines without a word are left out of the written table: a filter before would compute the keys twice
     wide = write_table(keyed.select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), *bits, prefix.alias("prefix")), "lines")
     lines = wide.where("n > 0")
     place = F.struct("doc", "row", "line_no")
-    first = lines.groupBy("sig", "sig2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "bits2", "prefix")])
-    ordered = first.select("sig", "sig2", "first.*", "n", "bits", "bits2", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
+    first = lines.groupBy("sig", "sig2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "half", "prefix")])
+    ordered = first.select("sig", "sig2", "first.*", "n", "bits", "half", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
     sets = write_table(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
     of_set = sets.select("id", "sig", "sig2", place.alias("first"))
     lines = write_table(lines.select("doc", "row", "line_no", "sig", "sig2").join(of_set, ["sig", "sig2"]).select("doc", "row", "line_no", "id", (F.col("first") != place).alias("repeats")), "line-ids")
@@ -120,23 +124,30 @@ def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # a narrow row for each prefix token; a set of one token has no other set within the threshold
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     short = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
-    spread = sets.where("n > 1").select("id", "n", "bits", "bits2", F.posexplode(short).alias("pos", "tok")).select("tok", "id", sized.alias("at"), "bits", "bits2")
+    spread = sets.where("n > 1").select("id", "n", "bits", "half", F.posexplode(short).alias("pos", "tok")).select("tok", "id", sized.alias("at"), "bits", "half")
     hot_tokens = write_table(spread.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """id of the sets whose pair (id, other) reaches the threshold."""
+        """id of the sets of which a pair (id, other) reaches the threshold: the earliest other is tried first."""
         members = pairs.select("id").union(pairs.select("other")).distinct()
         wanted = sets.join(members, "id").select("id", "doc", "row", "line_no")
         found = split.join(wanted, ["doc", "row", "line_no"]).select("id", token_keys(F.col("line"), counts).alias("keys")).dropDuplicates(["id"])
         found = write_table(found, "line-keys")
-        both = pairs.join(found, "id").join(found.select(F.col("id").alias("other"), F.col("keys").alias("other_keys")), "other")
-        common = F.size(F.array_intersect("keys", "other_keys"))
-        out = write_table(both.where(common * 1000 >= (F.size("keys") + F.size("other_keys") - common) * t).select("id").distinct(), "gone")
+
+        def reach(some: DataFrame) -> DataFrame:
+            both = some.join(found, "id").join(found.select(F.col("id").alias("other"), F.col("keys").alias("other_keys")), "other")
+            common = F.size(F.array_intersect("keys", "other_keys"))
+            return write_table(both.where(common * 1000 >= (F.size("keys") + F.size("other_keys") - common) * t).select("id").distinct(), "gone")
+
+        nearest = pairs.groupBy("id").agg(F.min("other").alias("other"))
+        at_once = reach(nearest)
+        left = write_table(pairs.join(at_once, "id", "left_anti").join(nearest, ["id", "other"], "left_anti"), "line-pairs")
+        out = at_once if left.isEmpty() else at_once.union(reach(left))
         discard(found)
         return out
 
     def earlier(rows: DataFrame) -> DataFrame:
-        return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "bits2")])
+        return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "half")])
 
     # both sides of this join are one shuffle; under a token at most HOT sets meet
     plain = []
@@ -146,8 +157,8 @@ def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     hot = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
     later = F.slice("prefix", (F.col("at").bitwiseAND(F.lit(_LOW32)) + 2).cast("int"), F.size("prefix"))
-    hot = write_table(hot.select("id", "at", "bits", "bits2", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "bits2"), "hot-prefixes")
-    low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "bits2")], F.count("*").alias("held")).where("held > 1").drop("held")
+    hot = write_table(hot.select("id", "at", "bits", "half", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "half"), "hot-prefixes")
+    low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")], F.count("*").alias("held")).where("held > 1").drop("held")
     hubs = hot.join(low, "tok").where("id > other").where(_within(t)).select("id", "other")
     first_pairs = write_table(functools.reduce(DataFrame.union, [*plain, hubs]).distinct(), "line-pairs")
     gone = verified(first_pairs)
@@ -180,8 +191,10 @@ def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(_without(split, F.col("gone")), "\n"))
     )
     n_removed = F.when(F.col("copy") > 1, F.col("n_lines")).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return held.select(*[F.col(f"d.`{c}`").alias(c) for c in others], text.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    # the columns of docs come in last, lest their names stand for others here
+    made = held.select("d", F.struct(text.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")).alias("made"))
+    new = ("text", "n_lines", "n_removed")
+    return made.select(*[F.col("d").getField(c).alias(c) for c in docs.columns if c not in new], *[F.col("made").getField(c).alias(c) for c in new])
 
 
 def _without(items: Column, places: Column) -> Column:
