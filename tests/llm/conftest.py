@@ -9,7 +9,7 @@ DOCS = "doc_id long, text string, lang string, extra int"
 
 @pytest.fixture(scope="session")
 def make_docs(spark):
-    """DataFrame of documents from texts, with a null, an empty, a repeated row and a clashing column."""
+    """DataFrame of documents from texts, with a null, an empty and a blank text; test_edges.py has repeated rows and clashing names."""
 
     def make(texts, odd=True):
         rows = [(i, t, "en", 1) for i, t in enumerate(texts)]
