@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import WORD, crc32_of_id, small_batches, texts_of
 
 FIT_ROWS, FIT_CHARS = 4000, 20_000
-#: Characters of a beginning of a word, least and most.
-STEM = (5, 10)
+#: Characters of the beginnings of words that are fragments.
+STEM = (5, 7, 9)
 #: A fragment is a word, or a beginning, that stands between so many different neighbours in its class at least.
 FRAGMENT_SETTINGS = 6
 BASE_BYTES, CLASS_BYTES = 24_000, 8_000
@@ -76,20 +76,26 @@ def features(s: np.ndarray) -> tuple[float, ...]:
 
 
 def _settings(texts: list[str]) -> Counter:
-    """Fragments with the number of different neighbourhoods they stand in, so that copies of a text count once."""
-    seen: dict[str, set[tuple[str, ...]]] = {}
+    """Fragments with the number of different neighbourhoods they stand in, so that copies of a text count once; those of one are left out."""
+    places: set[int] = set()
+    counts: Counter = Counter()
     for t in texts:
         w = ["", *WORD.findall(t.lower()), ""]
+        new = []
         for before, word, after in zip(w, w[1:], w[2:]):
-            seen.setdefault(word, set()).add((before, after))
-            for k in range(STEM[0], min(STEM[1], len(word) - 1) + 1):
-                seen.setdefault(word[:k], set()).add((before, word, after))
-    return Counter({w: len(s) for w, s in seen.items()})
+            place = hash((before, word, after))
+            if place not in places:
+                places.add(place)
+                new.append(word)
+                new += [word[:k] for k in STEM if k < len(word)]
+        counts.update(new)
+    return Counter({w: n for w, n in counts.items() if n > 1})
 
 
 def _fragments(own: Counter, other: Counter, scale: float, most: int) -> list[bytes]:
     """Fragments that stand in many settings of this class and few of the other, most telling last (nearest to the window)."""
-    gain = {w: n * math.log((n + 0.5) / (other[w] * scale + 0.5)) for w, n in own.items() if n >= FRAGMENT_SETTINGS and n >= 8 * other[w] * scale}
+    seen = lambda w: max(other[w], 1) * scale
+    gain = {w: n * math.log((n + 0.5) / (seen(w) + 0.5)) for w, n in own.items() if n >= FRAGMENT_SETTINGS and n >= 8 * seen(w)}
     out, size = [], 0
     for w in sorted(gain, key=lambda w: (-gain[w], w)):
         b = w.encode("utf-8", "surrogatepass")
