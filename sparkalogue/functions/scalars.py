@@ -166,3 +166,15 @@ def normalize_language(s: Column) -> Column:
 def hexdump_line(bytes_: Column, offset: Column) -> Column:
     """Offset and bytes in hex, blank separated."""
     return F.concat(F.lpad(F.lower(F.hex(offset)), 8, "0"), F.lit("  "), F.trim(F.regexp_replace(F.lower(F.hex(bytes_)), "(..)", "$1 ")))
+
+
+def game_slug(name: Column, system: Column) -> Column:
+    """Slugs of a name and a system with "--" between; the name's alone without a system."""
+    n, s = (F.coalesce(slug_ascii(c), F.lit("")) for c in (name, system))
+    return F.when(s != "", F.concat(n, F.lit("--"), s)).otherwise(n)
+
+
+def build_date(creation: Column, release: Column) -> Column:
+    """The first of two dates that is given; eight digits are written with hyphens, all else stays."""
+    raw = F.coalesce(F.when(creation != "", creation), F.when(release != "", release))
+    return F.regexp_replace(raw, "^(\\d{4})(\\d{2})(\\d{2})$", "$1-$2-$3")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
-HOT = 500
+HOT = 2000
 #: Tokens from which a set has a second bitmap, of half its tokens.
 WIDE = 64
 #: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
@@ -155,18 +155,19 @@ def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         cold = spread.where(F.pmod("tok", F.lit(SHARES)) == share).join(hot_tokens, "tok", "left_anti")
         plain.append(write_table(cold.join(earlier(cold), "tok").where("id > other").where(_within(t)).select("id", "other"), "line-pairs"))
 
-    hot = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
-    later = F.slice("prefix", (F.col("at").bitwiseAND(F.lit(_LOW32)) + 2).cast("int"), F.size("prefix"))
-    hot = write_table(hot.select("id", "at", "bits", "half", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "half"), "hot-prefixes")
-    low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")], F.count("*").alias("held")).where("held > 1").drop("held")
-    hubs = hot.join(low, "tok").where("id > other").where(_within(t)).select("id", "other")
-    first_pairs = write_table(functools.reduce(DataFrame.union, [*plain, hubs]).distinct(), "line-pairs")
-    gone = verified(first_pairs)
-    by_hot = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct()
-    pairs = write_table(by_hot.join(first_pairs, ["id", "other"], "left_anti"), "line-pairs")
-    discard(*plain, hot)
-    if not pairs.isEmpty():
-        gone = gone.union(verified(pairs)).distinct()
+    gone = verified(write_table(functools.reduce(DataFrame.union, plain).distinct(), "line-pairs"))
+    discard(*plain)
+    if not hot_tokens.isEmpty():
+        joined = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
+        later = F.slice("prefix", (F.col("at").bitwiseAND(F.lit(_LOW32)) + 2).cast("int"), F.size("prefix"))
+        by_two = joined.select("id", "at", "bits", "half", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "half")
+        hot = write_table(by_two, "hot-prefixes")
+        low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")], F.count("*").alias("held")).where("held > 1").drop("held")
+        hubs = write_table(hot.join(gone, "id", "left_anti").join(low, "tok").where("id > other").where(_within(t)).select("id", "other").distinct(), "line-pairs")
+        gone = gone.union(verified(hubs)).distinct()
+        rest = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct()
+        gone = gone.union(verified(write_table(rest.join(hubs, ["id", "other"], "left_anti"), "line-pairs"))).distinct()
+        discard(hot)
     return lines.join(gone.withColumn("near", F.lit(True)), "id", "left").select("doc", "row", "line_no", (F.col("repeats") | F.coalesce("near", F.lit(False))).alias("goes"))
 
 

@@ -99,9 +99,14 @@ def resolve_redirects(pages: DataFrame) -> DataFrame:
     return got.select("id", F.when(F.col("redirect_to").isNull(), F.col("id")).otherwise(F.col("found")).alias("target"))
 
 
-def composite_digest(files: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, content_hash): sha256 over the sorted 20-byte digests of a key's files, repeats kept; null without any."""
+def composite_digest(files: DataFrame, key: str, digest: str, skip: Column | None = None) -> DataFrame:
+    """(key, content_hash): sha256 over the sorted 20-byte digests of a key's files, repeats kept; null without any.
+
+    skip: files left out, as junk is from the filtered digest.
+    """
     ok = F.lower(F.col(digest)).rlike("^[0-9a-f]{40}$")
+    if skip is not None:
+        ok = ok & ~F.coalesce(skip, F.lit(False))
     parts = files.groupBy(key).agg(F.sort_array(F.collect_list(F.when(ok, F.lower(F.col(digest))))).alias("d"))
     return parts.select(key, F.when(F.size("d") > 0, F.sha2(F.unhex(F.array_join("d", "")), 256)).alias("content_hash"))
 
@@ -113,3 +118,73 @@ def is_junk(path: Column) -> Column:
 def is_crawl_image(path: Column) -> Column:
     """Importable files by extension: everything but texts, pictures and checksums."""
     return ~F.lower(path).rlike("\\.(txt|nfo|diz|jpg|jpeg|png|gif|pdf|md5|sfv|sha1|cue|log)$")
+
+
+def ordered(df: DataFrame, sort: str | None, direction: str, allowed: dict[str, Column], default: str, nulls_last: frozenset[str], *ties: Column) -> list[Column]:
+    """A total order from a whitelist: an unknown sort key is the default, any direction but "desc" ascending.
+
+    Keys of nulls_last have their nulls last in both directions; the others have nulls last ascending and first
+    descending, as a row store has. The ties are ascending.
+    """
+    key = sort if sort in allowed else default
+    column, down = allowed[key], direction == "desc"
+    if key in nulls_last:
+        first = column.desc_nulls_last() if down else column.asc_nulls_last()
+    else:
+        first = column.desc_nulls_first() if down else column.asc_nulls_last()
+    return [first, *[t.asc_nulls_last() for t in ties]]
+
+
+def having_pairs(df: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys, taken together, are among the pairs."""
+    return df.join(pairs.select(*keys).distinct(), keys, "left_semi")
+
+
+def first_arm(arms: list[DataFrame], keys: list[str], *order: Column) -> DataFrame:
+    """For each key the first row of the earliest arm that has it."""
+    both = None
+    for k, arm in enumerate(arms):
+        part = arm.withColumn("_arm", F.lit(k))
+        both = part if both is None else both.unionByName(part, allowMissingColumns=True)
+    return first_per(both, keys, F.asc("_arm"), *order).drop("_arm")
+
+
+def two_way_difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, change): members that were added to or removed from each key's set."""
+    o, n = (t.select(key, value).distinct().withColumn(c, F.lit(True)) for t, c in ((old, "_old"), (new, "_new")))
+    both = o.join(n, [key, value], "full").where("_old is null or _new is null")
+    return both.select(key, value, F.when(F.col("_old").isNull(), "added").otherwise("removed").alias("change"))
+
+
+def distinct_values(owners: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the sorted distinct values of every owner, an empty array where it has none."""
+    found = rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))
+    kind = found.schema["values"].dataType.simpleString()
+    return owners.select(key).distinct().join(found, key, "left").withColumn("values", F.coalesce("values", F.array().cast(kind)))
+
+
+def incomplete_files(files: DataFrame, key: str) -> DataFrame:
+    """(key, files, incomplete): files of their own (no directories, no archive members) and those that couldn't be read whole."""
+    own = files.where(~F.coalesce("is_dir", F.lit(False)) & ~F.coalesce("in_archive", F.lit(False)))
+    return own.groupBy(key).agg(F.count("*").alias("files"), F.count_if(F.coalesce("unreadable", F.lit(False))).alias("incomplete"))
+
+
+def asset_ok() -> Column:
+    """Whether an asset row (path, sha256, mime, kind, size) may be stored: a path, 64 lower-case hex digits, a type, a kind, a finite size."""
+    size = F.col("size").cast("double")
+    finite = size.isNotNull() & ~F.isnan(size) & (F.abs(size) != float("inf"))
+    present = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("path",)] + [F.col(c).isNotNull() for c in ("mime", "kind")]
+    return all_of(*present, F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), finite)
+
+
+def filter_extracts(extracts: DataFrame, equal: dict[str, object] | None = None, span: tuple[str, object, object] | None = None, having: list[tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """Extracts by facets: equal columns (None: any), a column from .. to (None: open), and rows in each of the tables of `having` by key."""
+    for column, value in (equal or {}).items():
+        extracts = extracts if value is None else extracts.where(F.col(column) == value)
+    if span:
+        column, low, high = span
+        extracts = extracts if low is None else extracts.where(F.col(column) >= low)
+        extracts = extracts if high is None else extracts.where(F.col(column) <= high)
+    for table, key in having or []:
+        extracts = extracts.join(table.select(key).distinct(), key, "left_semi")
+    return extracts

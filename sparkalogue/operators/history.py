@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder that the cluster shares, or a local one where none is set (tests)."""
+    """Lineage cut in the folder that the cluster shares; a local one where none is set and the master is local (tests)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkalogue-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sparkalogue-"))
     return df.checkpoint()
 
 
@@ -175,6 +178,45 @@ def snapshot(entries: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
     raise RuntimeError("tree is deeper than max_depth")
 
 
+def flatten_tree(roots: DataFrame, key: str, tree: str, max_depth: int = 64) -> DataFrame:
+    """(key, path, name, type, size, date, md5, sha1, sha256) of every node of JSON trees of (name, type, size, date, hashes, children).
+
+    `tree` is a JSON array of nodes; null and broken ones have none. Children stay JSON text until
+    their level comes up, so trees of any depth are read a level at a time.
+    """
+    node = "array<struct<name: string, type: string, size: bigint, date: string, md5: string, sha1: string, sha256: string, children: string>>"
+    level, out = roots.select(key, F.lit("").alias("above"), F.col(tree).alias("nodes")), None
+    for _ in range(max_depth):
+        found = level.select(key, "above", F.explode(F.from_json("nodes", node)).alias("n"))
+        found = checkpointed(found.select(key, F.concat("above", F.lit("/"), "n.name").alias("path"), "n.*"))
+        if found.isEmpty():
+            return out if out is not None else found.drop("children")
+        out = found.drop("children") if out is None else out.union(found.drop("children"))
+        level = found.where("type = 'dir' and children is not null").select(key, F.col("path").alias("above"), F.col("children").alias("nodes"))
+    raise RuntimeError("tree is deeper than max_depth")
+
+
+def tree_files(nodes: DataFrame) -> DataFrame:
+    """Nodes that are files: all but directories without a hash (an archive listed as a directory has one)."""
+    return nodes.where("type != 'dir' or coalesce(md5, sha1, sha256) is not null")
+
+
+def tree_dates(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, path, date) of the nodes with a date, the last one of equal paths left to the caller."""
+    return nodes.where("date is not null and date != ''").select(key, "path", "date")
+
+
+def revert_plan(revisions: DataFrame, author: str, since: Column, page: str = "page", order: str = "rev") -> DataFrame:
+    """(page, bad_rev, good_rev, action): what undoing an author's edits takes, for pages whose newest revision is theirs.
+
+    good_rev is the newest revision by anyone else; without one the page is to be deleted. Both are
+    aggregates, so a page of any history costs a row a task.
+    """
+    newest = revisions.groupBy(page).agg(F.max_by(F.struct(F.col(order), "author", since.alias("recent")), order).alias("last"), F.max(F.when(F.col("author") != author, F.col(order))).alias("good_rev"))
+    bad = newest.where((F.col("last.author") == author) & F.col("last.recent"))
+    return bad.select(page, F.col(f"last.{order}").alias("bad_rev"), "good_rev", F.when(F.col("good_rev").isNull(), "delete").otherwise("revert").alias("action"))
+
+
 def log_page(commits: DataFrame, reachable: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     """Commits that are reachable, in manifest order, one page."""
     return commits.join(reachable.select("id").distinct(), commits["oid"] == F.col("id"), "left_semi").orderBy(order).offset(offset).limit(limit)

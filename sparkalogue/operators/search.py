@@ -17,6 +17,34 @@ def fuzzy_names(df: DataFrame, name: str, term: str, threshold: float = 0.3) ->
     return df.withColumn("similarity", sim).where((F.col("similarity") >= threshold) | contains_literal(F.col(name), term))
 
 
+def wildcard_like(c: Column, term: str) -> Column:
+    """Case-insensitive match anywhere in which % and _ of the term are live wildcards."""
+    return F.ilike(c, F.lit(f"%{term}%"))
+
+
+def media_names(df: DataFrame, name: str, term: str, limit: int = 20, threshold: float = 0.3) -> DataFrame:
+    """Rows whose name is similar to the term or matches it as a live pattern, the most similar first, then by name."""
+    sim = F.round(trigram_similarity(F.col(name), F.lit(term)), 6)
+    found = df.withColumn("similarity", sim).where((F.col("similarity") >= threshold) | wildcard_like(F.col(name), term))
+    return found.orderBy(F.desc("similarity"), F.asc(name)).limit(min(limit, 100))
+
+
+def name_or_text(df: DataFrame, name: str, text: str, term: str, limit: int, tie: str, threshold: float = 0.3) -> DataFrame:
+    """Rows similar by name or with all tokens of the term in their text, in one list by similarity of the name."""
+    sim = F.round(trigram_similarity(F.col(name), F.lit(term)), 6)
+    found = df.withColumn("similarity", sim).where((F.col("similarity") >= threshold) | has_all(F.col(text), term))
+    return found.orderBy(F.desc_nulls_last("similarity"), F.asc(tie)).limit(limit)
+
+
+def suggestions(df: DataFrame, name: str, term: str, limit: int, *ties: Column) -> DataFrame:
+    """Rows whose name holds the term, the most similar first; without a term all by name, case aside."""
+    term = term.strip()
+    order = [F.lower(name).asc_nulls_last(), *ties]
+    if not term:
+        return df.orderBy(*order).limit(limit)
+    return df.where(contains_literal(F.col(name), term)).orderBy(F.round(trigram_similarity(F.col(name), F.lit(term)), 6).desc_nulls_last(), *order).limit(limit)
+
+
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
 

@@ -11,6 +11,31 @@ def replace_by_key(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> D
     return stored.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
+def replace_derived(stored: DataFrame, saved: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+    """A page save's derived rows: those of the saved keys go, the new ones come; a key saved without any keeps none."""
+    return stored.join(saved.select(key).distinct(), key, "left_anti").unionByName(derived.join(saved.select(key).distinct(), key, "left_semi"))
+
+
+def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
+    """pages (slug, redirect_to, deleted, ...) after moves (slug, new_slug): the page under its new slug, a redirect under the old one.
+
+    Deleted pages and unknown slugs don't move, nor does a page onto a slug that is taken.
+    """
+    taken = pages.select(F.col("slug").alias("new_slug"))
+    valid = moves.join(taken, "new_slug", "left_anti").dropDuplicates(["new_slug"]).dropDuplicates(["slug"])
+    marked = pages.join(valid, "slug", "left").withColumn("moves", F.col("new_slug").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
+    stay = marked.select(*[F.when(F.col("moves"), F.col("new_slug")).otherwise(F.col(c)).alias(c) if c == "slug" else F.col(c) for c in pages.columns])
+    held = {"slug": F.col("slug"), "redirect_to": F.col("new_slug"), "deleted": F.lit(False)}
+    left = marked.where("moves").select(*[held[c].cast(pages.schema[c].dataType).alias(c) if c in held else F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in pages.columns])
+    return stay.unionByName(left)
+
+
+def drop_automatic(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows without the automatic ones (source = 'auto') of the given keys; rows that a person made or changed stay."""
+    gone = F.coalesce(F.col("source") == "auto", F.lit(False))
+    return rows.where(~gone).unionByName(rows.where(gone).join(keys.select(key).distinct(), key, "left_anti"))
+
+
 def coalesce_update(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming values where they are given, else the stored ones; unknown keys are inserted."""
     values = [c for c in stored.columns if c not in keys]

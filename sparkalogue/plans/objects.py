@@ -164,12 +164,8 @@ def _value(name: str, fields: dict[str, Attribute], typed: bool = True) -> Colum
     return _typed(_text(name), a.kind) if typed else _text(name)
 
 
-def compile_query(registry: Registry, q: ObjectQuery, objects: DataFrame, pages: DataFrame) -> DataFrame:
-    """The query's rows: (page_id, ordinal, data, truncated), or the groups of an aggregate.
-
-    A row query fetches one row beyond its limit; `truncated` on every row tells whether there
-    was one. Sorting puts nulls last in both directions and ends with slug and ordinal.
-    """
+def matching(registry: Registry, q: ObjectQuery, objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """All rows that the query's scope and conditions leave, in no order and without a limit, with their page's columns."""
     fields = registry.fields(q.components)
     scope = (F.col("deleted_at").isNull()) & ~F.col("is_redirect")
     if not q.include_hidden:
@@ -177,8 +173,17 @@ def compile_query(registry: Registry, q: ObjectQuery, objects: DataFrame, pages:
     if q.page:
         scope = scope & (F.col("ns") == q.page[0]) & (F.col("slug") == q.page[1])
     rows = objects.where(F.col("component").isin(q.components)).join(pages.where(scope), "page_id")
-    if q.where is not None:
-        rows = rows.where(compile_where(q.where, fields))
+    return rows if q.where is None else rows.where(compile_where(q.where, fields))
+
+
+def compile_query(registry: Registry, q: ObjectQuery, objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """The query's rows: (page_id, ordinal, data, truncated), or the groups of an aggregate.
+
+    A row query fetches one row beyond its limit; `truncated` on every row tells whether there
+    was one. Sorting puts nulls last in both directions and ends with slug and ordinal.
+    """
+    fields = registry.fields(q.components)
+    rows = matching(registry, q, objects, pages)
     limit = min(MAX_LIMIT, max(1, q.limit or DEFAULT_LIMIT))
     if q.aggs:
         made = []

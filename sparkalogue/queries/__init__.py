@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import histories, listings, objects, similarity
+from . import histories, listings, objects, pages, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for family in (similarity, listings, objects, histories):
+for family in (similarity, listings, objects, histories, pages):
     QUERIES |= family.QUERIES
     ORACLE_SQL |= family.ORACLE_SQL

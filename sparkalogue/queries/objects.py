@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.objects import Attribute, ObjectQuery, Registry, compile_query
+from ..plans.objects import Attribute, ObjectQuery, Registry, compile_query, matching
 from .registry import Family, read
 
 family = Family()
@@ -44,11 +44,11 @@ def _run(spark, sf_dir, **query):
 
 
 def _rows(name: str, where: dict, condition: str) -> None:
-    """Register a row query by its first 5000 pages in order of slug."""
+    """Register a condition over all objects; the sorted queries below show the limit and its flag."""
 
-    @family.add(f"dsl_{name}", f"{_SQL_BASE} SELECT page_id FROM o WHERE {condition} ORDER BY page_id LIMIT 5000")
+    @family.add(f"dsl_{name}", f"{_SQL_BASE} SELECT page_id FROM o WHERE {condition}")
     def query(spark, sf_dir):
-        return _run(spark, sf_dir, where=where, limit=5000).select("page_id")
+        return matching(REGISTRY, ObjectQuery(components=["event"], where=where), *_objects(spark, sf_dir)).select("page_id")
 
 
 _DAY = "(CASE WHEN regexp_matches(day, '^[0-9]{4}-[0-9]{2}$') THEN (day || '-01')::DATE WHEN regexp_matches(day, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN day::DATE END)"

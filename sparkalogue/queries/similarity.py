@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import catalog, kernels, sets, tiers
+from ..operators.history import checkpointed
 from .registry import Family, read
 
 family = Family()
@@ -17,7 +18,7 @@ family = Family()
     WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS tok FROM documents),
          f AS (SELECT id, tok FROM t WHERE tok <> ''),
          n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
-         c AS (SELECT q.id AS query_id, x.id AS id, count(*) AS c FROM f q JOIN f x ON q.tok = x.tok AND q.id <> x.id WHERE q.id < 20 GROUP BY 1, 2),
+         c AS (SELECT q.id AS query_id, x.id AS id, count(*) AS c FROM f q JOIN f x ON q.tok = x.tok AND q.id <> x.id WHERE q.id % 100 = 0 GROUP BY 1, 2),
          s AS (SELECT query_id, c.id, CAST(c AS BIGINT) AS shared, round(c / CAST(a.n + b.n - c AS DOUBLE), 6) AS jaccard
                FROM c JOIN n a ON a.id = query_id JOIN n b ON b.id = c.id)
     SELECT query_id, id, shared, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, id) AS rn FROM s) WHERE rn <= 10
@@ -26,20 +27,18 @@ family = Family()
 def jaccard_shared_tokens_topk(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     tokens = sets.distinct_tokens(docs, "doc_id", "text")
-    return sets.jaccard_topk(tokens.where("id < 20"), tokens, k=10)
-
+    return sets.jaccard_topk(tokens.where("id % 100 = 0"), tokens, k=10)
 
 
 @family.add(
     "identical_content",
     """
-    WITH h AS (SELECT doc_id, md5(text) AS h FROM documents)
-    SELECT a.doc_id AS query_id, b.doc_id AS id, 'content' AS tier, 1.0::DOUBLE AS sim FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id WHERE a.doc_id % 10 = 0
+    SELECT doc_id AS id, min(doc_id) OVER w AS class_id, count(*) OVER w AS members FROM documents WINDOW w AS (PARTITION BY md5(text))
     """,
 )
 def identical_content(spark, sf_dir):
     hashed = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash"))
-    return tiers.equal_key(hashed.where("id % 10 = 0"), hashed, "content_hash", "content")
+    return tiers.classes(hashed, "content_hash")
 
 
 @family.add(
@@ -63,10 +62,15 @@ _SQL_SIGNATURE = f"""
 
 
 def _signatures(spark, sf_dir):
-    """(id, signature): for each seed the least of 60-bit md5 prefixes over the document's words."""
+    """(id, signature): for each seed the least of 60-bit md5 prefixes over the document's words.
+
+    Every different word is hashed once and its hashes joined to the documents that hold it.
+    """
     tokens = sets.distinct_tokens(read(spark, sf_dir, "documents"), "doc_id", "text")
-    low = [F.min(F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), "tok")), 1, 15), 16, 10).cast("bigint")).alias(f"v{s}") for s in range(_SEEDS)]
-    return tokens.groupBy("id").agg(*low).select("id", F.array(*[f"v{s}" for s in range(_SEEDS)]).alias("signature"))
+    hashes = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), "tok")), 1, 15), 16, 10).cast("bigint").alias(f"v{s}") for s in range(_SEEDS)]
+    words = tokens.select("tok").distinct().select("tok", *hashes)
+    low = tokens.join(words, "tok").groupBy("id").agg(*[F.min(f"v{s}").alias(f"v{s}") for s in range(_SEEDS)])
+    return checkpointed(low.select("id", F.array(*[f"v{s}" for s in range(_SEEDS)]).alias("signature")))
 
 
 @family.add("minhash_signature", f"WITH {_SQL_SIGNATURE} SELECT id, CAST(s AS INTEGER) AS slot, v FROM m")
@@ -76,7 +80,7 @@ def minhash_signature(spark, sf_dir):
 
 _SQL_BANDS = """
     b AS (SELECT id, s // 4 AS band, string_agg(v, ',' ORDER BY s) AS h FROM m GROUP BY id, s // 4),
-    c AS (SELECT DISTINCT x.id AS query_id, y.id FROM b x JOIN b y ON x.h = y.h AND x.id <> y.id WHERE x.id % 10 = 0)
+    c AS (SELECT DISTINCT x.id AS query_id, y.id FROM b x JOIN b y ON x.h = y.h AND x.id <> y.id WHERE x.id % 100 = 0)
 """
 
 
@@ -88,7 +92,7 @@ def _banded(spark, sf_dir):
 @family.add("lsh_candidates", f"WITH {_SQL_SIGNATURE}, {_SQL_BANDS} SELECT query_id, id FROM c")
 def lsh_candidates(spark, sf_dir):
     banded = _banded(spark, sf_dir)
-    return sets.lsh_candidates(banded.where("id % 10 = 0"), banded)
+    return sets.lsh_candidates(banded.where("id % 100 = 0"), banded)
 
 
 @family.add(
@@ -101,7 +105,7 @@ def lsh_candidates(spark, sf_dir):
 )
 def minhash_agreement(spark, sf_dir):
     banded = _banded(spark, sf_dir)
-    return sets.signature_topk(banded.where("id % 10 = 0"), banded, k=10)
+    return sets.signature_topk(banded.where("id % 100 = 0"), banded, k=10)
 
 
 def _splitmix_signatures(spark, sf_dir):
@@ -118,16 +122,16 @@ def minhash_splitmix(spark, sf_dir):
 @family.add("chunk_resemblance")
 def chunk_resemblance(spark, sf_dir):
     """Neighbours by agreement of 128-slot signatures behind 16 x 8 bands."""
-    signed = minhash_splitmix(spark, sf_dir)
-    return sets.signature_topk(signed.where("id % 10 = 0"), signed, k=10)
+    signed = checkpointed(minhash_splitmix(spark, sf_dir))
+    return sets.signature_topk(signed.where("id % 100 = 0"), signed, k=10)
 
 
 @family.add("oph_resemblance")
 def oph_resemblance(spark, sf_dir):
     """Neighbours by one-permutation signatures over the bytes of whole texts."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), kernels.one_permutation_udf(F.col("text").cast("binary")).alias("signature"))
-    banded = docs.withColumn("bands", kernels.bands_udf("signature"))
-    return sets.signature_topk(banded.where("id % 10 = 0"), banded, k=10)
+    banded = checkpointed(docs.withColumn("bands", kernels.bands_udf("signature")))
+    return sets.signature_topk(banded.where("id % 100 = 0"), banded, k=10)
 
 
 @family.add("content_defined_chunks")
@@ -159,7 +163,7 @@ _SQL_BEST_TRACKS = f"""
     WITH {_SQL_TRACKS},
     q AS (SELECT f.build, track, f.tok, idf FROM f JOIN i USING (tok)),
     w AS (SELECT build, track, sum(idf) AS w FROM q GROUP BY 1, 2),
-    s AS (SELECT a.build AS q_build, a.track AS q_track, b.build, b.track, sum(a.idf) AS w FROM q a JOIN q b ON a.tok = b.tok AND a.build <> b.build WHERE a.build % 5 = 0 GROUP BY 1, 2, 3, 4),
+    s AS (SELECT a.build AS q_build, a.track AS q_track, b.build, b.track, sum(a.idf) AS w FROM q a JOIN q b ON a.tok = b.tok AND a.build <> b.build WHERE a.build % 100 = 0 GROUP BY 1, 2, 3, 4),
     j AS (SELECT q_build, q_track, s.build, s.track, round(s.w / nullif(x.w + y.w - s.w, 0), 6) AS sim
           FROM s JOIN w x ON x.build = q_build AND x.track = q_track JOIN w y ON y.build = s.build AND y.track = s.track),
     b AS (SELECT q_build, q_track, build, track, sim FROM (SELECT *, row_number() OVER (PARTITION BY q_build, q_track, build ORDER BY sim DESC, track) AS rn FROM j WHERE sim IS NOT NULL) WHERE rn = 1)
@@ -168,7 +172,7 @@ _SQL_BEST_TRACKS = f"""
 
 def _best_tracks(spark, sf_dir):
     tracks = _tracks(spark, sf_dir)
-    return tiers.weighted_tracks(tracks.where("build % 5 = 0"), tracks, tiers.token_idf(tracks).select("tok", "idf"))
+    return tiers.weighted_tracks(tracks.where("build % 100 = 0"), tracks, tiers.token_idf(tracks).select("tok", "idf"))
 
 
 @family.add("audio_similar_tracks", f"{_SQL_BEST_TRACKS} SELECT * FROM b WHERE sim >= 0.2")
@@ -188,22 +192,22 @@ def audio_matched_builds(spark, sf_dir):
     "embedding_cosine_topk",
     """
     WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-    s AS (SELECT q.id AS query_id, e.id, round(list_cosine_similarity(q.v, e.v), 6) AS cosine FROM e q JOIN e ON q.id <> e.id WHERE q.id % 50 = 0)
+    s AS (SELECT q.id AS query_id, e.id, round(list_cosine_similarity(q.v, e.v), 6) AS cosine FROM e q JOIN e ON q.id <> e.id WHERE q.id % 100 = 0)
     SELECT query_id, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rn FROM s) WHERE rn <= 10
     """,
 )
 def embedding_cosine_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return tiers.cosine_topk(vectors.where("id % 50 = 0"), vectors, k=10)
+    return tiers.cosine_topk(vectors.where("id % 100 = 0"), vectors, k=10)
 
 
 _SQL_FUSED = """
     WITH h AS (SELECT doc_id AS id, md5(text) AS h FROM documents),
     t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS tok FROM documents),
     f AS (SELECT * FROM t WHERE tok <> ''), n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
-    c AS (SELECT q.id AS query_id, x.id, count(*) AS c FROM f q JOIN f x ON q.tok = x.tok AND q.id <> x.id WHERE q.id < 20 GROUP BY 1, 2),
+    c AS (SELECT q.id AS query_id, x.id, count(*) AS c FROM f q JOIN f x ON q.tok = x.tok AND q.id <> x.id WHERE q.id % 100 = 0 GROUP BY 1, 2),
     files AS (SELECT query_id, c.id, round(c / CAST(a.n + b.n - c AS DOUBLE), 6) AS sim FROM c JOIN n a ON a.id = query_id JOIN n b ON b.id = c.id),
-    content AS (SELECT a.id AS query_id, b.id, 1.0 AS sim FROM h a JOIN h b ON a.h = b.h AND a.id <> b.id WHERE a.id < 20),
+    content AS (SELECT a.id AS query_id, b.id, 1.0 AS sim FROM h a JOIN h b ON a.h = b.h AND a.id <> b.id WHERE a.id % 100 = 0),
     v AS (SELECT coalesce(f.query_id, c.query_id) AS query_id, coalesce(f.id, c.id) AS id, coalesce(f.sim, 0) AS fs, coalesce(c.sim, 0) AS cs FROM files f FULL JOIN content c ON f.query_id = c.query_id AND f.id = c.id),
     l AS (SELECT DISTINCT doc_id FROM labels),
     k AS (SELECT v.*, x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL AS both_labelled FROM v LEFT JOIN l x ON x.doc_id = query_id LEFT JOIN l y ON y.doc_id = v.id)
@@ -216,9 +220,9 @@ def fused_similarity(spark, sf_dir):
     """Two tiers fused; every document can have the files tier, labelled ones the content tier too."""
     docs = read(spark, sf_dir, "documents")
     tokens = sets.distinct_tokens(docs, "doc_id", "text")
-    files = sets.jaccard_topk(tokens.where("id < 20"), tokens, k=2**30).select("query_id", "id", F.lit("files").alias("tier"), F.col("jaccard").alias("sim"))
+    files = sets.jaccard_topk(tokens.where("id % 100 = 0"), tokens, k=2**30).select("query_id", "id", F.lit("files").alias("tier"), F.col("jaccard").alias("sim"))
     hashed = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("h"))
-    fused = tiers.fuse(files.union(tiers.equal_key(hashed.where("id < 20"), hashed, "h", "content")))
+    fused = tiers.fuse(files.union(tiers.equal_key(hashed.where("id % 100 = 0"), hashed, "h", "content")))
     labelled = read(spark, sf_dir, "labels").select("doc_id").distinct()
     able = docs.select(F.col("doc_id")).join(labelled.withColumn("l", F.lit(True)), "doc_id", "left").select(F.col("doc_id"), F.when(F.col("l"), F.array(F.lit("files"), F.lit("content"))).otherwise(F.array(F.lit("files"))).alias("caps"))
     joined = fused.join(able.select(F.col("doc_id").alias("query_id"), F.col("caps").alias("qc")), "query_id").join(able.withColumnRenamed("doc_id", "id"), "id")

@@ -80,6 +80,27 @@ def test_lines_of_repeated_rows(operators, docs):
     assert all(r[c] == "x" for r in got for c in CLASHING if c != "n_lines") and next(r["text"] for r in got if r["doc_id"] == 6) == LONG
 
 
+def test_lines_under_hot_tokens(spark, monkeypatch):
+    """The same lines go whether tokens count as hot or not, as brute force says."""
+    import random
+
+    rng, vocab = random.Random(8), [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(40):
+        base = rng.sample(vocab, rng.randint(2, 14))
+        texts.append("\n".join(" ".join(rng.sample([*base, *rng.sample(vocab, 1)], len(base) + 1)) for _ in range(rng.randint(1, 5))))
+    want, seen = Counter(), []
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            k = set(line.split())
+            want[i] += any(1000 * len(k & s) >= 800 * len(k | s) for s in seen)
+            seen.append(k)
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for hot in (0, 5, 2000):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(made).collect()} == dict(want)
+
+
 def test_pieces_of_repeated_rows(operators, docs):
     got = operators["packing"](docs).collect()
     assert len([r for r in got if r["doc_id"] == 4]) == 2 and len([r for r in got if r["doc_id"] in (2, 3)]) == 2
