@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
-HOT = 2000
+HOT = 1000
 #: Tokens from which a set has a second bitmap, of half its tokens.
 WIDE = 64
 #: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
@@ -50,19 +50,19 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array column of constant value: occurrences of the words of each hash slot, above the bits of a token's hash."""
+    """An array column of constant value: occurrences of the words of each hash slot, 20 bits at most."""
     each = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
     slots = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n"))
     counts = [0] * RARITY_SLOTS
     for r in slots.collect():
-        counts[r["slot"]] = min(r["n"], (1 << 20) - 1) << _HASH_BITS
+        counts[r["slot"]] = min(r["n"], (1 << 20) - 1)
     return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
 
 
 def token_keys(line: Column, counts: Column) -> Column:
     """Sorted different keys of a line's words: rarity above, hash below. Empty where the line has no word."""
     hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
 def parity(keys: Column, half: bool = False) -> Column:
