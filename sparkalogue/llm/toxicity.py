@@ -38,6 +38,7 @@ STEM = (5, 7, 9)
 #: A fragment is a word, or a beginning, that stands between so many different neighbours in its class at least.
 FRAGMENT_SETTINGS = 6
 BASE_BYTES, CLASS_BYTES = 24_000, 8_000
+_SLOTS = 1 << 20
 WINDOW_WORDS = 16
 
 
@@ -75,21 +76,30 @@ def features(s: np.ndarray) -> tuple[float, ...]:
     return (1.0, max(float(s.max(initial=0)), 0.0) / 8, *strong, math.log1p(len(s)))
 
 
-def _settings(texts: list[str]) -> Counter:
-    """Fragments with the number of different neighbourhoods they stand in, so that copies of a text count once; those of one are left out."""
+def _in_settings(texts: list[str]) -> Iterator[list[str]]:
+    """Fragments of each different neighbourhood of a word, so that copies of a text count once."""
     places: set[int] = set()
-    counts: Counter = Counter()
     for t in texts:
         w = ["", *WORD.findall(t.lower()), ""]
-        new = []
         for before, word, after in zip(w, w[1:], w[2:]):
             place = hash((before, word, after))
             if place not in places:
                 places.add(place)
-                new.append(word)
-                new += [word[:k] for k in STEM if k < len(word)]
-        counts.update(new)
-    return Counter({w: n for w, n in counts.items() if n > 1})
+                yield [word, *[word[:k] for k in STEM if k < len(word)]]
+
+
+def _settings(sides: list[list[str]]) -> list[Counter]:
+    """For each class the fragments with the number of neighbourhoods they stand in, of those that either class has in FRAGMENT_SETTINGS.
+
+    A first pass counts hash slots, so that the many rare fragments never take memory.
+    """
+    slots = np.zeros((len(sides), _SLOTS), dtype=np.int32)
+    for row, texts in zip(slots, sides, strict=True):
+        for found in _in_settings(texts):
+            for f in found:
+                row[hash(f) % _SLOTS] += 1
+    often = (slots >= FRAGMENT_SETTINGS).any(axis=0)
+    return [Counter(f for found in _in_settings(texts) for f in found if often[hash(f) % _SLOTS]) for texts in sides]
 
 
 def _fragments(own: Counter, other: Counter, scale: float, most: int) -> list[bytes]:
@@ -114,8 +124,8 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     if min(map(len, sides)) < 4:
         return None
     build = [s[::2] for s in sides]
-    settings = [_settings(s) for s in build]
-    sizes = [sum(s.values()) + 1 for s in settings]
+    settings = _settings(build)
+    sizes = [sum(len(WORD.findall(t)) for t in s) + 1 for s in build]
     fragments = [_fragments(settings[c], settings[1 - c], sizes[c] / sizes[1 - c], CLASS_BYTES) for c in (0, 1)]
     telling = {f for side in fragments for f in side}
     common = Counter(w for s in build for t in s for w in WORD.findall(t.lower()))
