@@ -14,3 +14,28 @@ def test_stages_keep_their_contract(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.agg(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Each stage against what it must keep of nulls, empty texts, repeated rows, copies and leaks."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    a = "alpha beta gamma delta epsilon zeta eta theta iota kappa\nlamda mu nu xi omicron"
+    leak = "so it says: one two three four five six seven eight nine ten eleven twelve and on it goes"
+    rows = [(1, a), (1, a), (2, None), (3, ""), (4, a + " pi"), (5, leak), (6, "clean words of its own that nobody else has written down")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS and kept.count() == 7
+    lines = stages["line_dedup"](spark, kept, sf).collect()
+    assert sorted((r["doc_id"], r["text"] is None, r["n_chars"]) for r in lines if r["doc_id"] in (1, 2, 3)) == [(1, False, 0), (1, False, len(a)), (2, True, 0), (3, False, 0)]
+    assert next(r["text"] for r in lines if r["doc_id"] == 4) == ""
+    near = [(r["doc_id"], r["text"]) for r in stages["ngram_join"](spark, kept, sf).collect()]
+    assert sorted(near, key=str) == sorted([(1, a), (2, None), (3, ""), (5, leak), (6, rows[-1][1])], key=str)
+    assert sorted(r["doc_id"] for r in stages["decontamination"](spark, kept, sf).collect()) == [1, 1, 2, 3, 4, 6]
+    packed = stages["packing"](spark, kept, sf).collect()
+    assert sorted({r["doc_id"] for r in packed}) == [1, 2, 3, 4, 5, 6] and len(packed) == 7
+    empty = docs.where("doc_id = 99")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
