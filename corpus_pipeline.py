@@ -1,6 +1,13 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Null and empty texts pass every stage and are packed as an end token each. A null doc_id is
+kept but by the near-duplicate stage, which knows documents by their id. Equal rows: all lines
+of the second go in the line stage, and the near-duplicate stage keeps one of what is then left
+of each text. Different texts of one doc_id are documents of their own, but a leak in one drops
+both. Extra columns of docs are left out by the first stage, whatever their names. An empty table
+stays empty. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
