@@ -118,15 +118,50 @@ def hunks(owner: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def blame(versions: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, version, first_line, n_lines): hunks of each key's last version. A key's versions are one group."""
+def _line_sources(old: str | None, new: str) -> list[int]:
+    """For each line of the new text the line of the old one that it is, or -1; without an old text all are new."""
+    lines = new.split("\n")
+    out = [-1] * len(lines)
+    if old is not None:
+        for op, a, b, c, _ in difflib.SequenceMatcher(None, old.split("\n"), lines, autojunk=False).get_opcodes():
+            if op == "equal":
+                out[c : c + b - a] = range(a, b)
+    return out
+
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        found = hunks(blame_lines([t or "" for t in rows.sort_values("_o")["_t"]]))
-        return pd.DataFrame([(rows["_k"].iloc[0], *h) for h in found], columns=["key", "version", "first_line", "n_lines"])
+def blame(versions: DataFrame, key: str, order: str, text: str, max_rounds: int = 40) -> DataFrame:
+    """(key, version, first_line, n_lines): hunks of each key's last version; versions count from 0 in `order`, which is unique within a key.
+
+    Neighbouring versions are compared a pair a row, wherever their key lies. Each line then points at the
+    same line one version before, or at itself where it is new, and pointers are doubled until all
+    point at the version a line came with: a logarithmic number of joins, and no key is one group.
+    """
 
-    named = versions.select(F.col(key).cast("long").alias("_k"), F.col(order).cast("long").alias("_o"), F.col(text).alias("_t"))
-    return named.groupBy("_k").applyInPandas(one, "key long, version long, first_line long, n_lines long").withColumnRenamed("key", key)
+    @F.pandas_udf("array<int>")
+    def sources(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([_line_sources(a, b or "") for a, b in zip(old, new, strict=True)])
+
+    named = versions.select(F.col(key).cast("long").alias("k"), F.col(order).cast("long").alias("o"), F.coalesce(text, F.lit("")).alias("t"))
+    places = named.select("k", "o").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1)
+    numbered = checkpointed(named.join(places, ["k", "o"]).select("k", "n", "t"))
+    before = numbered.select("k", (F.col("n") + 1).alias("n"), F.col("t").alias("old"))
+    each = numbered.join(before, ["k", "n"], "left").select("k", "n", F.posexplode(sources("old", "t")).alias("line", "source"))
+    kept = F.col("source") >= 0
+    at = checkpointed(each.select("k", "n", "line", F.when(kept, F.col("n") - 1).otherwise(F.col("n")).alias("to_n"), F.when(kept, F.col("source")).otherwise(F.col("line")).alias("to_line")))
+    for _ in range(max_rounds):
+        further = at.select("k", F.col("n").alias("to_n"), F.col("line").alias("to_line"), F.col("to_n").alias("far_n"), F.col("to_line").alias("far_line"))
+        stepped = checkpointed(at.join(further, ["k", "to_n", "to_line"]).select("k", "n", "line", F.col("far_n").alias("to_n"), F.col("far_line").alias("to_line"), (F.col("far_n") != F.col("to_n")).alias("moved")))
+        at = stepped.drop("moved")
+        if stepped.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("a key has too many versions")
+    last = at.join(numbered.groupBy("k").agg(F.max("n").alias("n")), ["k", "n"]).select("k", "line", F.col("to_n").cast("long").alias("version"))
+    by_line = Window.partitionBy("k").orderBy("line")
+    begins = last.withColumn("new", F.coalesce((F.lag("version").over(by_line) != F.col("version")).cast("int"), F.lit(1)))
+    runs = begins.withColumn("run", F.sum("new").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy("k", "run", "version").agg(F.min("line").cast("long").alias("first_line"), F.count("*").alias("n_lines"))
+    return found.select(F.col("k").alias(key), "version", "first_line", "n_lines")
 
 
 def line_changes(pairs: DataFrame, old: str, new: str) -> DataFrame:

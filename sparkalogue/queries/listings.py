@@ -178,25 +178,25 @@ _SQL_TRIGRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split
 @family.add(
     "trigram_name_search",
     f"""
-    WITH t AS (SELECT p_partkey, p_name, {_SQL_TRIGRAMS.format("p_name")} AS a, {_SQL_TRIGRAMS.format("'part 12'")} AS b FROM part),
+    WITH t AS (SELECT p_partkey, p_name, {_SQL_TRIGRAMS.format("p_name")} AS a, {_SQL_TRIGRAMS.format("'blue rin'")} AS b FROM part),
     s AS (SELECT p_partkey, p_name, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS similarity FROM t)
-    SELECT * FROM s WHERE similarity >= 0.3 OR contains(lower(p_name), 'part 12')
+    SELECT * FROM s WHERE similarity >= 0.3 OR contains(lower(p_name), 'blue rin')
     """,
 )
 def trigram_name_search(spark, sf_dir):
-    return search.fuzzy_names(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "part 12")
+    return search.fuzzy_names(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "blue rin")
 
 
 @family.add(
     "best_file_per_build",
     f"""
-    WITH t AS (SELECT l_orderkey, p_partkey, p_name, {_SQL_TRIGRAMS.format("p_name")} AS a, {_SQL_TRIGRAMS.format("'part 77'")} AS b FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), '77')),
+    WITH t AS (SELECT l_orderkey, p_partkey, p_name, {_SQL_TRIGRAMS.format("p_name")} AS a, {_SQL_TRIGRAMS.format("'red ring'")} AS b FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), 'ring')),
     s AS (SELECT l_orderkey, p_partkey, p_name, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS similarity FROM t)
     SELECT l_orderkey, p_partkey, p_name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY similarity DESC, p_partkey) AS rn FROM s) WHERE rn = 1
     """,
 )
 def best_file_per_build(spark, sf_dir):
-    parts = read(spark, sf_dir, "part").where(scalars.contains_literal(F.col("p_name"), "77")).select("p_partkey", "p_name", F.round(scalars.trigram_similarity(F.col("p_name"), F.lit("part 77")), 6).alias("similarity"))
+    parts = read(spark, sf_dir, "part").where(scalars.contains_literal(F.col("p_name"), "ring")).select("p_partkey", "p_name", F.round(scalars.trigram_similarity(F.col("p_name"), F.lit("red ring")), 6).alias("similarity"))
     hits = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey")
     return catalog.first_per(hits, ["l_orderkey"], F.desc("similarity"), F.asc("p_partkey"))
 

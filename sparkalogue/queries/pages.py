@@ -26,17 +26,17 @@ def media_name_search(spark, sf_dir):
 
 @family.add(
     "name_or_text_search",
-    f"""SELECT p_partkey, sim AS similarity FROM (SELECT *, {_similar('p_name', 'part 7 brass')} AS sim FROM part)
-        WHERE sim >= 0.3 OR list_has_all(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type, p_brand)), '[^a-z0-9]+'), ['part', '7', 'brass']) ORDER BY sim DESC, p_partkey LIMIT 200""",
+    f"""SELECT p_partkey, sim AS similarity FROM (SELECT *, {_similar('p_name', 'blue ring small')} AS sim FROM part)
+        WHERE sim >= 0.3 OR list_has_all(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type, p_brand)), '[^a-z0-9]+'), ['blue', 'ring', 'small']) ORDER BY sim DESC, p_partkey LIMIT 200""",
 )
 def name_or_text_search(spark, sf_dir):
     parts = read(spark, sf_dir, "part").withColumn("doc", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    return search.name_or_text(parts, "p_name", "doc", "part 7 brass", 200, "p_partkey").select("p_partkey", "similarity")
+    return search.name_or_text(parts, "p_name", "doc", "blue ring small", 200, "p_partkey").select("p_partkey", "similarity")
 
 
-@family.add("game_suggestions", f"SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), '11') ORDER BY {_similar('p_name', '11')} DESC, lower(p_name), p_brand, p_partkey LIMIT 50")
+@family.add("game_suggestions", f"SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') ORDER BY {_similar('p_name', 'ring')} DESC, lower(p_name), p_brand, p_partkey LIMIT 50")
 def game_suggestions(spark, sf_dir):
-    return search.suggestions(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_name", " 11 ", 50, F.asc("p_brand"), F.asc("p_partkey"))
+    return search.suggestions(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_name", " ring ", 50, F.asc("p_brand"), F.asc("p_partkey"))
 
 
 @family.add("game_suggestions_empty", "SELECT c_custkey, c_name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 50")

@@ -119,7 +119,42 @@ def minhash_splitmix(spark, sf_dir):
     return _splitmix_signatures(spark, sf_dir).select("id", "signature", kernels.bands_udf("signature").alias("bands"))
 
 
-@family.add("chunk_resemblance")
+def _sql_mix(x: str) -> str:
+    """SQL of the splitmix64 step in 128-bit numbers, over a column s0 of a subquery chain."""
+    low = "18446744073709551615::UHUGEINT"
+    one = f"SELECT * EXCLUDE (x), (x + {kernels.GOLDEN}::UHUGEINT) & {low} AS x FROM ({x})"
+    two = f"SELECT * EXCLUDE (x), (xor(x, x >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT) & {low} AS x FROM ({one})"
+    three = f"SELECT * EXCLUDE (x), (xor(x, x >> 27) * {0x94D049BB133111EB}::UHUGEINT) & {low} AS x FROM ({two})"
+    return f"SELECT * EXCLUDE (x), xor(x, x >> 31) AS x FROM ({three})"
+
+
+_SQL_SEEDS = _sql_mix(f"SELECT slot, xor({kernels.MINHASH_BASE}::UHUGEINT, (slot::UHUGEINT * {kernels.GOLDEN}::UHUGEINT) & 18446744073709551615::UHUGEINT) AS x FROM (SELECT unnest(range(0, {kernels.SLOTS})) AS slot)")
+_SQL_SLOTS = f"""
+    WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS tok FROM documents),
+         k AS (SELECT DISTINCT tok, ('0x' || substr(sha1(tok), 1, 16))::UBIGINT::UHUGEINT & 9223372036854775807::UHUGEINT AS h FROM t WHERE tok <> ''),
+         e AS ({_SQL_SEEDS}),
+         v AS ({_sql_mix("SELECT tok, slot, xor(h, e.x) AS x FROM k, e")}),
+         m AS (SELECT id, slot, min(v.x) AS low FROM t JOIN v USING (tok) GROUP BY id, slot)
+    SELECT id, slot::INTEGER AS slot, (CASE WHEN low >= 9223372036854775808::UHUGEINT THEN low::HUGEINT - 18446744073709551616::HUGEINT ELSE low::HUGEINT END)::BIGINT AS v FROM m
+"""
+
+
+@family.add("minhash_splitmix_slots", _SQL_SLOTS)
+def minhash_splitmix_slots(spark, sf_dir):
+    """The slots of the bit-exact signatures, a row each."""
+    return _splitmix_signatures(spark, sf_dir).select("id", F.posexplode("signature").alias("slot", "v"))
+
+
+_SQL_RESEMBLANCE = f"""
+    WITH m AS ({_SQL_SLOTS}),
+         b AS (SELECT id, slot // 8 AS band, list(v ORDER BY slot) AS h FROM m GROUP BY 1, 2),
+         c AS (SELECT DISTINCT x.id AS query_id, y.id FROM b x JOIN b y ON x.h = y.h AND x.id <> y.id WHERE x.id % 100 = 0),
+         s AS (SELECT query_id, c.id, round(sum((x.v = y.v)::INT) / 128.0::DOUBLE, 6) AS agreement FROM c JOIN m x ON x.id = query_id JOIN m y ON y.id = c.id AND y.slot = x.slot GROUP BY 1, 2)
+    SELECT query_id, id, agreement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY agreement DESC, id) AS rn FROM s) WHERE rn <= 10
+"""
+
+
+@family.add("chunk_resemblance", _SQL_RESEMBLANCE)
 def chunk_resemblance(spark, sf_dir):
     """Neighbours by agreement of 128-slot signatures behind 16 x 8 bands."""
     signed = checkpointed(minhash_splitmix(spark, sf_dir))
@@ -175,9 +210,9 @@ def _best_tracks(spark, sf_dir):
     return tiers.weighted_tracks(tracks.where("build % 100 = 0"), tracks, tiers.token_idf(tracks).select("tok", "idf"))
 
 
-@family.add("audio_similar_tracks", f"{_SQL_BEST_TRACKS} SELECT * FROM b WHERE sim >= 0.2")
+@family.add("audio_similar_tracks", f"{_SQL_BEST_TRACKS} SELECT * FROM b WHERE sim >= 0.05")
 def audio_similar_tracks(spark, sf_dir):
-    return _best_tracks(spark, sf_dir).where("sim >= 0.2")
+    return _best_tracks(spark, sf_dir).where("sim >= 0.05")
 
 
 @family.add(

@@ -108,3 +108,30 @@ def test_slugs_and_dates(spark):
         scalars.build_date(F.lit(""), F.lit("19990412")).alias("c"), scalars.build_date(F.lit("1999-01-01 10:00"), F.lit("20000101")).alias("d"), scalars.build_date(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("e"),
     ).first()
     assert tuple(r) == ("sonic-the-hedgehog--mega-drive", "doom", "1999-04-12", "1999-01-01 10:00", None)
+
+
+def test_blame_against_one_version_after_another(spark):
+    import random
+
+    rng = random.Random(2)
+    rows, want = [], set()
+    for key in range(5):
+        lines, versions = [f"l{k}" for k in range(6)], []
+        for v in range(rng.randint(1, 9)):
+            for _ in range(rng.randint(0, 3)):
+                lines.insert(rng.randrange(len(lines) + 1), f"v{v}n{rng.randrange(99)}")
+                lines.pop(rng.randrange(len(lines)))
+            versions.append("\n".join(lines))
+            rows.append((key, 10 * v, versions[-1]))
+        want |= {(key, *h) for h in history.hunks(history.blame_lines(versions))}
+    rows += [(7, 1, None), (8, 1, "a"), (8, 2, None), (8, 3, "a")]
+    want |= {(7, *h) for h in history.hunks(history.blame_lines([""]))} | {(8, *h) for h in history.hunks(history.blame_lines(["a", "", "a"]))}
+    got = history.blame(spark.createDataFrame(rows, "page long, rev long, text string").repartition(3), "page", "rev", "text")
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_nearest_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, 0.0]), (7, [1.0])]
+    made = spark.createDataFrame(rows, "id long, vec array<float>").repartition(2)
+    got = sorted((r["query_id"], r["id"]) for r in tiers.cosine_topk(made.where("id in (1, 3)"), made, k=2, most_query_rows=1).collect())
+    assert got == [(1, 2), (1, 6), (3, 1), (3, 2)] or got == [(1, 2), (1, 6), (3, 2), (3, 1)]
