@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, small_batches, write_table
 
-DEPTH = 4
+DEPTH = 5
 START, END = 0xFE, 0xFF
 #: Strings whose log probabilities go to every task; those of all others are joined.
 COMMON_STRINGS = 2_000_000

@@ -236,3 +236,10 @@ def test_hashes_of_kept_bytes(spark):
     whole = ("begin " + text + " end").encode()
     want = bytes(b for i, b in enumerate(whole) if not any(x <= i < y for x, y in gone))
     assert hashlib.sha256(bytes(data)).hexdigest() == hashlib.sha256(want).hexdigest() and gone
+
+
+def test_held_out_texts_score_above_word_counts(spark):
+    """On enough text the model's log probability of texts that it never saw is above that of add-one word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = context_tree.score(docs).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got["base"] < got["score"] < 0
