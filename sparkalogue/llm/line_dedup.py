@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, write_table
 
 RARITY_SLOTS = 1 << 16
-HOT = 1000
+HOT = 700
 #: Tokens from which a set has a second bitmap, of half its tokens.
 WIDE = 64
 #: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
