@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, html_text, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files, tokens, toxicity
+from . import context_tree, decontaminate, html_text, line_dedup, ngram_join, packing, periodic_runs, piece_codec, quality_rules, suffix_dedup, token_files, tokens, toxicity, whitening
 from .common import crc32_of_id, table
 
 
@@ -55,7 +55,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_quality_rules, op4_html_text, op5_line_dedup, op6_token_files, op7_context_tree, op8_toxicity, op9_decontamination, op10_ngram_join)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(table(spark, sf_dir, "documents").select("doc_id", "text"), change=periodic_runs.planted)
+    best = periodic_runs.longest(F.col("runs"))
+    told = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    return (
+        found.withColumn("best", best)
+        .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16, scale=64, base=1_000_000)
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_quality_rules, op4_html_text, op5_line_dedup, op6_token_files, op7_context_tree, op8_toxicity, op9_decontamination, op10_ngram_join, op11_periodic_runs, op12_whitening, op13_piece_codec)}
 
 #: The rules of op3 with the exact binomial tail summed term by term.
 _OP3_GRID = ", ".join(f"('{m}', {c}::DOUBLE)" for m, cs in quality_rules.GRID.items() for c in cs)
