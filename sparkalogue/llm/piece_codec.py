@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame
 from .common import small_batches, slices, texts_of
 
 SPACE = "▁"
-#: Stretches that a worker remembers before it starts over.
-REMEMBER = 800_000
+#: Stretches that a worker remembers: so many new ones, and as many that it met before those.
+REMEMBER = 500_000
 #: Up to so many symbols the agenda is a list, beyond it a heap.
 SHORT = 40
-#: Characters of the longest stretch of several parts that is remembered.
-LONGEST = 64
 #: Bytes of text that Python takes at a time.
 SLICE_BYTES = 8_000_000
 #: Types of pieces in a model file (fixed values of the format).
@@ -75,6 +73,25 @@ def _packed(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
+class _Memory(dict):
+    """Bytes by text, made where unknown; when full, what isn't asked for again goes with the next turn."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        self[text] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > REMEMBER:
+            self.older = dict(self)
+            self.clear()
+
+
 class Codec:
     """One model file: ids of texts, and texts of ids."""
 
@@ -112,7 +129,9 @@ class Codec:
         self.symbols = re.compile("|".join(map(re.escape, sorted(self.fixed, key=len, reverse=True))) + "|.", re.DOTALL) if self.fixed else None
         spelled = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelling = [spelled.get(i, {UNKNOWN: " ⁇ ".encode(), CONTROL: b""}.get(kind, p.replace(SPACE, " ").encode())) for i, (p, _, kind) in enumerate(pieces)]
-        self.memory: dict[str, bytes] = {}
+        #: Words with a space mark before them, and any other stretch
+        self.words = _Memory(lambda word: self._cut_up(SPACE + word))
+        self.parts = _Memory(self._whole)
         self.fresh: list[str] = []
 
     def agenda(self, text: str) -> list[int]:
@@ -171,21 +190,18 @@ class Codec:
                 wait(before[i], i)
         return [s for s in symbols if s is not None]
 
-    def _stretch(self, text: str) -> bytes:
-        """Ids of a stretch that isn't remembered."""
-        inner = self.inner
-        cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
-        if not cuts:
+    def _cut_up(self, text: str) -> bytes:
+        """Ids of a stretch; no merge crosses characters that stand beside each other in no piece."""
+        pairs, inner = list(map(add, text, text[1:])), self.inner
+        if inner.issuperset(pairs):
             return self._whole(text)
-        parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, None])]  # noqa: B905
-        ids = b"".join([self.memory.get(p) or self._whole(p) for p in parts])
-        if len(text) <= LONGEST:
-            self.memory[text] = ids
-        return ids
+        cuts = [i for i, pair in enumerate(pairs, 1) if pair not in inner]
+        first, rest = text[: cuts[0]], [self.parts[text[i:j]] for i, j in zip(cuts, [*cuts[1:], None])]  # noqa: B905
+        return b"".join([self.words[first[1:]] if first[0] == SPACE and first.count(SPACE) == 1 < len(first) else self.parts[first], *rest])
 
     def _whole(self, text: str) -> bytes:
-        ids = self.memory[text] = _packed(self.agenda(text))
-        self.fresh.append(text)
+        ids = _packed(self.agenda(text))
+        self.fresh.append((text, ids))
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -194,10 +210,8 @@ class Codec:
         if self.plain:
             if SPACE in text:
                 text = text.replace(SPACE, " ")
-            known, make = self.memory.get, self._stretch
             if self.cut and "  " not in text and text[0] != " " and text[-1] != " ":
-                words = text.split(" ")
-                return b"".join([known(w) or make(w) for w in map(SPACE.__add__, words)])
+                return b"".join(map(self.words.__getitem__, text.split(" ")))
             text = SPACE + text.replace(" ", SPACE)
         else:
             text = self.library.normalize(text)
@@ -205,19 +219,20 @@ class Codec:
                 return b""
         if self.cut is None or (not self.bytes and not self.plain):
             return _packed(self.agenda(text))
-        return b"".join([self.memory.get(w) or self._stretch(w) for w in self.cut.split(text)])
+        return b"".join([self._cut_up(w) for w in self.cut.split(text)])
 
     def verify(self) -> None:
         """Raise unless the library encodes what was added to the memory in the same way, each stretch after a space mark."""
         if self.plain and self.fresh:
-            marked = [t if t[0] == SPACE else SPACE + t for t in self.fresh]
-            for t, w, ids in zip(self.fresh, marked, self.library.encode([w[1:].replace(SPACE, " ") for w in marked], num_threads=1), strict=True):
-                own = self.memory[t] if t is w else b"".join([_packed(self.agenda(p)) for p in ([SPACE, t] if SPACE + t[0] not in self.inner else [w])])
+            marked = [t if t[0] == SPACE else SPACE + t for t, _ in self.fresh]
+            for (t, own), w, ids in zip(self.fresh, marked, self.library.encode([w[1:].replace(SPACE, " ") for w in marked], num_threads=1), strict=True):
+                if t is not w:
+                    own = _packed(self.agenda(SPACE)) + own if SPACE + t[0] not in self.inner else _packed(self.agenda(w))
                 if w != SPACE and own != np.array(ids, "<i4").tobytes():
                     raise RuntimeError(f"the library encodes {t!r} in another way")
         self.fresh.clear()
-        if len(self.memory) > REMEMBER:
-            self.memory.clear()
+        self.words.turn()
+        self.parts.turn()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "one-by-one")

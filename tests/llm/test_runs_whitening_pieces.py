@@ -208,7 +208,6 @@ def test_both_queues_agree():
     for _ in range(500):
         letters = [rng.choice("aeinrst▁.") for _ in range(rng.randint(1, 40))]
         assert own._merged_short(list(letters)) == own._merged(list(letters))
-    own.memory["▁never"] = b"\0\0\0\0"
-    own.fresh.append("▁never")
+    own.fresh.append(("▁never", b"\0\0\0\0"))
     with pytest.raises(RuntimeError):
         own.verify()
