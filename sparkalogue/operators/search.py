@@ -1,10 +1,9 @@
-"""Text search: fuzzy names, token search, phrases with snippets, a stemmed rank."""
+"""Text search without an index: fuzzy names, token search, phrases with snippets."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,40 +65,6 @@ def snippet(text: Column, phrase: str, around: int = 60) -> Column:
     return F.when(at > 0, cut)
 
 
-#: Common English words without weight in a search, and endings that a light stemmer drops (longest first).
-STOP = frozenset("a an and are as at be by for from has he in is it its of on or that the this to was were will with".split())
-_ENDINGS = ("ational", "fulness", "ousness", "iveness", "ization", "ements", "ement", "ingly", "ments", "ings", "edly", "ment", "ness", "ies", "ing", "ers", "ed", "es", "er", "ly", "s")
-
-
-def stem(word: str) -> str:
-    """A light suffix stemmer: an approximation of a full English one."""
-    for e in _ENDINGS:
-        if word.endswith(e) and len(word) - len(e) >= 3:
-            root = word[: -len(e)] + ("y" if e == "ies" else "")
-            return root[:-1] if len(root) > 3 and root[-1] == root[-2] and root[-1] not in "lsz" else root
-    return word
-
-
-def english(text: str | None) -> list[str]:
-    return [stem(w) for w in re.findall("[a-z0-9]+", (text or "").lower()) if w not in STOP]
-
-
-def english_rank(df: DataFrame, text: str, query: str) -> DataFrame:
-    """Rows that hold every stem of the query, with `rank`: hits per word, damped by length (approximate, as any FTS rank)."""
-    wanted = sorted(set(english(query)))
-
-    @F.pandas_udf("double")
-    def rank(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> float:
-            words = english(t)
-            hits = [words.count(w) for w in wanted]
-            return sum(h / (1 + h) for h in hits) / (1 + len(words)) ** 0.1 if hits and min(hits) else 0.0
-
-        return s.map(one)
-
-    return df.withColumn("rank", rank(F.col(text))).where("rank > 0")
-
-
 def highlight(text: Column, query: str, around: int = 60) -> Column:
     """A snippet around the first token of the query that occurs, each token between [[ and ]]."""
     wanted = sorted(set(re.findall("[a-z0-9]+", query.lower())))

@@ -220,12 +220,6 @@ def fts_simple_and(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(search.has_all(F.col("text"), "The and OF")).select("doc_id")
 
 
-@family.add("fts_english_rank")
-def fts_english_rank(spark, sf_dir):
-    """Stemmed search with a rank of its own (approximate, tested on a fixture)."""
-    return search.english_rank(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "erth ering").select("doc_id", "rank")
-
-
 @family.add(
     "exact_snippet",
     """

@@ -25,9 +25,13 @@ family = Family()
     """,
 )
 def jaccard_shared_tokens_topk(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    tokens = sets.distinct_tokens(docs, "doc_id", "text")
-    return sets.jaccard_topk(tokens.where("id % 100 = 0"), tokens, k=10)
+    return sets.jaccard_topk(*_word_sets(spark, sf_dir), k=10)
+
+
+def _word_sets(spark, sf_dir):
+    """The query set and all sets, (id, toks)."""
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sets.words(F.col("text")).alias("toks"))
+    return words.where("id % 100 = 0"), words
 
 
 @family.add(
@@ -255,7 +259,7 @@ def fused_similarity(spark, sf_dir):
     """Two tiers fused; every document can have the files tier, labelled ones the content tier too."""
     docs = read(spark, sf_dir, "documents")
     tokens = sets.distinct_tokens(docs, "doc_id", "text")
-    files = sets.jaccard_topk(tokens.where("id % 100 = 0"), tokens, k=2**30).select("query_id", "id", F.lit("files").alias("tier"), F.col("jaccard").alias("sim"))
+    files = sets.jaccard_above(tokens.where("id % 100 = 0"), tokens).select("query_id", "id", F.lit("files").alias("tier"), F.col("jaccard").alias("sim"))
     hashed = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("h"))
     fused = tiers.fuse(files.union(tiers.equal_key(hashed.where("id % 100 = 0"), hashed, "h", "content")))
     labelled = read(spark, sf_dir, "labels").select("doc_id").distinct()
