@@ -23,6 +23,8 @@ from .stored import new_path
 WORD = "[\\p{L}\\p{N}]+"
 #: Folders of an index.
 BUCKETS = 32
+#: Columns of the postings.
+POSTING = "word string, id long, pos int, bucket int"
 #: Weight of a place, places beyond which nearness counts for nothing, and the sum of 1 / n**2.
 PLACE_WEIGHT, FAR, BASEL = 0.1, 100, 1.64493406685
 #: Words of a snippet.
@@ -38,7 +40,7 @@ class TextIndex:
     def postings(self, spark: SparkSession, words: list[str]) -> DataFrame:
         """Rows of some words: only their folders are read, and word ranges within."""
         buckets = {r["b"] for r in spark.createDataFrame([(w,) for w in words], "word string").select(_bucket("word").alias("b")).collect()}
-        table = spark.read.schema("word string, id long, pos int, bucket int").parquet(f"{self.path}/postings")
+        table = spark.read.schema(POSTING).parquet(f"{self.path}/postings")
         return table.where(F.col("bucket").isin(sorted(buckets)) & F.col("word").isin(words)).drop("bucket")
 
     def vocabulary(self, spark: SparkSession) -> DataFrame:
@@ -67,7 +69,7 @@ def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> Text
         for batch in batches:
             yield batch.assign(stem=batch["word"].map(stem))
 
-    different = spark.read.parquet(f"{path}/postings").select("word").distinct()
+    different = spark.read.schema(POSTING).parquet(f"{path}/postings").select("word").distinct()
     different.mapInPandas(stems, "word string, stem string").repartitionByRange("stem").sortWithinPartitions("stem").write.parquet(f"{path}/vocabulary")
     return TextIndex(path)
 
