@@ -22,20 +22,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(start, id): all ids reachable over (child, parent) edges, the start included.
+def ancestors(edges: DataFrame, starts: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(start, id): all ids reachable over (child, parent) edges of an acyclic graph, the start included.
 
-    Semi-naive rounds: only ids found in the last round are joined again, so diamonds cost once.
+    Round k joins what is reached with the paths of 2**k edges, which are those of the round before
+    joined with themselves, so the number of rounds is logarithmic in the longest path. What a round
+    finds is written once; only ids at which no path of that length begins are passed over.
     """
-    seen = checkpointed(starts.select(F.col("id").alias("start"), "id").distinct())
-    frontier = seen
-    for _ in range(max_depth):
-        step = frontier.join(edges, frontier["id"] == edges["child"]).select("start", F.col("parent").alias("id")).distinct()
-        frontier = checkpointed(step.join(seen, ["start", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(frontier))
-    raise RuntimeError("graph is deeper than max_depth")
+    from .stored import stored
+
+    jumps = stored(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a is not null and b is not null").distinct(), "jumps")
+    reached = stored(starts.select(F.col("id").alias("start"), "id").where("id is not null").distinct(), "reached")
+    for _ in range(max_rounds):
+        if jumps.isEmpty():
+            return reached
+        further = reached.join(jumps, reached["id"] == jumps["a"]).select("start", F.col("b").alias("id")).distinct()
+        new = stored(further.join(reached, ["start", "id"], "left_anti"), "reached")
+        reached = reached.union(new)
+        second = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jumps = stored(jumps.join(second, "b").select("a", F.col("c").alias("b")).distinct(), "jumps")
+    raise RuntimeError("the graph has a cycle, or paths of over 2**max_rounds edges")
 
 
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -241,17 +247,61 @@ def tree_dates(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.where("date is not null and date != ''").select(key, "path", "date")
 
 
-def revert_plan(revisions: DataFrame, author: str, since: Column, page: str = "page", order: str = "rev") -> DataFrame:
+def fold_tree(files: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """(key, tree): the JSON array of nested nodes of flat rows (key, path, is_dir, date, size, md5, sha1, sha256).
+
+    The inverse of flatten_tree: directories first, then files, each by name; directories that only
+    occur within paths are made, and a file whose path is a directory too (an archive with its
+    members) gives that directory its hashes, and its date and size where it has none. Of repeated
+    rows the greatest counts. Levels are folded from the deepest up, a written table each, and nodes
+    without a value for a field leave it out. A key without any path has no row.
+    """
+    parts = F.filter(F.split(F.coalesce(F.col(path), F.lit("")), "/"), lambda p: p != "")
+    values = ["date", "size", "md5", "sha1", "sha256"]
+    rows = files.withColumn("_parts", parts).where("size(_parts) > 0").select(key, F.col("_parts").alias("parts"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"), *values)
+    latest = rows.groupBy(key, "parts", "is_dir").agg(F.max(F.struct(*values)).alias("v"))
+    file, folder = latest.where("not is_dir").select(key, "parts", F.col("v").alias("f")), latest.where("is_dir").select(key, "parts", F.col("v").alias("d"))
+    above = rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.slice("parts", F.lit(1), n))).alias("up"), "parts", "is_dir").where("is_dir or size(up) < size(parts)")
+    dirs = above.select(key, F.col("up").alias("parts")).distinct().withColumn("is_dir", F.lit(True))
+    nodes = dirs.join(folder, [key, "parts"], "left").join(file, [key, "parts"], "full").withColumn("is_dir", F.coalesce("is_dir", F.lit(False)))
+    pick = [F.coalesce(f"d.{v}", f"f.{v}").alias(v) if v in ("date", "size") else F.col(f"f.{v}").alias(v) for v in values]
+    head = F.to_json(F.struct(F.element_at("parts", -1).alias("name"), F.when(F.col("is_dir"), "dir").otherwise("file").alias("type"), *pick))
+    nodes = checkpointed(nodes.select(key, "parts", F.size("parts").alias("depth"), "is_dir", head.alias("head")))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    below = None
+    for depth in range(deepest, 0, -1):
+        level = nodes.where(F.col("depth") == depth)
+        level = level.join(below, [key, "parts"], "left") if below is not None else level.withColumn("children", F.lit(None).cast("string"))
+        whole = F.when(F.col("is_dir"), F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))).otherwise(F.col("head"))
+        node = F.struct((~F.col("is_dir")).alias("is_file"), F.element_at("parts", -1).alias("name"), whole.alias("node"))
+        under = F.slice("parts", F.lit(1), F.lit(depth - 1))
+        gathered = level.select(key, under.alias("parts"), node.alias("n")).groupBy(key, "parts").agg(F.sort_array(F.collect_list("n")).alias("n"))
+        below = checkpointed(gathered.select(key, "parts", F.array_join(F.col("n.node"), ",").alias("children")))
+    if below is None:
+        return files.select(key, F.lit(None).cast("string").alias("tree")).where("false")
+    return below.select(key, F.concat(F.lit("["), "children", F.lit("]")).alias("tree"))
+
+
+def revert_plan(revisions: DataFrame, author: str, since: Column, page: str = "page", order: str = "rev", live: DataFrame | None = None) -> DataFrame:
     """(page, bad_rev, good_rev, action): what undoing an author's edits takes, for pages whose newest revision is theirs.
 
-    good_rev is the newest revision by anyone else; without one the page is to be deleted. Both are
-    aggregates, so a page of any history costs a row a task.
+    good_rev is the newest revision by anyone else; without one the page is to be deleted. With `live`
+    (page), other pages are left out. Both are aggregates, so a page of any history costs a row a task.
     """
+    if live is not None:
+        revisions = revisions.join(live.select(page).distinct(), page, "left_semi")
     newest = revisions.groupBy(page).agg(F.max_by(F.struct(F.col(order), "author", since.alias("recent")), order).alias("last"), F.max(F.when(F.col("author") != author, F.col(order))).alias("good_rev"))
     bad = newest.where((F.col("last.author") == author) & F.col("last.recent"))
     return bad.select(page, F.col(f"last.{order}").alias("bad_rev"), "good_rev", F.when(F.col("good_rev").isNull(), "delete").otherwise("revert").alias("action"))
 
 
+def apply_reverts(revisions: DataFrame, plan: DataFrame, by: str, page: str = "page", order: str = "rev") -> DataFrame:
+    """revisions with what a plan adds: a revision after the bad one, by the given author, that repeats the good one; pages to delete add none."""
+    good = plan.where("action = 'revert'").select(page, F.col("good_rev").alias(order), "bad_rev")
+    again = revisions.join(good, [page, order]).withColumn(order, F.col("bad_rev") + 1).withColumn("author", F.lit(by))
+    return revisions.unionByName(again.select(*[F.col(c).cast(revisions.schema[c].dataType).alias(c) for c in revisions.columns]))
+
+
 def log_page(commits: DataFrame, reachable: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     """Commits that are reachable, in manifest order, one page."""
     return commits.join(reachable.select("id").distinct(), commits["oid"] == F.col("id"), "left_semi").orderBy(order).offset(offset).limit(limit)

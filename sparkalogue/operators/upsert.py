@@ -16,14 +16,29 @@ def replace_derived(stored: DataFrame, saved: DataFrame, derived: DataFrame, key
     return stored.join(saved.select(key).distinct(), key, "left_anti").unionByName(derived.join(saved.select(key).distinct(), key, "left_semi"))
 
 
+def save_pages(stored: dict[str, DataFrame], saved: DataFrame, derived: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """All derived tables (objects, categories, links, ...) after one save: each as by replace_derived, those without new rows too."""
+    return {name: replace_derived(table, saved, derived[name] if name in derived else table.where("false"), key) for name, table in stored.items()}
+
+
+def delete_pages(pages: DataFrame, tables: dict[str, DataFrame], gone: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Pages (key, deleted, ...) with those of `gone` marked as deleted, and the derived tables without their rows; unknown and deleted ones change nothing."""
+    live = pages.where("not coalesce(deleted, false)").select(key).join(gone.select(key).distinct(), key, "left_semi").withColumn("_gone", F.lit(True))
+    marked = pages.join(live, key, "left").withColumn("deleted", F.coalesce("_gone", "deleted")).select(*pages.columns)
+    return marked, {name: table.join(live, key, "left_anti") for name, table in tables.items()}
+
+
 def move_pages(pages: DataFrame, moves: DataFrame) -> DataFrame:
     """pages (slug, redirect_to, deleted, ...) after moves (slug, new_slug): the page under its new slug, a redirect under the old one.
 
-    Deleted pages and unknown slugs don't move, nor does a page onto a slug that is taken.
+    Deleted pages and unknown slugs don't move, nor does a page onto the slug of a live page, moving
+    or not. Of the moves left, a page's first by new slug counts, and of several onto one slug that
+    of the first page by slug.
     """
-    taken = pages.select(F.col("slug").alias("new_slug"))
-    valid = moves.join(taken, "new_slug", "left_anti").dropDuplicates(["new_slug"]).dropDuplicates(["slug"])
-    marked = pages.join(valid, "slug", "left").withColumn("moves", F.col("new_slug").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
+    live = pages.where("not coalesce(deleted, false)").select("slug").distinct()
+    valid = moves.where("new_slug is not null").join(live, "slug", "left_semi").join(live.withColumnRenamed("slug", "new_slug"), "new_slug", "left_anti")
+    chosen = valid.groupBy("slug").agg(F.min("new_slug").alias("new_slug")).groupBy("new_slug").agg(F.min("slug").alias("slug"))
+    marked = pages.join(chosen, "slug", "left").withColumn("moves", F.col("new_slug").isNotNull() & ~F.coalesce("deleted", F.lit(False)))
     stay = marked.select(*[F.when(F.col("moves"), F.col("new_slug")).otherwise(F.col(c)).alias(c) if c == "slug" else F.col(c) for c in pages.columns])
     held = {"slug": F.col("slug"), "redirect_to": F.col("new_slug"), "deleted": F.lit(False)}
     left = marked.where("moves").select(*[held[c].cast(pages.schema[c].dataType).alias(c) if c in held else F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in pages.columns])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import histories, indexes, listings, objects, pages, similarity
+from . import edits, histories, indexes, listings, objects, pages, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for family in (similarity, indexes, listings, objects, histories, pages):
+for family in (similarity, indexes, listings, objects, histories, pages, edits):
     QUERIES |= family.QUERIES
     ORACLE_SQL |= family.ORACLE_SQL

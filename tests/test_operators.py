@@ -71,12 +71,12 @@ def test_upserts(spark):
     assert diff.first()["d"] == {"b": ["2", "3"]}
 
 
-REG = Registry({"proto": {"build_date": Attribute("date"), "dumped_by": Attribute("string", multi=True), "size": Attribute("number"), "name": Attribute()}})
+REG = Registry({"board": {"made_on": Attribute("date"), "scanned_by": Attribute("string", multi=True), "size": Attribute("number"), "name": Attribute()}})
 
 
 def objects(spark):
-    data = [{"name": "A", "size": "10", "dumped_by": ["x", "y"], "build_date": "1999-05"}, {"name": "B", "size": "9", "build_date": None}, {"name": "C", "dumped_by": ["y"]}]
-    o = spark.createDataFrame([(i, "proto", 0, json.dumps(d)) for i, d in enumerate(data)], "page_id int, component string, ordinal int, data string")
+    data = [{"name": "A", "size": "10", "scanned_by": ["x", "y"], "made_on": "1999-05"}, {"name": "B", "size": "9", "made_on": None}, {"name": "C", "scanned_by": ["y"]}]
+    o = spark.createDataFrame([(i, "board", 0, json.dumps(d)) for i, d in enumerate(data)], "page_id int, component string, ordinal int, data string")
     p = spark.createDataFrame([(i, "main", f"s{i}", "t", None, None, None, i == 9, "public") for i in range(3)], "page_id int, ns string, slug string, title string, created timestamp, modified timestamp, deleted_at timestamp, is_redirect boolean, visibility string")
     return o, p
 
@@ -84,13 +84,13 @@ def objects(spark):
 @pytest.mark.parametrize(
     ("where", "want"),
     [
-        ({"name": "A"}, [0]), ({"name": {"ne": "A"}}, [1, 2]), ({"dumped_by": "y"}, [0, 2]), ({"dumped_by": {"ne": "x"}}, [2]), ({"dumped_by": {"in": ["x", "z"]}}, [0]),
-        ({"size": {"gt": 9}}, [0]), ({"size": {"ne": 10}}, [1, 2]), ({"build_date": {"exists": True}}, [0, 1]), ({"build_date": {"gte": "1999"}}, [0]), ({"name": {"like": "*b"}}, [1]),
+        ({"name": "A"}, [0]), ({"name": {"ne": "A"}}, [1, 2]), ({"scanned_by": "y"}, [0, 2]), ({"scanned_by": {"ne": "x"}}, [2]), ({"scanned_by": {"in": ["x", "z"]}}, [0]),
+        ({"size": {"gt": 9}}, [0]), ({"size": {"ne": 10}}, [1, 2]), ({"made_on": {"exists": True}}, [0, 1]), ({"made_on": {"gte": "1999"}}, [0]), ({"name": {"like": "*b"}}, [1]),
         ({"or": [{"name": "A"}, {"not": {"size": {"lt": 100}}}]}, [0]),
     ],
 )
 def test_object_conditions(spark, where, want):
-    got = compile_query(REG, ObjectQuery(["proto"], where=where), *objects(spark))
+    got = compile_query(REG, ObjectQuery(["board"], where=where), *objects(spark))
     assert sorted(r["page_id"] for r in got.collect()) == want
 
 
@@ -101,16 +101,16 @@ def test_object_errors_and_shapes(spark):
         deep = {"not": deep}
     for bad in ({"nope": 1}, {}, {"and": []}, {"size": {"like": "1*"}}, {"name": {"huh": 1}}, deep):
         with pytest.raises(QueryError):
-            compile_query(REG, ObjectQuery(["proto"], where=bad), o, p)
+            compile_query(REG, ObjectQuery(["board"], where=bad), o, p)
     with pytest.raises(QueryError):
         compile_query(REG, ObjectQuery(["none"]), o, p)
     with pytest.raises(QueryError):
-        from_tag({"from": "proto", "format": "latest"})
-    got = compile_query(REG, ObjectQuery(["proto"], select=["name", "size"], sort=[("size", "desc")], limit=2), o, p).orderBy(F.lit(1)).collect()
+        from_tag({"from": "board", "format": "latest"})
+    got = compile_query(REG, ObjectQuery(["board"], select=["name", "size"], sort=[("size", "desc")], limit=2), o, p).orderBy(F.lit(1)).collect()
     assert [json.loads(r["data"]) for r in got] == [{"name": "A", "size": "10"}, {"name": "B", "size": "9"}] and got[0]["truncated"]
-    grouped = compile_query(REG, ObjectQuery(["proto"], aggs=[{"fn": "count", "as": "n"}], group_by="size"), o, p)
+    grouped = compile_query(REG, ObjectQuery(["board"], aggs=[{"fn": "count", "as": "n"}], group_by="size"), o, p)
     assert rows(grouped) == [("10", 1), ("9", 1), (None, 1)]
-    assert snake_case("buildDate") == "build_date" and parse_sort("a,-b") == [("a", "asc"), ("b", "desc")]
+    assert snake_case("madeOn") == "made_on" and parse_sort("a,-b") == [("a", "asc"), ("b", "desc")]
 
 
 def test_search(spark):

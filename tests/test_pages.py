@@ -65,14 +65,14 @@ def test_asset_rows(spark):
 def test_content_trees(spark):
     file = lambda name, **more: {"name": name, "type": "file", "size": 5, **more}
     tree = [
-        {"name": "DATA", "type": "dir", "children": [
-            {"name": "PROTO.ZIP", "type": "dir", "sha1": "aa", "size": 9, "date": "1999-01-02", "children": [file("main.c", date="1998-05-05")]},
-            file("GAME.BIN", md5="bb"), {"name": "EMPTY", "type": "dir", "children": []}]},
+        {"name": "MAPS", "type": "dir", "children": [
+            {"name": "SET.LZH", "type": "dir", "sha1": "aa", "size": 9, "date": "1999-01-02", "children": [file("one.s", date="1998-05-05")]},
+            file("DISC.IMG", md5="bb"), {"name": "EMPTY", "type": "dir", "children": []}]},
     ]
     made = spark.createDataFrame([(1, json.dumps(tree)), (2, None), (3, "[]"), (4, "broken")], "id int, contents string")
     nodes = history.flatten_tree(made, "id", "contents")
-    assert sorted(r["path"] for r in history.tree_files(nodes).collect()) == ["/DATA/GAME.BIN", "/DATA/PROTO.ZIP", "/DATA/PROTO.ZIP/main.c"]
-    assert sorted((r["path"], r["date"]) for r in history.tree_dates(nodes, "id").collect()) == [("/DATA/PROTO.ZIP", "1999-01-02"), ("/DATA/PROTO.ZIP/main.c", "1998-05-05")]
+    assert sorted(r["path"] for r in history.tree_files(nodes).collect()) == ["/MAPS/DISC.IMG", "/MAPS/SET.LZH", "/MAPS/SET.LZH/one.s"]
+    assert sorted((r["path"], r["date"]) for r in history.tree_dates(nodes, "id").collect()) == [("/MAPS/SET.LZH", "1999-01-02"), ("/MAPS/SET.LZH/one.s", "1998-05-05")]
     assert history.flatten_tree(made.where("id > 1"), "id", "contents").collect() == []
 
 
@@ -86,7 +86,7 @@ def test_revert_plan(spark):
 def test_moves_and_saves(spark):
     pages = spark.createDataFrame([("a", None, False, 1), ("b", None, True, 2), ("c", None, False, 3)], "slug string, redirect_to string, deleted boolean, id int")
     moves = spark.createDataFrame([("a", "z"), ("b", "y"), ("c", "b"), ("none", "x")], "slug string, new_slug string")
-    assert {tuple(r) for r in upsert.move_pages(pages, moves).collect()} == {("z", None, False, 1), ("a", "z", False, None), ("b", None, True, 2), ("c", None, False, 3)}
+    assert {tuple(r) for r in upsert.move_pages(pages, moves).collect()} == {("z", None, False, 1), ("a", "z", False, None), ("b", None, True, 2), ("b", None, False, 3), ("c", "b", False, None)}
     stored = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x")], "page int, link string")
     saved = spark.createDataFrame([(1,), (3,)], "page int")
     new = spark.createDataFrame([(3, "q"), (4, "not saved")], "page int, link string")
