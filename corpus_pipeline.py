@@ -2,11 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 
-Null and empty texts pass every stage and are packed as an end token each. A null doc_id is
-kept but by the near-duplicate stage, which knows documents by their id. Equal rows: all lines
-of the second go in the line stage, and the near-duplicate stage keeps one of what is then left
-of each text. Different texts of one doc_id are documents of their own, but a leak in one drops
-both. Extra columns of docs are left out by the first stage, whatever their names. An empty table
+Null and empty texts pass every stage and are packed as an end token each. The near-duplicate
+and leak stages know documents by a row number, so rows with a null doc_id and several texts of
+one doc_id are documents of their own there. Equal rows: all lines of the second go in the line
+stage, and the near-duplicate stage keeps one of what is then left of each text with a word.
+Extra columns of docs are left out by the first stage, whatever their names. An empty table
 stays empty. Texts of any length are taken whole.
 """
 
@@ -32,17 +32,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleaned.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that every later reading has the same numbers."""
+    return write_table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest doc_id."""
-    classes = ngram_join.join(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One document of each class of near duplicates stays; documents without a word are like no other."""
+    rows = _numbered(docs)
+    classes = ngram_join.join(rows.select(F.col("row").alias("doc_id"), "text"))
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(docs)
+    leaks = decontaminate.matches(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
