@@ -7,7 +7,9 @@ whose tag, class, id or role names page furniture (menus, headers, footers, side
 notices, adverts, forms, comments ...) are kinds too; where labelled pages hold such blocks
 outside the main text only, their words count as tags do, and they aren't part of the text.
 A name counts as a whole or as a part of a compound, unless another part denies it ("no-ads",
-"with-sidebar"); a block that holds an article or main element is no furniture.
+"with-sidebar"); some names count only for blocks of which a third are links. A block that holds
+an article or main element, or most of the page's words outside links, is no furniture, but for
+comments.
 One linear scan finds the contiguous region with the largest sum; its words are the text.
 
 Markup, scripts, styles and the page's head are never text. Character references are
@@ -38,7 +40,9 @@ from .labelled_pages import PAGES
 _MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*))")
 _STOP = re.compile("[>\"']")
 #: Elements whose content is never text.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "head", "object", "canvas", "math"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "object", "canvas", "math"}
+#: Elements beside RAW ones that a page's head may hold; any other ends a head that isn't closed.
+IN_HEAD = {"meta", "link", "base", "basefont", "bgsound"}
 #: Those that a slash may end at once.
 FOREIGN = {"svg", "math"}
 _HINTED = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -69,6 +73,10 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 _SPACE = re.compile(r"\s+")
 #: Least weight of a tag, against a plain word's of 1.
 LEAST = 0.05
+#: Names that blocks of text bear too; such a block is furniture only if a third of its words are links.
+AMBIGUOUS = {"widget", "tabs", "popular", "similar", "trending", "rail", "banner", "search", "legal", "reply"}
+#: A block of so many words outside links, and more than this share of the page's, is no furniture, but for comments.
+LEAST_WORDS, MOST_WORDS = 50, 0.5
 #: Kind of the furniture inside an article or main element: left out of the text, without a weight.
 PASSED = "passed over"
 
@@ -82,8 +90,11 @@ class Token:
     inside: bool = field(default=False, compare=False)  # between the marks of a labelled page
 
 
-def furniture_of(name: str, attrs: str) -> str | None:
-    """Kind of page furniture that an element is by its name, or by a name in its class, id or role."""
+def furniture_of(name: str, attrs: str, linked: bool = True) -> str | None:
+    """Kind of page furniture that an element is by its name, or by a name in its class, id or role.
+
+    linked: whether a good part of its words are links, without which ambiguous names count for nothing.
+    """
     if name in WHOLE:
         return None
     if name in BY_NAME:
@@ -91,7 +102,7 @@ def furniture_of(name: str, attrs: str) -> str | None:
     for m in _HINTED.finditer(attrs):
         for token in m[1].lower().strip("\"'").split():
             parts = set(_PART.findall(token))
-            kind = None if parts & NEGATED else next((k for k, names in FURNITURE.items() if parts & names), None)
+            kind = None if parts & NEGATED else next((k for k, names in FURNITURE.items() if parts & (names if linked else names - AMBIGUOUS)), None)
             if kind and not (kind == "header" and parts & CONTENT):
                 return kind
     return None
@@ -111,18 +122,18 @@ class Mark:
 
 def marks_of(page: str) -> Iterator[Mark]:
     """The page from left to right; every character is looked at a bounded number of times."""
-    at, tags_end, quoted = 0, True, True
+    at, tags_end, quoted, head = 0, True, True, False
     while at < len(page):
         start = page.find("<", at)
-        if start != at:
+        if start != at and not head:
             yield Mark("text", page[at:] if start < 0 else page[at:start])
-            if start < 0:
-                return
+        if start < 0:
+            return
         m = _MARK.match(page, start)
         if m is None:
             end = -1
         elif m["comment"]:
-            end = page.find("-->", m.end())
+            end = page.find("-->", start + 2)  # <!--> is a whole one
             yield Mark("comment", page[m.end() :] if end < 0 else page[m.end() : end])
             at = len(page) if end < 0 else end + 3
             continue
@@ -137,7 +148,8 @@ def marks_of(page: str) -> Iterator[Mark]:
                 quoted, end = False, page.find(">", m.end())
                 tags_end = end >= 0
         if end < 0:
-            yield Mark("text", "<")
+            if not head:
+                yield Mark("text", "<")
             at = start + 1
             continue
         name, attrs, closing = m["name"].lower(), page[m.end() : end], bool(m["close"])
@@ -147,7 +159,10 @@ def marks_of(page: str) -> Iterator[Mark]:
             if not (slash and name in FOREIGN):
                 over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = over.end() if over else len(page)
-        elif name not in RAW:
+        elif name == "head":
+            head = not closing
+        elif name not in RAW and not (head and name in IN_HEAD):
+            head = False
             yield Mark("tag", "", name, attrs, closing, name in VOID or slash)
 
 
@@ -189,6 +204,14 @@ def tokens_of(page: str) -> list[Token]:
         upcoming[i] = following
         if marks[i].name in ("article", "main") and not marks[i].closing:
             following = i
+    # words outside and inside links before each mark
+    plain, linked, link = [0], [0], 0
+    for m in marks:
+        words = len(m.text.split()) if m.kind == "text" else 0
+        plain.append(plain[-1] + (0 if link else words))
+        linked.append(linked[-1] + (words if link else 0))
+        if m.name == "a":
+            link = 0 if m.closing else 1
     kind, depth, name_open, links, inside = None, 0, "", 0, False
     article = whole = 0  # an article's own header holds its title; furniture inside a whole breaks no region
     for i, m in enumerate(marks):
@@ -201,9 +224,10 @@ def tokens_of(page: str) -> list[Token]:
             name, closing = m.name, m.closing
             found = None
             if kind is None and not closing and not m.single:
-                found = None if name == "header" and article else furniture_of(name, m.attrs)
-                if found and upcoming[i] < ends[i]:
-                    found = None  # it holds the article
+                own, own_linked = plain[ends[i]] - plain[i], linked[ends[i]] - linked[i]
+                found = None if name == "header" and (article or whole) else furniture_of(name, m.attrs, 3 * own_linked >= own + own_linked)
+                if found and (upcoming[i] < ends[i] or (found != "comment" and own >= max(LEAST_WORDS, MOST_WORDS * plain[-1]))):
+                    found = None  # it holds the article, or most of what the page says
             if found:
                 kind, depth, name_open = found, 0, name
             if kind and name == name_open and not m.single:

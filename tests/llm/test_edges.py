@@ -243,3 +243,35 @@ def test_held_out_texts_score_above_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = context_tree.score(docs).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert got["base"] < got["score"] < 0
+
+
+ARTICLE = "".join(f"<p>Sentence number {k} of the article tells of rivers, hills and the old road to the mill.</p>" for k in range(12))
+ARTICLE_TEXT = "\n".join(f"Sentence number {k} of the article tells of rivers, hills and the old road to the mill." for k in range(12))
+
+
+@pytest.mark.parametrize(
+    ("page", "before"),
+    [
+        (f"<html><head><title>t</title><script>x('<div>')</script><meta a><body><div>{ARTICLE}</div>", ""),
+        (f"<head>no text<div>{ARTICLE}</div>", ""),
+        (f"<p>First.<!--></p>{ARTICLE}", "First.\n"),
+        (f"<p>First.<!---></p>{ARTICLE}", "First.\n"),
+        (f'<div class="elementor-widget elementor-widget-text-editor">{ARTICLE}</div>', ""),
+        (f'<article><div class="elementor-widget text">{ARTICLE[:400]}</div><div class="elementor-widget text">{ARTICLE[400:]}</div></article>', ""),
+        (f'<form id="aspnetForm"><div>{ARTICLE}</div><input></form>', ""),
+        (f'<div class="tabs-content">{ARTICLE}</div>', ""),
+        (f'<div class="popular-science">{ARTICLE}</div>', ""),
+        (f'<div class="layout-left-menu"><div class="menu"><a href="/">Home</a> <a href="/n">News</a></div>{ARTICLE}</div>', ""),
+        (f"<main><header><h1>A title</h1></header>{ARTICLE}</main>", "A title\n"),
+    ],
+)
+def test_articles_under_names_of_furniture(page, before):
+    weights = html_text.learn(html_text.PAGES)
+    got = html_text.main_text(page, weights)
+    assert got.replace(" ", "").replace("\n", "") == (before + ARTICLE_TEXT).replace(" ", "").replace("\n", "")
+
+
+def test_comments_stay_out_however_long():
+    weights = html_text.learn(html_text.PAGES)
+    page = f"<article><h1>Short news</h1><p>The bridge over the river is open again after three months of work.</p></article><section class='comments'>{ARTICLE}</section>"
+    assert html_text.main_text(page, weights) == "Short news\nThe bridge over the river is open again after three months of work."
