@@ -24,3 +24,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_sorted(df: DataFrame, order: list[str], path: str) -> None:
+    """Write a table whose files are sorted, so that numbers take few bytes and readers can skip; its shuffle files go when it is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark = df.sparkSession
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)

@@ -1,7 +1,8 @@
 """Full-text search over a stored positional inverted index.
 
-build() writes a row for each word and place, in folders by a hash of the word and sorted by word
-within, and the vocabulary with the stem of each different word; no text is read again by a search
+build() writes a row for each word and place; every task sorts its own documents' rows by word, so
+nothing is shuffled, and a search reads of each file only the pages of its words. Beside it stands
+the vocabulary with the stem of each different word; no text is read again by a search
 but for snippets. A query is a list of terms; under the plain configuration a term stands for
 itself, under the English one for all words of its stem, and stop words are left out.
 """
@@ -17,14 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import STOP, stem
-from .stored import new_path
+from .stored import new_path, write_sorted
 
 #: A word of a text and of a query.
 WORD = "[\\p{L}\\p{N}]+"
-#: Folders of an index.
-BUCKETS = 32
 #: Columns of the postings.
-POSTING = "word string, id long, pos int, bucket int"
+POSTING = "word string, id long, pos int"
 #: Weight of a place, places beyond which nearness counts for nothing, and the sum of 1 / n**2.
 PLACE_WEIGHT, FAR, BASEL = 0.1, 100, 1.64493406685
 #: Words of a snippet.
@@ -33,44 +32,40 @@ SNIPPET_WORDS = 25
 
 @dataclass
 class TextIndex:
-    """postings: (word, id, pos) in `bucket=N` folders; vocabulary: (word, stem)."""
+    """postings: (word, id, pos), each file sorted by word; vocabulary: (word, stem), by stem."""
 
     path: str
 
     def postings(self, spark: SparkSession, words: list[str]) -> DataFrame:
-        """Rows of some words: only their folders are read, and word ranges within."""
-        buckets = {r["b"] for r in spark.createDataFrame([(w,) for w in words], "word string").select(_bucket("word").alias("b")).collect()}
-        table = spark.read.schema(POSTING).parquet(f"{self.path}/postings")
-        return table.where(F.col("bucket").isin(sorted(buckets)) & F.col("word").isin(words)).drop("bucket")
+        """Rows of some words; the scan is told which, and passes over all other pages."""
+        return spark.read.schema(POSTING).parquet(f"{self.path}/postings").where(F.col("word").isin(words))
 
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("word string, stem string").parquet(f"{self.path}/vocabulary")
 
 
-def _bucket(word: str) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
 def words(text: Column) -> Column:
     """Runs of letters and digits as they stand in the text; null for null."""
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
 
 
-def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> TextIndex:
-    """Index of the words of a text column, lower-cased; places count from 0. Null and empty texts have no rows."""
+def build(docs: DataFrame, key: str, text: str, path: str | None = None, stems: bool = True) -> TextIndex:
+    """Index of the words of a text column, lower-cased; places count from 0. Null and empty texts have no rows.
+
+    Without `stems` the vocabulary is left out, and searches by stem with it.
+    """
     spark = docs.sparkSession
     path = path or new_path(spark, "text-index")
     each = docs.select(F.col(key).cast("long").alias("id"), F.posexplode(words(F.lower(text))).alias("pos", "word"))
-    # frequent words are spread over several files of their folder
-    dealt = each.select("word", "id", "pos", _bucket("word").alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
-    dealt.sortWithinPartitions("bucket", "word", "id", "pos").write.partitionBy("bucket").parquet(f"{path}/postings")
+    write_sorted(each.select("word", "id", "pos"), ["word", "id", "pos"], f"{path}/postings")
+    if stems:
 
-    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(stem=batch["word"].map(stem))
+        def stemmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(stem=batch["word"].map(stem))
 
-    different = spark.read.schema(POSTING).parquet(f"{path}/postings").select("word").distinct()
-    different.mapInPandas(stems, "word string, stem string").repartitionByRange("stem").sortWithinPartitions("stem").write.parquet(f"{path}/vocabulary")
+        different = spark.read.schema(POSTING).parquet(f"{path}/postings").select("word").distinct()
+        write_sorted(different.mapInPandas(stemmed, "word string, stem string").repartitionByRange("stem"), ["stem"], f"{path}/vocabulary")
     return TextIndex(path)
 
 

@@ -39,9 +39,9 @@ def jaccard_joined_rows(spark, sf_dir):
     return sets.jaccard_topk(*_word_sets(spark, sf_dir), k=10, report=True)
 
 
-def _index(spark, sf_dir):
+def _index(spark, sf_dir, stems=False):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs, text_index.build(docs, "doc_id", "text")
+    return docs, text_index.build(docs, "doc_id", "text", stems=stems)
 
 
 def _sql_hits(*words: str) -> str:
@@ -104,14 +104,14 @@ def fts_snippets(spark, sf_dir):
 @family.add("fts_search", f"WITH {_sql_hits('the', 'of')}, {_SQL_PAIRS}, {_sql_covers(2)}, {_SQL_SNIPPETS} SELECT id AS doc_id, round(rank, 6) AS rank, snippet FROM k JOIN s USING (id)")
 def fts_search(spark, sf_dir):
     """Rank and snippet in one answer; both words are stop words under the English configuration, so the plain side decides."""
-    docs, index = _index(spark, sf_dir)
+    docs, index = _index(spark, sf_dir, stems=True)
     return text_index.search(docs, "doc_id", "text", "the of", index).withColumnRenamed("id", "doc_id")
 
 
 @family.add("fts_english_rank")
 def fts_english_rank(spark, sf_dir):
     """Documents with words of both stems, by how near these stand; stop words of the query are left out."""
-    _, index = _index(spark, sf_dir)
+    _, index = _index(spark, sf_dir, stems=True)
     ranked = text_index.rank_pairs(text_index.hits(spark, index, "the erth and the ering", english=True), 2)
     return ranked.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
