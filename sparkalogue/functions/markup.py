@@ -59,6 +59,38 @@ def template_calls_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"name": n, "args": a} for n, a in template_calls(t)])
 
 
+#: Prefixes of titles and their namespaces.
+NAMESPACES = {
+    "talk": "talk", "user": "user", "user talk": "user_talk", "file": "file", "image": "file", "media": "file", "file talk": "talk", "category": "category", "category talk": "talk",
+    "help": "help", "help talk": "talk", "project": "project", "project talk": "talk", "archive": "archive",
+}
+#: White space of a title, beside what a regex calls so.
+_BLANKS = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def title_parts(title: Column) -> Column:
+    """struct(ns, slug, title, fragment, error) of a written title; error is empty, illegal-char, relative or too-long, and then the rest is null.
+
+    What follows the first # is the fragment; a known prefix before a colon is the namespace, main
+    without one, and leading colons are dropped; blanks and underscores are one, and a first letter with an
+    upper-case form of one letter gets it.
+    """
+    trimmed = lambda c: F.regexp_replace(c, f"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
+    whole = F.coalesce(title, F.lit(""))
+    fragment = trimmed(F.regexp_extract(whole, "(?s)^[^#]*#(.*)$", 1))
+    text = F.trim(F.regexp_replace(F.regexp_extract(whole, "^([^#]*)", 1), f"[_{_BLANKS}]+", " "))
+    text = F.regexp_replace(text, "^:+ *", "")
+    names = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
+    known = F.get(F.transform(F.array(text), lambda t: F.element_at(names, F.lower(F.trim(F.regexp_extract(t, "^([^:]+):", 1))))), 0)
+    rest = F.when(known.isNotNull(), F.trim(F.regexp_replace(text, "^[^:]+:", ""))).otherwise(text)
+    relative = rest.isin(".", "..") | rest.rlike("^\\.\\.?/|/\\.\\.?/|/\\.\\.?$")
+    first = F.upper(F.substring(rest, 1, 1))
+    shown = F.when(F.length(first) == 1, F.concat(first, F.expr("''"), F.substr(rest, F.lit(2), F.length(rest)))).otherwise(rest)
+    error = F.when(rest == "", "empty").when(rest.rlike("[#<>\\[\\]{}|\\x00-\\x1f\\x7f]"), "illegal-char").when(relative, "relative").when(F.octet_length(shown) > 255, "too-long")
+    fine = lambda c: F.when(error.isNull(), c)
+    return F.struct(fine(F.coalesce(known, F.lit("main"))).alias("ns"), fine(F.replace(shown, F.lit(" "), F.lit("_"))).alias("slug"), fine(shown).alias("title"), fine(F.when(fragment != "", fragment)).alias("fragment"), error.alias("error"))
+
+
 def normalize_title(title: Column) -> Column:
     """Wiki title: blanks for underscores, runs of blanks as one, first letter upper-case; null when empty or illegal."""
     t = F.trim(F.regexp_replace(F.regexp_replace(title, "_", " "), "\\s+", " "))

@@ -87,6 +87,16 @@ def human_size(n: Column, units: tuple[str, ...] = ("B", "KiB", "MiB", "GiB", "T
     return out
 
 
+def listing_size(n: Column) -> Column:
+    """Size as listings show it: units without an i, a dash for null."""
+    return F.coalesce(human_size(n, ("B", "KB", "MB", "GB", "TB")), F.lit("—"))
+
+
+def field_size(n: Column) -> Column:
+    """Size as page fields show it: two decimals from GiB on, which is the largest unit; null for null."""
+    return F.when(n < 1024**3, human_size(n)).when(n.isNotNull(), F.concat(F.format_string("%.2f", n / float(1024**3)), F.lit(" GiB")))
+
+
 def strip_controls(s: Column) -> Column:
     return F.regexp_replace(s, "[\\x00-\\x1f\\x7f]", "")
 

@@ -111,6 +111,31 @@ def composite_digest(files: DataFrame, key: str, digest: str, skip: Column | Non
     return parts.select(key, F.when(F.size("d") > 0, F.sha2(F.unhex(F.array_join("d", "")), 256)).alias("content_hash"))
 
 
+def extension_histogram(files: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, ext, n): files of each extension, in lower case; files without one don't count."""
+    from ..functions.scalars import extension
+
+    return files.select(key, extension(F.col(path)).alias("ext")).where("ext is not null").groupBy(key, "ext").agg(F.count("*").alias("n"))
+
+
+def query_features(records: DataFrame, key: str, record: str) -> DataFrame:
+    """What a similarity search needs of a JSON record: hashes, digests, tracks, and the 63-bit ids of its files' sha1, from any depth of its contents.
+
+    Missing parts are null or empty; ids are distinct and ascending.
+    """
+    from ..functions.scalars import hex_to_id63
+    from .history import flatten_tree, tree_files
+
+    form = "struct<image: struct<sha256: string, name: string>, composites: struct<content_hash: string>, exe_fp: struct<imphash: string, tlsh: string>, media: array<struct<kind: string, path: string, audio_fp: array<bigint>>>>"
+    parsed = records.select(key, F.from_json(record, form).alias("r"))
+    track = lambda m: F.struct(m["path"].alias("track"), m["audio_fp"].alias("subfp"))
+    sound = F.transform(F.filter(F.coalesce("r.media", F.array()), lambda m: (m["kind"] == "audio") & (F.size(m["audio_fp"]) > 0)), track)
+    heads = parsed.select(key, "r.image.sha256", "r.image.name", "r.composites.content_hash", "r.exe_fp.imphash", "r.exe_fp.tlsh", sound.alias("tracks"))
+    files = tree_files(flatten_tree(records.select(key, F.get_json_object(record, "$.contents").alias("contents")), key, "contents"))
+    ids = files.select(key, hex_to_id63(F.col("sha1")).alias("i")).where("i is not null").groupBy(key).agg(F.sort_array(F.collect_set("i")).alias("fileset"))
+    return heads.join(ids, key, "left").withColumn("fileset", F.coalesce("fileset", F.array().cast("array<bigint>")))
+
+
 def is_junk(path: Column) -> Column:
     return F.lower(path).rlike("\\.(nfo|diz)$")
 

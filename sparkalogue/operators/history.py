@@ -75,6 +75,13 @@ def deltas(revisions: DataFrame, key: str, order: str, size: Column) -> DataFram
     return sized.withColumn("delta", F.col("size") - before)
 
 
+def parent_deltas(revisions: DataFrame, rev: str, parent: str, size: Column) -> DataFrame:
+    """Revisions with their size and the change against their parent's, wherever that stands; all of it without a known parent."""
+    sized = revisions.withColumn("size", size)
+    before = sized.select(F.col(rev).alias(parent), F.col("size").alias("_before"))
+    return sized.join(before, parent, "left").withColumn("delta", F.col("size") - F.coalesce("_before", F.lit(0))).drop("_before")
+
+
 def local_day(epoch_seconds: Column, tz_minutes: Column) -> Column:
     """Day in the author's zone; minutes west of UTC as JavaScript counts them."""
     return F.to_date(F.timestamp_seconds(epoch_seconds - tz_minutes * 60))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,34 @@ def guarded_update(stored: DataFrame, changes: DataFrame, keys: list[str], colum
     return joined.withColumn("updated", F.coalesce(differs, F.lit(False))).withColumn(column, F.when(F.col("updated"), F.col("_v")).otherwise(F.col(column))).drop("_v", "_hit")
 
 
+#: Number series for new ids; each counts on its own, so no window holds all new rows.
+ID_SERIES = 256
+
+
+def get_or_create(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """stored (id, name, system, slug) with a row for each wanted (name, system), and a slug for every row.
+
+    New ids lie above all stored ones, not gapless. A row without a slug takes that of its name and
+    system, or with its id behind it where another row has that slug or, of several rows that need
+    it, a smaller id.
+    """
+    from ..functions.scalars import game_slug
+
+    new = wanted.select("name", F.coalesce("system", F.lit("")).alias("system")).where("name is not null").distinct().join(stored.select("name", "system"), ["name", "system"], "left_anti")
+    series = F.conv(F.substring(F.md5(F.concat_ws("\n", "name", "system")), 1, 2), 16, 10).cast("long")
+    place = F.row_number().over(Window.partitionBy("series").orderBy("name", "system"))
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top"))
+    # the one row of the largest id goes to every new row
+    made = new.withColumn("series", series).withColumn("n", place).crossJoin(F.broadcast(top)).select((F.col("top") + 1 + F.col("series") + ID_SERIES * (F.col("n") - 1)).alias("id"), "name", "system", F.lit(None).cast("string").alias("slug"))
+    every = stored.select(F.col("id").cast("long").alias("id"), "name", "system", "slug").unionByName(made)
+    open_rows = every.where("slug is null").withColumn("base", game_slug(F.col("name"), F.col("system")))
+    held = every.where("slug is not null").select(F.col("slug").alias("base")).distinct().withColumn("held", F.lit(True))
+    first = open_rows.groupBy("base").agg(F.min("id").alias("first"))
+    filled = open_rows.join(first, "base").join(held, "base", "left")
+    slug = F.when(F.col("held").isNull() & (F.col("id") == F.col("first")), F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("id").cast("string")))
+    return every.where("slug is not null").unionByName(filled.select("id", "name", "system", slug.alias("slug")))
+
+
 def replace_status(stored: DataFrame, incoming: DataFrame, keys: list[str], status: str = "status", only: str = "auto") -> DataFrame:
     """Incoming rows replace stored rows of the same parent keys only where those have the given status; others stay."""
     touched = incoming.select(*keys).distinct()

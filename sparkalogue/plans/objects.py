@@ -254,3 +254,15 @@ def normalize_attribute(a: Attribute, raw: Column, default: Any = None) -> Colum
     if a.type == "boolean":
         return F.when(F.lower(text).isin("true", "yes", "1"), "true").when(F.lower(text).isin("false", "no", "0"), "false")
     return F.when(text != "", text)
+
+
+def attribute_errors(fields: dict[str, Attribute], raw: Column, required: frozenset[str] = frozenset()) -> Column:
+    """What is wrong with a map of written attributes, as a sorted array: unknown names, required ones without a value, values that don't fit their type."""
+    names = sorted(fields)
+    written = F.map_keys(F.coalesce(raw, F.create_map().cast("map<string,string>")))
+    unknown = F.transform(F.array_except(written, F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")), lambda n: F.concat(F.lit("unknown: "), n))
+    value = lambda n: F.element_at(raw, F.lit(n))
+    empty = lambda n: F.coalesce(F.trim(value(n)), F.lit("")) == ""
+    checks = [F.when(empty(n), F.lit(f"missing: {n}")) for n in names if n in required]
+    checks += [F.when(~empty(n) & normalize_attribute(fields[n], value(n)).isNull(), F.lit(f"bad value: {n}")) for n in names if not fields[n].multi]
+    return F.array_sort(F.concat(unknown, F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")))

@@ -1,4 +1,4 @@
-"""Incremental work: an ordered outbox, idempotent ingest, cursors, limits by window, sessions.
+"""Incremental work: an ordered outbox, cursors, limits by window, sessions.
 
 The same functions take batch and streaming DataFrames where the text says so. Windows
 with watermarks and sessions go beyond what the catalogue itself needs.
@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import catalog, upsert
+from ..operators import catalog
 
 
 def window_counts(events: DataFrame, time: str, key: str, width: str, late: str | None = None) -> DataFrame:
@@ -37,24 +37,6 @@ def drain_outbox(stream: DataFrame, order: str, apply: Callable[[DataFrame, int]
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: apply(df.orderBy(order), n)).start()
 
 
-def ingest(spark: SparkSession, stream: DataFrame, store: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Upsert batches into a Parquet store of numbered versions; a batch seen before changes nothing.
-
-    The version of a batch is written under its number and the newest number is current, so
-    a batch that is run again after a failure writes the same version again.
-    """
-
-    def merge(batch: DataFrame, n: int) -> None:
-        latest = catalog.first_per(batch, keys, F.desc("ts"), F.xxhash64("*"))
-        if n == 0:
-            latest.write.mode("overwrite").parquet(f"{store}/v=0")
-            return
-        old = spark.read.parquet(f"{store}/v={n - 1}")
-        upsert.replace_by_key(old, upsert.changed_only(old, latest, keys), keys).write.mode("overwrite").parquet(f"{store}/v={n}")
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
-
-
 def latest_per_title(changes: DataFrame) -> DataFrame:
     """Newest change of each title in the main namespace; changes (ns, title, rev_id, ts)."""
     return catalog.first_per(changes.where("ns = 0"), ["title"], F.desc("ts"), F.desc("rev_id"))

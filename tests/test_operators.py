@@ -9,6 +9,7 @@ from sparkalogue.operators import catalog, history, search, tiers, upsert
 from sparkalogue.plans.objects import Attribute, ObjectQuery, QueryError, Registry, compile_query, from_tag, parse_sort, snake_case
 from sparkalogue.sources import records
 from sparkalogue.streaming import jobs
+from sparkalogue.streaming.store import Store, ingest
 
 
 def rows(df, *order):
@@ -144,17 +145,40 @@ def test_records(spark, tmp_path):
     assert rows(units.select("folder", "as_one"), "folder") == [("d", True), ("e", True), ("f", False)]
 
 
-def test_stream_ingest_is_idempotent(spark, tmp_path):
-    src = tmp_path / "in"
-    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k int, v string, ts int").coalesce(1).write.parquet(str(src))
-    schema = "k int, v string, ts int"
-    run = lambda: jobs.ingest(spark, spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "store"), ["k"], str(tmp_path / "cp")).awaitTermination()
+def files_below(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("part-*")}
+
+
+def test_store_takes_each_batch_once(spark, tmp_path):
+    kept = Store(spark, str(tmp_path / "store"), T._parse_datatype_string("k int, v string, ts int"), ["k"])
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, v string, ts int")
+    now = lambda: sorted((r["k"], r["v"], r["private"]) for r in kept.read().collect())
+    newest = [F.desc("ts")]
+    assert now() == [] and kept.apply(frame((1, "a", 1), (1, "b", 2), (2, "c", 1)), 0, newest) == 2
+    assert kept.apply(frame((2, "c", 1), (3, "d", 1)), 1, newest, private=True) == 1
+    before = files_below(tmp_path)
+    assert kept.apply(frame((2, "c", 1), (3, "d", 1)), 1, newest, private=True) == 0 and files_below(tmp_path) == before
+    assert kept.apply(frame((3, "d2", 2), (2, "c", 1)), 2, newest) == 1 and kept.apply(frame((2, "c", 1)), 3, newest, force=True, private=True) == 1
+    want = [(1, "b", False), (2, "c", False), (3, "d2", True)]
+    assert now() == want
+    # only buckets changed often enough are written anew, and reading is as before
+    due = kept.merge(least=2)
+    assert len(due) == 2 and now() == want and kept.merge(least=2) == []
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in files_below(tmp_path / "store" / "base")} == set(due)
+    assert kept.apply(frame((1, None, 5), (4, "e", 1)), 4, newest) == 2 and now() == [(1, None, False), *want[1:], (4, "e", False)]
+    assert sorted(r["k"] for r in kept.read(before=1).collect() if r["k"] not in (2, 3)) == [1]
+    assert kept.apply(frame(), 5) == 0 and kept.merge(least=1) and len(now()) == 4
+
+
+def test_stream_into_a_store(spark, tmp_path):
+    src, schema = tmp_path / "in", "k int, v string, ts int"
+    kept = Store(spark, str(tmp_path / "store"), T._parse_datatype_string(schema), ["k"])
+    run = lambda: ingest(kept, spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "cp"), [F.desc("ts")], merge_after=1).awaitTermination()
+    for batch in ([(1, "a", 1), (1, "b", 2), (2, "c", 1)], [(2, "d", 5), (3, "e", 5)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(src))
+        run()
     run()
-    assert rows(spark.read.parquet(str(tmp_path / "store/v=0")).select("k", "v"), "k") == [(1, "b"), (2, "c")]
-    spark.createDataFrame([(2, "d", 5), (3, "e", 5)], schema).coalesce(1).write.mode("append").parquet(str(src))
-    run()
-    run()
-    assert rows(spark.read.parquet(str(tmp_path / "store/v=1")).select("k", "v"), "k") == [(1, "b"), (2, "d"), (3, "e")]
+    assert rows(kept.read().select("k", "v"), "k") == [(1, "b"), (2, "d"), (3, "e")]
 
 
 def test_stream_windows(spark, tmp_path):
