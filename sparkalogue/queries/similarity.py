@@ -66,15 +66,9 @@ _SQL_SIGNATURE = f"""
 
 
 def _signatures(spark, sf_dir):
-    """(id, signature): for each seed the least of 60-bit md5 prefixes over the document's words.
-
-    Every different word is hashed once and its hashes joined to the documents that hold it.
-    """
-    tokens = sets.distinct_tokens(read(spark, sf_dir, "documents"), "doc_id", "text")
-    hashes = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), "tok")), 1, 15), 16, 10).cast("bigint").alias(f"v{s}") for s in range(_SEEDS)]
-    words = tokens.select("tok").distinct().select("tok", *hashes)
-    low = tokens.join(words, "tok").groupBy("id").agg(*[F.min(f"v{s}").alias(f"v{s}") for s in range(_SEEDS)])
-    return checkpointed(low.select("id", F.array(*[f"v{s}" for s in range(_SEEDS)]).alias("signature")))
+    """(id, signature): for each seed the least of 60-bit md5 prefixes over the document's words, hashed where it is read."""
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sets.words(F.col("text")).alias("toks")).where("size(toks) > 0")
+    return checkpointed(words.select("id", kernels.md5_minima(F.col("toks"), _SEEDS).alias("signature")))
 
 
 @family.add("minhash_signature", f"WITH {_SQL_SIGNATURE} SELECT id, CAST(s AS INTEGER) AS slot, v FROM m")
@@ -113,8 +107,8 @@ def minhash_agreement(spark, sf_dir):
 
 
 def _splitmix_signatures(spark, sf_dir):
-    ids = sets.distinct_tokens(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.collect_set(scalars.hex_to_id63(F.sha1("tok"))).alias("ids"))
-    return ids.select("id", kernels.minhash_udf("ids").alias("signature"))
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sets.words(F.col("text")).alias("toks")).where("size(toks) > 0")
+    return words.select("id", kernels.minhash_udf(F.transform("toks", lambda t: scalars.hex_to_id63(F.sha1(t)))).alias("signature"))
 
 
 @family.add("minhash_splitmix")
