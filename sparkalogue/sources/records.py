@@ -1,10 +1,8 @@
-"""Record files in and out: JSON lines with isolated bad lines, bundles, blobs, binary sidecars."""
+"""Record files in and out: JSON lines with isolated bad lines, blobs, binary sidecars."""
 
 from __future__ import annotations
 
-import json
 import struct
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,43 +37,6 @@ def check_manifest(manifest: dict) -> None:
         raise ValueError(f"bundle of schema {manifest.get('schema')!r}, profile {manifest.get('profile')!r} can't be read")
 
 
-def read_bundle(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, bad lines, assets (sha256, content)) of zip bundles; each file is opened by one task.
-
-    A bundle holds manifest.json, builds.jsonl and assets/<sha256>. A manifest of another version fails the read.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def members(frames):
-        import io
-
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for content in f["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    check_manifest(json.loads(z.read("manifest.json")))
-                    rows += [("record", line.decode(), None) for line in z.read("builds.jsonl").splitlines() if line.strip()]
-                    rows += [("asset", n.split("/", 1)[1], z.read(n)) for n in z.namelist() if n.startswith("assets/") and not n.endswith("/")]
-            yield pd.DataFrame(rows, columns=["kind", "name", "content"])
-
-    found = files.mapInPandas(members, "kind string, name string, content binary")
-    lines = found.where("kind = 'record'").select(F.col("name").alias("line"))
-    good, bad = parse_lines(lines, schema)
-    assets = found.where("kind = 'asset'").select(F.col("name").alias("sha256"), "content").dropDuplicates(["sha256"])
-    return good, bad, assets
-
-
-def manifest_of(records: DataFrame, assets: DataFrame, body: str = "record") -> DataFrame:
-    """One row: versions, counts, and a digest of all records that doesn't depend on their order."""
-    lines = records.select(F.sha2(F.to_json(F.struct("*")), 256).alias("h"))
-    # order-independent: the sum of the lines' hashes as decimals of 38 digits
-    digest = lines.agg(F.count("*").alias("n_records"), F.sha2(F.coalesce(F.sum(F.conv(F.substring("h", 1, 14), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string"), 256).alias("body_digest"))
-    n_assets = assets.select("sha256").distinct().agg(F.count("*").alias("n_assets"))
-    return digest.crossJoin(n_assets).select(F.lit(BUNDLE_SCHEMA).alias("schema"), F.lit(BUNDLE_PROFILE).alias("profile"), "n_records", "n_assets", "body_digest")
-
-
 def missing_blobs(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Wanted hashes that the store doesn't hold."""
     return wanted.select("sha256").distinct().join(stored.select("sha256"), "sha256", "left_anti")

@@ -1,5 +1,4 @@
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,16 +127,6 @@ def test_records(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"sha256": "x", "n": 1}\nnot json\n{"sha256": "y", "n": 2}\n')
     good, bad = records.read_records(spark, str(tmp_path / "a.jsonl"), SCHEMA)
     assert rows(good, "n") == [("x", 1), ("y", 2)] and rows(bad) == [("not json",)]
-    for name, profile in (("b.zip", "v1"), ("c.zip", "v9")):
-        with zipfile.ZipFile(tmp_path / name, "w") as z:
-            z.writestr("manifest.json", json.dumps({"schema": 1, "profile": profile}))
-            z.writestr("builds.jsonl", '{"sha256": "x", "n": 1}\nbroken\n')
-            z.writestr("assets/" + "0" * 64, b"data")
-    good, bad, assets = records.read_bundle(spark, str(tmp_path / "b.zip"), SCHEMA)
-    assert rows(good) == [("x", 1)] and rows(bad) == [("broken",)] and assets.count() == 1
-    with pytest.raises(Exception, match="can't be read"):
-        records.read_bundle(spark, str(tmp_path / "c.zip"), SCHEMA)[0].collect()
-    assert records.manifest_of(good, assets).first()["n_records"] == 1
     assert records.sidecar(["a"], [[(1, 2)]]).startswith(b"CCK1")
     kinds = spark.createDataFrame([(b"PK\x03\x04zz",), (b"hello\n",), (bytes(range(32)),)], "c binary").select(records.sniff(F.col("c")).alias("k"))
     assert [r["k"] for r in kinds.collect()] == ["zip", "text", None]
