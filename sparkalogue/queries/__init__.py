@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edits, fused, histories, indexes, listings, objects, pages, records, similarity
+from . import cleaning, edits, fused, histories, indexes, listings, objects, pages, records, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for family in (similarity, indexes, listings, objects, histories, pages, edits, records, fused):
+for family in (similarity, indexes, listings, objects, histories, pages, edits, records, fused, cleaning):
     QUERIES |= family.QUERIES
     ORACLE_SQL |= family.ORACLE_SQL
