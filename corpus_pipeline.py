@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 
 Null and empty texts pass every stage and are packed as an end token each. The near-duplicate
-and leak stages know documents by a row number, so rows with a null doc_id and several texts of
-one doc_id are documents of their own there. Equal rows: all lines of the second go in the line
+and leak stages know documents by a 64-bit hash of their text, so rows with a null doc_id and
+several texts of one doc_id are documents of their own there. Equal rows: all lines of the second go in the line
 stage, and the near-duplicate stage keeps one of what is then left of each text with a word.
 Extra columns of docs are left out by the first stage, whatever their names. An empty table
 stays empty. Texts of any length are taken whole.
@@ -32,24 +32,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleaned.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written, so that every later reading has the same numbers."""
-    return write_table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a hash of each text as its key: whether a text is a near copy or a leak is a matter of the text alone."""
+    return docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays; documents without a word are like no other."""
-    rows = _numbered(docs)
-    classes = ngram_join.join(rows.select(F.col("row").alias("doc_id"), "text"))
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    """One document of each class of near duplicates stays, of equal texts that with the smallest doc_id; documents without a word are like no other."""
+    rows = _keyed(docs)
+    classes = ngram_join.join(rows.select(F.col("key").alias("doc_id"), "text"))
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("key")).distinct()
+    wordy = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    # a second hash tells apart texts of one key, so that none is lost
+    copies = rows.where(wordy).join(kept, "key", "left_semi").groupBy("key", F.xxhash64("text", F.lit(1)))
+    first = F.min_by(F.struct(*COLUMNS), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    return copies.agg(first.alias("d")).select("d.*").unionByName(rows.where(~wordy).select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows = _numbered(docs)
-    leaks = decontaminate.matches(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(leaks.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
+    rows = _keyed(docs)
+    leaks = decontaminate.matches(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
