@@ -65,9 +65,10 @@ def brute_topk(all_sets, asked, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k", [1, 4])
-def test_topk_sets(spark, k):
-    """Frequent and rare tokens, copies, ties, tiny and empty sets."""
+@pytest.mark.parametrize(("k", "common"), [(1, 512), (4, 512), (4, 2)])
+def test_topk_sets(spark, monkeypatch, k, common):
+    """Frequent and rare tokens, copies, ties, tiny and empty sets; pairs settled by common tokens and compared whole."""
+    monkeypatch.setattr(sets, "COMMON", common)
     rng = random.Random(5)
     all_sets = {i: [t for t in range(60) if rng.random() < 0.8 / (1 + t)] + [f for f in (rng.randrange(100, 400) for _ in range(rng.randrange(12)))] for i in range(250)}
     all_sets = {i: list(dict.fromkeys(map(str, s))) for i, s in all_sets.items()}
