@@ -79,6 +79,30 @@ def test_topk_sets(spark, monkeypatch, k, common):
     assert sorted((r["query_id"], r["id"], r["shared"], r["jaccard"]) for r in got.collect()) == brute_topk(all_sets, asked, k)
 
 
+def test_sets_meet_without_a_shuffle(spark):
+    """All pairs of tiny, copied and large sets with further columns of both sides, in stretches and slices; no pair is shuffled."""
+    rng = random.Random(8)
+    all_sets = {i: [t for t in range(40) if rng.random() < 0.5] + [rng.randrange(100, 300) for _ in range(5)] for i in range(60)}
+    all_sets = {i: list(dict.fromkeys(map(str, s))) for i, s in all_sets.items()} | {60: ["0"], 62: [], 70: ["alone"]}
+    frame = spark.createDataFrame([(i, s, f"n{i}") for i, s in all_sets.items()] + [(None, ["0"], "x"), (80, None, "y")], "id long, toks array<string>, name string")
+    for least in (None, 0.3):
+        found = sets.jaccard_above(frame.where("id % 10 = 0"), frame, least)
+        want = [(q, i, n, s, f"n{q}", f"n{i}") for q, i, n, s in brute_topk(all_sets, [i for i in all_sets if i % 10 == 0], 1000) if least is None or s > least]
+        assert sorted((r["query_id"], r["id"], r["shared"], r["jaccard"], r["query_name"], r["name"]) for r in found.collect()) == want
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_sets_from_floors(spark, monkeypatch):
+    """Floors from a part of the sets, several blocks, stretches and slices, and pairs dropped on the way: the same answer."""
+    for name, value in {"FLOOR_SETS": 50, "BLOCK_TOKENS": 100, "QUERY_ROWS": 3, "SET_ROWS": 40, "HELD_PAIRS": 10}.items():
+        monkeypatch.setattr(sets, name, value)
+    rng = random.Random(9)
+    all_sets = {i: list({f"{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(1, 30))}) for i in range(400)} | {500 + i: ["0", "1"] for i in range(60)}
+    frame = spark.createDataFrame([*all_sets.items()], "id long, toks array<string>").repartition(5)
+    got = sets.jaccard_topk(frame.where("id % 10 = 0"), frame, 4)
+    assert sorted((r["query_id"], r["id"], r["shared"], r["jaccard"]) for r in got.collect()) == brute_topk(all_sets, [i for i in all_sets if i % 10 == 0], 4)
+
+
 def test_topk_sets_join_less(spark):
     rng = random.Random(6)
     frame = spark.createDataFrame([(i, ["a", "b", "c"] + [f"t{i // 4}_{j}" for j in range(20)] + [f"r{rng.random()}" for _ in range(3)]) for i in range(400)], "id long, toks array<string>")
