@@ -35,7 +35,7 @@ def embedding_index_probed(spark, sf_dir):
 
 @family.add("jaccard_joined_rows")
 def jaccard_joined_rows(spark, sf_dir):
-    """What jaccard_shared_tokens_topk joins for each query, against all rows of its words."""
+    """How far the floors of jaccard_shared_tokens_topk narrow each query: words of which one must be shared, and the rows of their lists against all."""
     return sets.jaccard_topk(*_word_sets(spark, sf_dir), k=10, report=True)
 
 
