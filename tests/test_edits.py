@@ -144,6 +144,13 @@ def test_digests_within_reach(spark):
     assert all(r["d"] == distance[r["id"], r["other"]] for r in both.collect() if (r["id"], r["other"]) in distance)
 
 
+def test_digests_meet_without_a_shuffle(spark):
+    frame = spark.createDataFrame([(i, "0" * 68 + f"{i:02x}") for i in range(40)], "id long, digest string")
+    near = tiers.tlsh(frame.where("id % 10 = 0"), frame, most_query_rows=2)
+    assert near.count() == 4 * 39
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sound_pairs_against_a_plain_loop():
     rate = 44_100
     t = np.arange(rate * 4) / rate
