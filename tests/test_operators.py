@@ -185,3 +185,19 @@ def test_moderation_gathers_no_log(spark, capsys):
     assert dict(got.collect()) == {"a": "amended", "b": "rejected", "c": "auto", None: "amended", "d": "auto", "e": "rejected"}
     got.explain()
     assert "collect_list" not in capsys.readouterr().out
+
+
+def test_best_tracks_against_a_plain_loop(spark):
+    """Tracks of rare and common tokens, equal ones and ones without known tokens; only pairs from the least score on are made."""
+    held = {(b, t): {f"t{(b * 7 + t * 3 + n * n) % 23}" for n in range(1 + (b + t) % 6)} for b in range(30) for t in range(3)} | {(40, 1): {"unknown"}, (41, 1): {"t1"}, (50, 1): {"t1"}}
+    idf = {f"t{n}": 0.1 + n / 10 for n in range(23)}
+    frame = spark.createDataFrame([(b, t, tok) for (b, t), toks in held.items() for tok in sorted(toks)] + [(None, 1, "t1"), (60, None, "t1")], "build long, track int, tok string")
+    weight = lambda toks: sum(idf.get(tok, 0) for tok in toks)
+    for least in (0.05, 0.55):
+        want = {}
+        for (qb, qt), q in held.items():
+            for (b, t), toks in held.items():
+                if qb % 10 == 0 and b != qb and (w := weight(q & toks)) and (sim := round(w / (weight(q) + weight(toks) - w), 6)) >= least:
+                    want[qb, qt, b] = min(want.get((qb, qt, b), (0, 0)), (-sim, t))
+        got = tiers.weighted_tracks(frame.where("build % 10 = 0"), frame, spark.createDataFrame([*idf.items()], "tok string, idf double"), least)
+        assert sorted(rows(got)) == sorted((*k, t, -s) for k, (s, t) in want.items())
