@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .history import checkpointed
 from .stored import new_path
 
-#: Bounds: rows that centroids are fitted on, lists of an index, rows of a block and queries of a chunk.
-FIT_ROWS, MOST_LISTS, BLOCK_ROWS, CHUNK_QUERIES = 50_000, 4096, 1024, 128
+#: Bounds: rows that centroids are fitted on, lists of an index, rows of a block, queries of a chunk and queries that choose lists at once.
+FIT_ROWS, MOST_LISTS, BLOCK_ROWS, CHUNK_QUERIES, PROBE_ROWS = 50_000, 4096, 1024, 128, 64
 #: Cosines are rounded to six decimals, so ranks are settled up to this.
 _SLACK = 1e-6
 
@@ -123,11 +123,11 @@ def _probe(queries: DataFrame, index: VectorIndex, choose) -> DataFrame:
         centres, radius, rows = sent.value
         for batch in batches:
             which, unit = units(batch.column("vec"), width)
-            if not len(which):
-                continue
-            angles = np.arccos(np.clip(unit @ centres.T, -1, 1))
-            row, lists = choose(batch, which, np.where(rows > 0, angles, np.inf), radius)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(which[row])), pa.array([v.tobytes() for v in unit[row]], pa.binary()), pa.array(lists, pa.int32())], names=["query_id", "vec", "list"])
+            for at in range(0, len(which), PROBE_ROWS):
+                some, part = which[at : at + PROBE_ROWS], unit[at : at + PROBE_ROWS]
+                angles = np.arccos(np.clip(part @ centres.T, -1, 1))
+                row, lists = choose(batch, some, np.where(rows > 0, angles, np.inf), radius)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(some[row])), pa.array([v.tobytes() for v in part[row]], pa.binary()), pa.array(lists, pa.int32())], names=["query_id", "vec", "list"])
 
     return queries.mapInArrow(run, "query_id long, vec binary, list int")
 

@@ -56,6 +56,18 @@ def test_index_of_nothing(spark, vectors):
     assert vector_index.search(vector_index.build(vectors), vectors.where("id in (2000, 2001, 2002)"), 3, exact=True).collect() == []
 
 
+def test_queries_choose_lists_in_stretches(spark, vectors):
+    """However many queries come at once, a few at a time choose their lists, so a worker never holds a vector for each query and list."""
+    index = vector_index.build(vectors)
+
+    def choose(_, which, angles, __):
+        assert len(which) == len(angles) <= 64
+        return np.nonzero(np.isfinite(angles))
+
+    many = vectors.where("id = 1").crossJoin(spark.range(300).withColumnRenamed("id", "query_id")).select("query_id", "vec").coalesce(1)
+    assert vector_index._probe(many, index, choose).select("query_id").distinct().count() == 300
+
+
 def brute_topk(all_sets, asked, k):
     out = []
     for q in asked:
