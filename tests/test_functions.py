@@ -161,3 +161,19 @@ def test_jaccard(spark, a, b, want):
 def test_slot_agreement(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(sets.slot_agreement(F.col("a"), F.col("b"))).first()[0] == want
+
+
+def test_signatures_take_few_texts_at_a_time(spark, tmp_path):
+    """Whole texts reach Python by 1000 at most."""
+    from sparkalogue.queries import similarity
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.createDataFrame([(100, "some words", "en"), (200, "some words", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(key)
+    try:
+        for name in ("minhash_signature", "minhash_agreement", "oph_resemblance", "minhash_splitmix_slots"):
+            spark.conf.set(key, "10000")
+            assert similarity.QUERIES[name](spark, str(tmp_path)).count() > 0
+            assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
