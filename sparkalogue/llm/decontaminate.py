@@ -29,6 +29,7 @@ hold, by 64-bit hash (16 bytes each), so that no result depends on the blocks.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,21 +63,23 @@ def size_class(n: int) -> tuple[int, int]:
     return window, c - window + 1
 
 
-def bit_table(words: list[bytes]) -> np.ndarray:
+def bit_table(words: list[bytes], hashes: np.ndarray | None = None) -> np.ndarray:
     """A row of 64 signed weights for each word: bits of its hash, weighted by its length in bytes up to 12."""
-    bits = np.unpackbits(word_hashes(words).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
+    bits = np.unpackbits((word_hashes(words) if hashes is None else hashes).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
     weight = np.array([min(len(w), 12) for w in words], dtype=np.int8)
     return (2 * bits - 1) * weight[:, None]
 
 
 def fingerprints(sums: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
     """SimHash of the windows that begin at `starts`; sums are running sums with a zero row first."""
-    return np.packbits(sums[starts + window] > sums[starts], axis=1).view(np.uint64).ravel()
+    return np.packbits(sums[starts + window] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
 
 
-def running_sums(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows) + 1, 64), dtype=np.int32)
-    np.cumsum(rows, axis=0, dtype=np.int32, out=out[1:])
+def running_sums(rows: np.ndarray, window: int | None = None) -> np.ndarray:
+    """Sums of the rows before each; of 16 bits if `window` words, of 12 at most each, can't exceed these: differences hold though sums wrap round."""
+    dtype = np.int16 if window is not None and 12 * window < 1 << 15 else np.int32
+    out = np.zeros((len(rows) + 1, 64), dtype=dtype)
+    np.cumsum(rows, axis=0, dtype=dtype, out=out[1:])
     return out
 
 
@@ -331,47 +335,77 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float
     return out
 
 
+def coded_words(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """words_of() of some texts in one row, each different word once, and the number of words of each text."""
+    lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
+    split = pc.ascii_split_whitespace(lowered)
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    owner = pc.list_parent_indices(split).filter(full).to_numpy()
+    return flat.filter(full).dictionary_encode(), np.bincount(owner, minlength=len(texts)).astype(np.int64)
+
+
+class KnownWords:
+    """Hashes and signed bits of words, kept by the worker for words seen before; it starts over from MOST on."""
+
+    MOST = 400_000
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.table = np.zeros((1 << 14, 64), dtype=np.int8)
+        self.hash_of = np.zeros(1 << 14, dtype=np.uint64)
+
+    def numbered(self, different: pa.Array) -> np.ndarray:
+        """Rows of different words in the tables, which are filled for new ones."""
+        words = different.cast(pa.large_binary()).to_pylist()
+        if len(self.numbers) > self.MOST:
+            self.numbers.clear()
+        held = list(map(self.numbers.get, words))
+        if None in held:
+            new = [w for w, k in zip(words, held, strict=True) if k is None]
+            base = len(self.numbers)
+            self.numbers.update(zip(new, range(base, base + len(new)), strict=True))
+            while len(self.table) < len(self.numbers):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.hash_of = np.concatenate([self.hash_of, np.zeros_like(self.hash_of)])
+            hashes = word_hashes(new)
+            self.hash_of[base : base + len(new)] = hashes
+            self.table[base : base + len(new)] = bit_table(new, hashes)
+            held = map(self.numbers.__getitem__, words)
+        return np.array(list(held), dtype=np.int64)
+
+
+#: What a worker keeps: words, and the block of items that it has prepared.
+_words = KnownWords()
+_prepared: dict[str, tuple] = {}
+
+
 def _searcher(items: list, shared: tuple[np.ndarray, np.ndarray], width: int, threshold: float, radius: int):
+    prepared = uuid.uuid4().hex
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, weights = build(items, radius), Holders(shared)
-        own = [shingles(w, width) for _, w in items]
-        rare = build_rare(own, weights, threshold)
+        # a worker prepares a block of items once, for all of its tasks
+        if prepared not in _prepared:
+            _prepared.clear()
+            weights = Holders(shared)
+            own = [shingles(w, width) for _, w in items]
+            _prepared[prepared] = build(items, radius), weights, own, build_rare(own, weights, threshold)
+        indexes, weights, own, rare = _prepared[prepared]
         longest = max([len(w) for _, w in items], default=0)
-        # the table of signed bits by word, kept by the worker for words seen before
-        numbers: dict[bytes, int] = {}
-        table = np.zeros((1 << 14, 64), dtype=np.int8)
-        hash_of = np.zeros(1 << 14, dtype=np.uint64)
-
-        def numbered(words: list[bytes]) -> np.ndarray:
-            nonlocal table, hash_of
-            if len(numbers) > 400_000:
-                numbers.clear()
-            held = list(map(numbers.get, words))
-            if None in held:
-                new = list({w for w, k in zip(words, held, strict=True) if k is None})
-                base = len(numbers)
-                numbers.update(zip(new, range(base, base + len(new)), strict=True))
-                while len(table) < len(numbers):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                    hash_of = np.concatenate([hash_of, np.zeros_like(hash_of)])
-                hash_of[base : base + len(new)] = word_hashes(new)
-                table[base : base + len(new)] = bit_table(new)
-                held = map(numbers.__getitem__, words)
-            return np.array(list(held), dtype=np.int64)
-
         for batch in filter(len, batches):
             # the batch's words in one row; windows stay on each document's own grid and within it
-            docs = [words_of(t) for t in texts_of(batch)]
-            sizes = np.array([len(w) for w in docs], dtype=np.int64)
+            texts = texts_of(batch)
+            every, sizes = coded_words(texts)
+            known = _words.numbered(every.dictionary)
+            table, hash_of = _words.table, _words.hash_of
             ends = np.cumsum(sizes)
             begins = ends - sizes
-            every = [w for words in docs for w in words]
-            ids = numbered(every)
+            ids = known[every.indices.to_numpy(zero_copy_only=False)]
             local = np.arange(len(every)) - np.repeat(begins, sizes)
             room = np.repeat(ends, sizes) - np.arange(len(every))
             near: set[tuple[int, int]] = set()
             for at in range(0, len(every), STRETCH):
-                sums = running_sums(table[ids[at : at + STRETCH + longest]])
+                sums = running_sums(table[ids[at : at + STRETCH + longest]], longest)
                 for x in indexes:
                     starts = np.flatnonzero((local[at : at + STRETCH] % x.stride == 0) & (room[at : at + STRETCH] >= x.window))
                     if not len(starts):
@@ -384,6 +418,7 @@ def _searcher(items: list, shared: tuple[np.ndarray, np.ndarray], width: int, th
                 near.update(zip(np.searchsorted(ends, words_at, "right").tolist(), items_at.tolist(), strict=True))
             best: dict[tuple[int, int], tuple[float, int]] = {}
             held: tuple = (None, None)
+            docs = {d: words_of(texts[d]) for d, _ in near}
             for doc, item in sorted(near, key=lambda p: (p[0], min(width, len(items[p[1]][1])), p[1])):
                 k = min(width, len(items[item][1]))
                 if held[0] != (doc, k):
