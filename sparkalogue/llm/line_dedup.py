@@ -15,7 +15,8 @@ parity bitmaps of their tokens (64 bits, 128 of wide sets) differ in no more bit
 A token that over HOT prefixes hold is hot: under it sets meet by the token and each later one
 of the prefix, one token longer, that may be their second in common; there every set first
 tries the earliest set alone, and only those without a match anywhere meet the others.
-Candidates are verified on their whole token sets.
+Candidates are verified on their whole token sets, which one more reading of the texts brings.
+What stays is the earliest line of each set that nothing matched; no other line is stored.
 
 Null text has no line and stays null; a text all of whose lines go becomes empty. Rows of one
 doc_id follow each other in order of a hash of the text, equal rows in any order: of these all
@@ -39,19 +40,24 @@ HOT = 700
 WIDE = 64
 #: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
 SHARES = 2
-_SPACE = "[ \\t-\\r]+"
 _HASH_BITS = 43
 _LOW32 = (1 << 32) - 1
 
 
+def spaced(text: Column) -> Column:
+    """The text with a space for each other white space but newlines."""
+    other = functools.reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\x0b\f\r"])
+    return F.when(other, F.regexp_replace(text, "[\\t\\x0B\\f\\r]", " ")).otherwise(text)
+
+
 def words(line: Column) -> Column:
-    """Words of a text without newlines, with empty ones between them where white space is doubled."""
-    return F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.split(line, _SPACE)).otherwise(F.split(line, " "))
+    """Words of a spaced text without newlines, with empty ones between them where spaces are doubled."""
+    return F.split(line, " ")
 
 
 def rarity(docs: DataFrame) -> Column:
     """An array column of constant value: occurrences of the words of each hash slot, 20 bits at most."""
-    each = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
+    each = docs.select(F.explode(words(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
     slots = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n"))
     counts = [0] * RARITY_SLOTS
     for r in slots.collect():
@@ -96,55 +102,39 @@ def _keyed(docs: DataFrame) -> list[Column]:
     return [F.coalesce(doc_id, F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64(doc_id.isNull(), "text").alias("row")]
 
 
-def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc, row, line_no, goes) of all lines with a word; equal rows count as one, each of their lines as often as they are."""
+def ordered(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with a number `id` that rises with doc, row and line_no: stretches of doc, of about as many docs each, are sorted apart."""
+    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256)
+    ends = docs.agg(F.percentile_approx("doc", [k / parts for k in range(1, parts)], 10 * parts).alias("ends")).first()["ends"] if parts > 1 else None
+    part = functools.reduce(Column.__add__, [(F.col("doc") > e).cast("int") for e in sorted(set(ends or []))], F.lit(0))
+    return rows.repartitionById(parts, part).sortWithinPartitions("doc", "row", "line_no").select(F.monotonically_increasing_id().alias("id"), "*")
+
+
+def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc, row, line_no) of the lines with a word that stay; equal rows count as one."""
     t = round(1000 * threshold)
     if not 500 < t <= 1000:
         raise ValueError("the threshold must be over 0.5, and 1 at most")
     source = docs.select(*_keyed(docs), "text")
     counts = rarity(source)
-    split = source.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    split = source.select("doc", "row", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
 
     n = F.size("keys")
     # one token more than the filter needs; it serves hot tokens only
     prefix = F.slice("keys", F.lit(1), (n - F.expr(f"(size(keys) * {t} + 999) div 1000") + 2).cast("int"))
-    keyed = split.withColumn("keys", token_keys(F.col("line"), counts))
+    keyed = split.where(F.trim("line") != "").withColumn("keys", token_keys(F.col("line"), counts))
     bits = [parity(F.col("keys")).alias("bits"), F.when(n >= WIDE, parity(F.col("keys"), half=True)).otherwise(F.lit(0).cast("long")).alias("half")]
-    # lines without a word are left out of the written table: a filter before would compute the keys twice
-    wide = write_table(keyed.select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), *bits, prefix.alias("prefix")), "lines")
-    lines = wide.where("n > 0")
-    place = F.struct("doc", "row", "line_no")
-    first = lines.groupBy("sig", "sig2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "half", "prefix")])
-    ordered = first.select("sig", "sig2", "first.*", "n", "bits", "half", "prefix").repartitionByRange("doc", "row", "line_no").sortWithinPartitions("doc", "row", "line_no")
-    sets = write_table(ordered.select(F.monotonically_increasing_id().alias("id"), "*"), "line-sets")
-    of_set = sets.select("id", "sig", "sig2", place.alias("first"))
-    lines = write_table(lines.select("doc", "row", "line_no", "sig", "sig2").join(of_set, ["sig", "sig2"]).select("doc", "row", "line_no", "id", (F.col("first") != place).alias("repeats")), "line-ids")
-    discard(wide)
+    lines = keyed.select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), *bits, prefix.alias("prefix"))
+    first = lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "half", "prefix")])
+    sets = write_table(ordered(first.select("first.*", "n", "bits", "half", "prefix"), source), "line-sets")
 
     # a narrow row for each prefix token; a set of one token has no other set within the threshold
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     short = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
-    spread = sets.where("n > 1").select("id", "n", "bits", "half", F.posexplode(short).alias("pos", "tok")).select("tok", "id", sized.alias("at"), "bits", "half")
+    placed = sets.where("n > 1").select("id", "n", "bits", "half", "prefix", F.posexplode(short).alias("pos", "tok"))
+    spread = placed.select("tok", "id", sized.alias("at"), "bits", "half")
     hot_tokens = write_table(spread.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """id of the sets of which a pair (id, other) reaches the threshold: the earliest other is tried first."""
-        members = pairs.select("id").union(pairs.select("other")).distinct()
-        wanted = sets.join(members, "id").select("id", "doc", "row", "line_no")
-        found = split.join(wanted, ["doc", "row", "line_no"]).select("id", token_keys(F.col("line"), counts).alias("keys")).dropDuplicates(["id"])
-        found = write_table(found, "line-keys")
-
-        def reach(some: DataFrame) -> DataFrame:
-            both = some.join(found, "id").join(found.select(F.col("id").alias("other"), F.col("keys").alias("other_keys")), "other")
-            common = F.size(F.array_intersect("keys", "other_keys"))
-            return write_table(both.where(common * 1000 >= (F.size("keys") + F.size("other_keys") - common) * t).select("id").distinct(), "gone")
-
-        nearest = pairs.groupBy("id").agg(F.min("other").alias("other"))
-        at_once = reach(nearest)
-        left = write_table(pairs.join(at_once, "id", "left_anti").join(nearest, ["id", "other"], "left_anti"), "line-pairs")
-        out = at_once if left.isEmpty() else at_once.union(reach(left))
-        discard(found)
-        return out
+    any_hot = not hot_tokens.isEmpty()
 
     def earlier(rows: DataFrame) -> DataFrame:
         return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "half")])
@@ -152,48 +142,68 @@ def marked_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # both sides of this join are one shuffle; under a token at most HOT sets meet
     plain = []
     for share in range(SHARES):
-        cold = spread.where(F.pmod("tok", F.lit(SHARES)) == share).join(hot_tokens, "tok", "left_anti")
+        cold = spread.where(F.pmod("tok", F.lit(SHARES)) == share)
+        cold = cold.join(hot_tokens, "tok", "left_anti") if any_hot else cold
         plain.append(write_table(cold.join(earlier(cold), "tok").where("id > other").where(_within(t)).select("id", "other"), "line-pairs"))
-
-    gone = verified(write_table(functools.reduce(DataFrame.union, plain).distinct(), "line-pairs"))
+    pairs = write_table(functools.reduce(DataFrame.union, plain).distinct(), "line-pairs")
     discard(*plain)
-    if not hot_tokens.isEmpty():
-        joined = spread.join(hot_tokens, "tok").join(sets.select("id", "prefix"), "id")
-        later = F.slice("prefix", (F.col("at").bitwiseAND(F.lit(_LOW32)) + 2).cast("int"), F.size("prefix"))
-        by_two = joined.select("id", "at", "bits", "half", "tok", F.explode(later).alias("second")).select(F.xxhash64("tok", "second").alias("tok"), "id", "at", "bits", "half")
-        hot = write_table(by_two, "hot-prefixes")
+    members = pairs.select("id").union(pairs.select("other"))
+    if any_hot:
+        # the place of two tokens is that of the later less one: as many may be missing if they are the first two in common
+        later = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
+        by_two = placed.join(hot_tokens, "tok").select("tok", "id", sized.alias("at"), "bits", "half", F.posexplode(later).alias("more", "second"))
+        hot = write_table(by_two.select(F.xxhash64("tok", "second").alias("tok"), "id", (F.col("at") + F.col("more")).alias("at"), "bits", "half"), "hot-prefixes")
         low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")], F.count("*").alias("held")).where("held > 1").drop("held")
+        members = members.union(hot.join(low, "tok").select("id"))
+
+    # the token sets of all candidates, from one more reading of the texts
+    wanted = sets.join(members.distinct(), "id").groupBy("doc", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("wanted"))
+    whole = source.join(wanted, ["doc", "row"]).select("wanted", F.split(spaced(F.col("text")), "\n").alias("lines"))
+    of_text = whole.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line_no"]).alias("line")))).alias("w")).select("w.*")
+    found = write_table(of_text.dropDuplicates(["id"]).select("id", token_keys(F.col("line"), counts).alias("keys")), "line-keys")
+
+    def reach(some: DataFrame) -> DataFrame:
+        """id of the pairs that reach the threshold."""
+        both = some.join(found, "id").join(found.select(F.col("id").alias("other"), F.col("keys").alias("other_keys")), "other")
+        common = F.size(F.array_intersect("keys", "other_keys"))
+        return write_table(both.where(common * 1000 >= (F.size("keys") + F.size("other_keys") - common) * t).select("id").distinct(), "gone")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """id of the sets of which a pair (id, other) reaches the threshold: the earliest other is tried first."""
+        nearest = pairs.groupBy("id").agg(F.min("other").alias("other"))
+        at_once = reach(nearest)
+        left = write_table(pairs.join(at_once, "id", "left_anti").join(nearest, ["id", "other"], "left_anti"), "line-pairs")
+        return at_once if left.isEmpty() else at_once.union(reach(left))
+
+    gone = verified(pairs)
+    if any_hot:
         hubs = write_table(hot.join(gone, "id", "left_anti").join(low, "tok").where("id > other").where(_within(t)).select("id", "other").distinct(), "line-pairs")
         gone = gone.union(verified(hubs)).distinct()
-        rest = hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct()
+        # written before those that were tried are left out: an anti-join would be moved to where a pair stands for each of its tokens
+        rest = write_table(hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct(), "line-pairs")
         gone = gone.union(verified(write_table(rest.join(hubs, ["id", "other"], "left_anti"), "line-pairs"))).distinct()
-        discard(hot)
-    return lines.join(gone.withColumn("near", F.lit(True)), "id", "left").select("doc", "row", "line_no", (F.col("repeats") | F.coalesce("near", F.lit(False))).alias("goes"))
+        discard(hot, rest)
+    discard(found)
+    return sets.select("id", "doc", "row", "line_no").join(gone, "id", "left_anti").drop("id")
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with the lines gone from text, and n_lines, n_removed (long): lines with a word, and those that went."""
-    by_row = marked_lines(docs, threshold).groupBy("doc", "row").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(F.col("goes"), F.col("line_no"))).alias("gone"))
+    by_row = kept_lines(docs, threshold).groupBy("doc", "row").agg(F.collect_list("line_no").alias("kept"))
     again = write_table(docs.select(*_keyed(docs)).groupBy("doc", "row").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated-rows")
     held = docs.select(F.struct(*docs.columns).alias("d"), *_keyed(docs)).join(by_row, ["doc", "row"], "left")
-    n_lines, copy = F.coalesce("n_lines", F.lit(0)), F.lit(1)
+    copy = F.lit(1)
     if not again.isEmpty():
-        # equal rows: the first one is whichever comes first, and each counted all their lines
-        held = held.join(again, ["doc", "row"], "left").withColumn("copy", F.row_number().over(Window.partitionBy("doc", "row").orderBy("row")))
-        n_lines, copy = (n_lines / F.coalesce("copies", F.lit(1))).cast("long"), F.col("copy")
-    held = held.select("d", F.when(F.size("gone") > 0, F.col("gone")).alias("gone"), n_lines.alias("n_lines"), copy.alias("copy"))
-
-    def with_word(x: Column) -> Column:
-        return x.rlike("[^ \\t-\\r]")
-
+        # equal rows: the first one is whichever comes first
+        held, copy = held.withColumn("copy", F.row_number().over(Window.partitionBy("doc", "row").orderBy("row"))), F.col("copy")
+    none = F.array().cast("array<int>")
     split = F.split("d.text", "\n")
-    text = (
-        F.when((F.col("copy") > 1) & (F.col("n_lines") > 0), F.array_join(F.filter(split, lambda x: ~with_word(x)), "\n"))
-        .when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(_without(split, F.col("gone")), "\n"))
-    )
-    n_removed = F.when(F.col("copy") > 1, F.col("n_lines")).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
+    wordy = F.array_compact(F.transform(split, lambda x, i: F.when(x.rlike("[^ \\t-\\r]"), i)))
+    held = held.select("d", F.coalesce(wordy, none).alias("wordy"), F.coalesce("kept", none).alias("kept"), copy.alias("copy"))
+    held = held.select("d", F.size("wordy").alias("n_lines"), F.when(F.col("copy") > 1, F.col("wordy")).otherwise(F.array_except("wordy", "kept")).alias("gone"))
+    text = F.when(F.size("gone") == 0, F.col("d.text")).otherwise(F.array_join(_without(split, F.col("gone")), "\n"))
     # the columns of docs come in last, lest their names stand for others here
-    made = held.select("d", F.struct(text.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")).alias("made"))
+    made = held.select("d", F.struct(text.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed")).alias("made"))
     new = ("text", "n_lines", "n_removed")
     return made.select(*[F.col("d").getField(c).alias(c) for c in docs.columns if c not in new], *[F.col("made").getField(c).alias(c) for c in new])
 
