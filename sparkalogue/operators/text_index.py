@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import STOP, stem
-from .stored import new_path, write_sorted
+from .stored import new_path, stored, write_sorted
 
 #: A word of a text and of a query.
 WORD = "[\\p{L}\\p{N}]+"
@@ -164,8 +164,9 @@ def search(docs: DataFrame, key: str, text: str, query: str, index: TextIndex, l
         needle = asked[1:-1]
         rows = docs.where(contains_literal(F.col(text), needle)).select(F.col(key).cast("long").alias("id"), F.lit(1.0).alias("rank"), snippet(F.col(text), needle).alias("snippet"))
     else:
-        plain, by_stem = (hits(spark, index, asked, e) for e in (False, True))
         n = [len(terms(asked, e)) for e in (False, True)]
+        # ranks, covers and snippets read the hits some six times
+        plain, by_stem = (stored(hits(spark, index, asked, e), "text-hits") if n[e] else None for e in (False, True))
         ranks = rank_pairs(plain, n[0]).union(rank_pairs(by_stem, n[1])) if n[1] else rank_pairs(plain, n[0])
         cut = snippets(docs, key, text, plain, n[0]).withColumn("side", F.lit(0))
         if n[1]:

@@ -104,8 +104,9 @@ def fts_snippets(spark, sf_dir):
 @family.add("fts_search", f"WITH {_sql_hits('the', 'of')}, {_SQL_PAIRS}, {_sql_covers(2)}, {_SQL_SNIPPETS} SELECT id AS doc_id, round(rank, 6) AS rank, snippet FROM k JOIN s USING (id)")
 def fts_search(spark, sf_dir):
     """Rank and snippet in one answer; both words are stop words under the English configuration, so the plain side decides."""
-    docs, index = _index(spark, sf_dir, stems=True)
-    return text_index.search(docs, "doc_id", "text", "the of", index).withColumnRenamed("id", "doc_id")
+    query = "the of"
+    docs, index = _index(spark, sf_dir, stems=bool(text_index.terms(query, english=True)))
+    return text_index.search(docs, "doc_id", "text", query, index).withColumnRenamed("id", "doc_id")
 
 
 @family.add("fts_english_rank")

@@ -205,3 +205,12 @@ def test_text_index_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "key long, body string")
     index = text_index.build(docs, "key", "body")
     assert text_index.hits(spark, index, "word").collect() == [] and text_index.hits(spark, index, "word", english=True).collect() == []
+
+
+def test_search_stores_hits_once_and_needs_no_stems_for_stop_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the end of the road"), (2, "of it"), (3, None), (4, "The top of")], "key long, body string")
+    names, write = [], text_index.stored
+    monkeypatch.setattr(text_index, "stored", lambda df, name: names.append(name) or write(df, name))
+    index = text_index.build(docs, "key", "body", stems=False)
+    got = {r["id"]: r["snippet"] for r in text_index.search(docs, "key", "body", "the of", index).collect()}
+    assert got == {1: "[[the]] end [[of]] [[the]] road", 4: "[[The]] top [[of]]"} and names == ["text-hits"]
