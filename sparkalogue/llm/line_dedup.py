@@ -10,7 +10,7 @@ hash slots (an array of bounded size), lead each token's key, so a sorted key ar
 rarest first; any order gives the same lines, a truer one fewer candidates. Lines with equal
 token sets are one set, numbered by the place of its earliest line. The first common token of
 two sets at the threshold lies in both prefixes, the n - ceil(t n) + 1 rarest tokens of each.
-Sets meet under each prefix token, within the length and positional filters, and where the
+Sets meet under each prefix token, within bands of sizes, the length and positional filters, and where the
 parity bitmaps of their tokens (64 bits, 128 of wide sets) differ in no more bits than their sets may in tokens.
 A token that over HOT prefixes hold is hot: under it sets meet by the token and each later one
 of the prefix, one token longer, that may be their second in common; there every set first
@@ -38,8 +38,6 @@ RARITY_SLOTS = 1 << 16
 HOT = 700
 #: Tokens from which a set has a second bitmap, of half its tokens.
 WIDE = 64
-#: Shares in which prefix tokens are joined one after another, so that the shuffle needs a share of the disk.
-SHARES = 2
 _HASH_BITS = 43
 _LOW32 = (1 << 32) - 1
 
@@ -68,7 +66,9 @@ def rarity(docs: DataFrame) -> Column:
 def token_keys(line: Column, counts: Column) -> Column:
     """Sorted different keys of a line's words: rarity above, hash below. Empty where the line has no word."""
     hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
+    # a count is never null; said so, keys are sorted as plain numbers
+    count = lambda h: F.coalesce(F.get(counts, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(count(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))))
 
 
 def parity(keys: Column, half: bool = False) -> Column:
@@ -81,21 +81,40 @@ def parity(keys: Column, half: bool = False) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
 
-def _within(t: int) -> Column:
-    """Length, positional and bitmap filter of (at, bits, half) and (o_at, o_bits, o_half); at packs size and position.
+def _within(t: int, mine: str = "m_") -> Column:
+    """Length, positional and bitmap filter of (m_at, m_bits, m_half) and (o_at, o_bits, o_half); at packs size and position.
 
     An overlap of o needs o (1000 + t) >= t (n + m), so at most (1000 - t) / (1000 + t) of n + m tokens differ.
     Two wide sets differ in the bits of either half, those of the other half being what half leaves of all bits.
     """
-    n = [F.shiftright(c, 32) for c in ("at", "o_at")]
-    pos = [F.col(c).bitwiseAND(F.lit(_LOW32)) for c in ("at", "o_at")]
-    every, half = (F.col(c).bitwiseXOR(F.col(f"o_{c}")) for c in ("bits", "half"))
+    n = [F.shiftright(c, 32) for c in (f"{mine}at", "o_at")]
+    pos = [F.col(c).bitwiseAND(F.lit(_LOW32)) for c in (f"{mine}at", "o_at")]
+    every, half = (F.col(f"{mine}{c}").bitwiseXOR(F.col(f"o_{c}")) for c in ("bits", "half"))
     length = (n[0] * 1000 >= n[1] * t) & (n[1] * 1000 >= n[0] * t)
     differ = F.when(F.least(n[0], n[1]) < WIDE, F.bit_count(every)).otherwise(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)))
     positional = F.least(n[0] - pos[0], n[1] - pos[1]) * (1000 + t) >= (n[0] + n[1]) * t
     return length & positional & (differ * (1000 + t) <= (n[0] + n[1]) * (1000 - t))
 
 
+def bands(t: int) -> Column:
+    """The one or two bands of sizes, a band for each bit length, in which a set of n tokens meets others.
+
+    They are that of n and that of the smallest size within the threshold, which is the same or the one below;
+    so any two sets within it have a band in common.
+    """
+    own, low = F.length(F.bin("n")), F.length(F.bin(F.expr(f"(n * {t}L + 999) div 1000")))
+    return F.when(own == low, F.array(own)).otherwise(F.array(own, low))
+
+
+def met(rows: DataFrame, key: str, t: int) -> DataFrame:
+    """(id, other) of the rows (key, id, at, bits, half) that a key brings together, the filters passed, other the earlier.
+
+    Each side gives new names to all its columns: only then do both read one shuffle.
+    """
+    one, two = (rows.select(F.col(key).alias(f"{p}key"), *[F.col(c).alias(f"{p}{c}") for c in ("id", "at", "bits", "half")]) for p in ("m_", "o_"))
+    return one.join(two, F.col("m_key") == F.col("o_key")).where("m_id > o_id").where(_within(t)).select(F.col("m_id").alias("id"), F.col("o_id").alias("other"))
+
+
 def _keyed(docs: DataFrame) -> list[Column]:
     """doc and row: what tells different rows apart, never null; a null doc_id comes before all others."""
     doc_id = F.col("doc_id").cast("long")
@@ -125,28 +144,20 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     keyed = split.where(F.trim("line") != "").withColumn("keys", token_keys(F.col("line"), counts))
     bits = [parity(F.col("keys")).alias("bits"), F.when(n >= WIDE, parity(F.col("keys"), half=True)).otherwise(F.lit(0).cast("long")).alias("half")]
     lines = keyed.select("doc", "row", "line_no", F.xxhash64("keys").alias("sig"), F.xxhash64(F.lit(1), "keys").alias("sig2"), n.alias("n"), *bits, prefix.alias("prefix"))
-    first = lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "half", "prefix")])
-    sets = write_table(ordered(first.select("first.*", "n", "bits", "half", "prefix"), source), "line-sets")
+    first = lines.groupBy("sig", "sig2").agg(F.min(F.struct("doc", "row", "line_no", "n", "bits", "half", "prefix")).alias("first"))
+    sets = write_table(ordered(first.select("first.*"), source), "line-sets")
 
     # a narrow row for each prefix token; a set of one token has no other set within the threshold
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     short = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
-    placed = sets.where("n > 1").select("id", "n", "bits", "half", "prefix", F.posexplode(short).alias("pos", "tok"))
-    spread = placed.select("tok", "id", sized.alias("at"), "bits", "half")
-    hot_tokens = write_table(spread.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
+    placed = sets.where("n > 1").select("id", "n", "bits", "half", "prefix", bands(t).alias("bands"), F.posexplode(short).alias("pos", "tok"))
+    hot_tokens = write_table(placed.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
     any_hot = not hot_tokens.isEmpty()
 
-    def earlier(rows: DataFrame) -> DataFrame:
-        return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "half")])
-
-    # both sides of this join are one shuffle; under a token at most HOT sets meet
-    plain = []
-    for share in range(SHARES):
-        cold = spread.where(F.pmod("tok", F.lit(SHARES)) == share)
-        cold = cold.join(hot_tokens, "tok", "left_anti") if any_hot else cold
-        plain.append(write_table(cold.join(earlier(cold), "tok").where("id > other").where(_within(t)).select("id", "other"), "line-pairs"))
-    pairs = write_table(functools.reduce(DataFrame.union, plain).distinct(), "line-pairs")
-    discard(*plain)
+    # both sides of this join are one shuffle; under a token at most HOT sets meet, apart by bands of sizes
+    cold = placed.join(hot_tokens, "tok", "left_anti") if any_hot else placed
+    cold = cold.withColumn("band", F.explode("bands")).select(F.xxhash64("tok", "band").alias("key"), "id", sized.alias("at"), "bits", "half")
+    pairs = write_table(met(cold, "key", t).distinct(), "line-pairs")
     members = pairs.select("id").union(pairs.select("other"))
     if any_hot:
         # the place of two tokens is that of the later less one: as many may be missing if they are the first two in common
@@ -156,6 +167,9 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")], F.count("*").alias("held")).where("held > 1").drop("held")
         members = members.union(hot.join(low, "tok").select("id"))
 
+    def earlier(rows: DataFrame) -> DataFrame:
+        return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "half")])
+
     # the token sets of all candidates, from one more reading of the texts
     wanted = sets.join(members.distinct(), "id").groupBy("doc", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("wanted"))
     whole = source.join(wanted, ["doc", "row"]).select("wanted", F.split(spaced(F.col("text")), "\n").alias("lines"))
@@ -177,10 +191,10 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     gone = verified(pairs)
     if any_hot:
-        hubs = write_table(hot.join(gone, "id", "left_anti").join(low, "tok").where("id > other").where(_within(t)).select("id", "other").distinct(), "line-pairs")
+        hubs = write_table(hot.join(gone, "id", "left_anti").join(low, "tok").where("id > other").where(_within(t, "")).select("id", "other").distinct(), "line-pairs")
         gone = gone.union(verified(hubs)).distinct()
         # written before those that were tried are left out: an anti-join would be moved to where a pair stands for each of its tokens
-        rest = write_table(hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t)).select("id", "other").distinct(), "line-pairs")
+        rest = write_table(hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t, "")).select("id", "other").distinct(), "line-pairs")
         gone = gone.union(verified(write_table(rest.join(hubs, ["id", "other"], "left_anti"), "line-pairs"))).distinct()
         discard(hot, rest)
     discard(found)
