@@ -13,8 +13,10 @@ two sets at the threshold lies in both prefixes, the n - ceil(t n) + 1 rarest to
 Sets meet under each prefix token, within bands of sizes, the length and positional filters, and where the
 parity bitmaps of their tokens (64 bits, 128 of wide sets) differ in no more bits than their sets may in tokens.
 A token that over HOT prefixes hold is hot: under it sets meet by the token and each later one
-of the prefix, one token longer, that may be their second in common; there every set first
-tries the earliest set alone, and only those without a match anywhere meet the others.
+of the prefix, one token longer, that may be their second in common. The larger a corpus, the more
+tokens are hot, and such pairs are many but few sets pass the filters under one: they meet in rounds,
+a share of the hot tokens each, and only sets with another one within the filters are kept. Of these
+every set first tries the earliest set alone, and only those without a match anywhere meet the others.
 Candidates are verified on their whole token sets, which one more reading of the texts brings.
 What stays is the earliest line of each set that nothing matched; no other line is stored.
 
@@ -28,14 +30,17 @@ no rows. Texts and lines of any length are taken whole.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, write_table
+from .common import discard, session_conf, write_table
 
 RARITY_SLOTS = 1 << 16
 HOT = 700
+#: Bounds: tokens that are hot at most, those that most prefixes hold; pairs of tokens of a round, as a multiple of the tokens of all prefixes.
+HOT_TOKENS, ROUND = 1 << 18, 1
 #: Tokens from which a set has a second bitmap, of half its tokens.
 WIDE = 64
 _HASH_BITS = 43
@@ -106,12 +111,21 @@ def bands(t: int) -> Column:
     return F.when(own == low, F.array(own)).otherwise(F.array(own, low))
 
 
-def met(rows: DataFrame, key: str, t: int) -> DataFrame:
-    """(id, other) of the rows (key, id, at, bits, half) that a key brings together, the filters passed, other the earlier.
+def _sides(rows: DataFrame, key: str) -> list[DataFrame]:
+    """The rows (key, id, at, bits, half) as both sides of a join: each gives new names to all its columns, only then do both read one shuffle."""
+    return [rows.select(F.col(key).alias(f"{p}key"), *[F.col(c).alias(f"{p}{c}") for c in ("id", "at", "bits", "half")]) for p in ("m_", "o_")]
 
-    Each side gives new names to all its columns: only then do both read one shuffle.
-    """
-    one, two = (rows.select(F.col(key).alias(f"{p}key"), *[F.col(c).alias(f"{p}{c}") for c in ("id", "at", "bits", "half")]) for p in ("m_", "o_"))
+
+def near(rows: DataFrame, key: str, t: int) -> DataFrame:
+    """Those of the rows (key, id, at, bits, half) that their key brings together with another one, the filters passed."""
+    one, two = _sides(rows, key)
+    some = one.join(two, (F.col("m_key") == F.col("o_key")) & (F.col("m_id") != F.col("o_id")) & _within(t), "left_semi")
+    return some.select(F.col("m_key").alias(key), *[F.col(f"m_{c}").alias(c) for c in ("id", "at", "bits", "half")])
+
+
+def met(rows: DataFrame, key: str, t: int) -> DataFrame:
+    """(id, other) of the rows (key, id, at, bits, half) that a key brings together, the filters passed, other the earlier."""
+    one, two = _sides(rows, key)
     return one.join(two, F.col("m_key") == F.col("o_key")).where("m_id > o_id").where(_within(t)).select(F.col("m_id").alias("id"), F.col("o_id").alias("other"))
 
 
@@ -151,21 +165,32 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sized = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
     short = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
     placed = sets.where("n > 1").select("id", "n", "bits", "half", "prefix", bands(t).alias("bands"), F.posexplode(short).alias("pos", "tok"))
-    hot_tokens = write_table(placed.groupBy("tok").agg(F.count("*").alias("held")).where(F.col("held") > HOT).select("tok"), "hot-tokens")
-    any_hot = not hot_tokens.isEmpty()
-
-    # both sides of this join are one shuffle; under a token at most HOT sets meet, apart by bands of sizes
-    cold = placed.join(hot_tokens, "tok", "left_anti") if any_hot else placed
+    after = F.sum(F.size("prefix") - F.col("pos") - 1).alias("after")
+    hot_tokens = placed.groupBy("tok").agg(F.count("*").alias("held"), after).where(F.col("held") > HOT).orderBy(F.desc("held")).limit(HOT_TOKENS)
+    hot_tokens = write_table(hot_tokens.select("tok", "after"), "hot-tokens")
+    n_pairs = hot_tokens.agg(F.sum("after")).first()[0] or 0
+    any_hot, listed = n_pairs > 0, F.broadcast(hot_tokens.select("tok"))
+
+    # both sides of this join are one shuffle; under a token few sets meet, apart by bands of sizes
+    cold = placed.join(listed, "tok", "left_anti") if any_hot else placed
     cold = cold.withColumn("band", F.explode("bands")).select(F.xxhash64("tok", "band").alias("key"), "id", sized.alias("at"), "bits", "half")
     pairs = write_table(met(cold, "key", t).distinct(), "line-pairs")
     members = pairs.select("id").union(pairs.select("other"))
     if any_hot:
         # the place of two tokens is that of the later less one: as many may be missing if they are the first two in common
         later = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
-        by_two = placed.join(hot_tokens, "tok").select("tok", "id", sized.alias("at"), "bits", "half", F.posexplode(later).alias("more", "second"))
-        hot = write_table(by_two.select(F.xxhash64("tok", "second").alias("tok"), "id", (F.col("at") + F.col("more")).alias("at"), "bits", "half"), "hot-prefixes")
-        low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")], F.count("*").alias("held")).where("held > 1").drop("held")
-        members = members.union(hot.join(low, "tok").select("id"))
+        rounds = 1 if n_pairs <= ROUND * sets.count() else math.ceil(n_pairs / (ROUND * sets.agg(F.sum(F.size("prefix"))).first()[0]))
+        rows = []
+        for r in range(rounds):
+            share = placed.where(F.pmod(F.xxhash64("tok"), F.lit(rounds)) == r) if rounds > 1 else placed
+            by_two = share.join(listed, "tok").select("tok", "id", sized.alias("at"), "bits", "half", F.posexplode(later).alias("more", "second"))
+            by_two = by_two.select(F.xxhash64("tok", "second").alias("tok"), "id", (F.col("at") + F.col("more")).alias("at"), "bits", "half")
+            # moved below what makes a side's columns, the semi-join would shuffle each side for itself
+            with session_conf(docs.sparkSession, spark__sql__optimizer__excludedRules="org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"):
+                rows.append(write_table(near(by_two, "tok", t), "hot-prefixes"))
+        hot = functools.reduce(DataFrame.union, rows)
+        low = hot.groupBy("tok").agg(F.min("id").alias("other"), *[F.min_by(c, "id").alias(f"o_{c}") for c in ("at", "bits", "half")])
+        members = members.union(hot.select("id"))
 
     def earlier(rows: DataFrame) -> DataFrame:
         return rows.select("tok", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("at", "bits", "half")])
@@ -196,7 +221,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         # written before those that were tried are left out: an anti-join would be moved to where a pair stands for each of its tokens
         rest = write_table(hot.join(gone, "id", "left_anti").join(earlier(hot), "tok").where("id > other").where(_within(t, "")).select("id", "other").distinct(), "line-pairs")
         gone = gone.union(verified(write_table(rest.join(hubs, ["id", "other"], "left_anti"), "line-pairs"))).distinct()
-        discard(hot, rest)
+        discard(*rows, rest)
     discard(found)
     return sets.select("id", "doc", "row", "line_no").join(gone, "id", "left_anti").drop("id")
 
